@@ -29,15 +29,29 @@ REVIEW_TERMS = ("license", "tion", "der")
 MONEY_WORDS = ("revenue", "spend", "discount", "change_value")
 
 
+MONEY_PLACES, RATIO_PLACES = 4, 6
+
+
+def fix(c, places: int):
+    """Deterministic half-up rounding ``floor(x * 10^n + 0.5) / 10^n``.
+
+    Bit-identical in any IEEE engine, unlike ``round`` whose tie rules differ.  Money
+    inputs are multiples of 1e-4, so 4 places removes summation-order noise without
+    ever meeting a tie.
+    """
+    scale = float(10 ** places)
+    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
 def finish(df: DataFrame, money: tuple[str, ...] = ()) -> DataFrame:
-    """Presentation rounding shared with the oracle: money columns to 2 places, every
+    """Presentation rounding shared with the oracle: money columns to 4 places, every
     other double to 6 (summation order differs between engines)."""
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.DoubleType):
-            places = 2 if f.name in money else 6
-            c = (F.round(c, places) + F.lit(0.0)).alias(f.name)
+            places = MONEY_PLACES if f.name in money else RATIO_PLACES
+            c = fix(c, places).alias(f.name)
         out.append(c)
     return df.select(*out)
 
@@ -70,3 +84,119 @@ for _dim, _key in (("device", "decompose_device"), ("country", "decompose_countr
                    ("channel", "decompose_channel"), ("campaign", "decompose_campaign"),
                    ("customer_segment", "decompose_segment"), ("product", "decompose_product")):
     register(_key)(_decompose_query(_dim))
+
+
+def finish_long(df: DataFrame, money_metrics: tuple[str, ...] = ()) -> DataFrame:
+    """Rounding for MetricComparison rows: money metrics to 4 places, others to 6."""
+    is_money = F.col("metric").isin(*money_metrics) if money_metrics else F.lit(False)
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if f.name in ("current", "previous", "absolute_change"):
+            c = F.when(is_money, fix(c, MONEY_PLACES)).otherwise(fix(c, RATIO_PLACES)).alias(f.name)
+        elif isinstance(f.dataType, T.DoubleType):
+            c = fix(c, RATIO_PLACES).alias(f.name)
+        out.append(c)
+    return df.select(*out)
+
+
+KPI_MONEY = ("revenue", "average_order_value", "revenue_per_session")
+
+
+# --- session facts and KPIs ---------------------------------------------------------
+@register("session_facts")
+def q_session_facts(spark, sf_dir):
+    """Sessions left-joined to conversions (orders mapping)."""
+    from shiftscope.operators.facts import session_facts
+    return finish(session_facts(A.orders_tables(spark, sf_dir)), ("revenue", "discount"))
+
+
+@register("kpi_period")
+def q_kpi_period(spark, sf_dir):
+    """G1: KPIs of the current orders period, unscoped."""
+    from shiftscope.operators.kpi import period_kpis
+    p = ORDERS_PERIODS
+    return finish(period_kpis(A.orders_tables(spark, sf_dir), p.current_start, p.current_end), KPI_MONEY)
+
+
+@register("kpi_period_scoped")
+def q_kpi_period_scoped(spark, sf_dir):
+    """G1 with a device and channel scope."""
+    from shiftscope.operators.kpi import period_kpis
+    p = ORDERS_PERIODS
+    return finish(period_kpis(A.orders_tables(spark, sf_dir), p.current_start, p.current_end,
+                              KPI_SCOPE), KPI_MONEY)
+
+
+@register("kpi_compare")
+def q_kpi_compare(spark, sf_dir):
+    """KPI comparison of the two orders periods."""
+    from shiftscope.operators.kpi import compare_periods
+    return finish_long(compare_periods(A.orders_tables(spark, sf_dir), ORDERS_PERIODS), KPI_MONEY)
+
+
+# --- traffic ------------------------------------------------------------------------
+@register("traffic_kpis")
+def q_traffic_kpis(spark, sf_dir):
+    """Distinct sessions and users of the current period."""
+    from shiftscope.operators.traffic import period_traffic_kpis
+    p = ORDERS_PERIODS
+    return finish(period_traffic_kpis(A.orders_tables(spark, sf_dir), p.current_start, p.current_end))
+
+
+@register("traffic_compare")
+def q_traffic_compare(spark, sf_dir):
+    """Session and user comparison."""
+    from shiftscope.operators.traffic import traffic_compare
+    return finish_long(traffic_compare(A.orders_tables(spark, sf_dir), ORDERS_PERIODS))
+
+
+@register("traffic_dimension_rows")
+def q_traffic_dimension_rows(spark, sf_dir):
+    """Per-segment sessions of both periods over four dimensions in one pass."""
+    from shiftscope.operators.traffic import traffic_dimension_rows
+    return finish(traffic_dimension_rows(A.orders_tables(spark, sf_dir), ORDERS_PERIODS))
+
+
+@register("traffic_candidates")
+def q_traffic_candidates(spark, sf_dir):
+    """C8 drivers: declining segments, scoped to channel=1-URGENT, ranked globally."""
+    from shiftscope.operators.traffic import traffic_candidates
+    return finish(traffic_candidates(A.orders_tables(spark, sf_dir), ORDERS_PERIODS,
+                                     {"channel": "1-URGENT"}))
+
+
+# --- attribution --------------------------------------------------------------------
+@register("attribution_kpis")
+def q_attribution_kpis(spark, sf_dir):
+    """Attributed and unattributed sessions of the current period."""
+    from shiftscope.operators.attribution import period_attribution_metrics
+    p = ORDERS_PERIODS
+    return finish(period_attribution_metrics(A.orders_tables(spark, sf_dir), p.current_start,
+                                             p.current_end))
+
+
+@register("attribution_compare")
+def q_attribution_compare(spark, sf_dir):
+    """Attribution KPI comparison."""
+    from shiftscope.operators.attribution import attribution_compare
+    return finish_long(attribution_compare(A.orders_tables(spark, sf_dir), ORDERS_PERIODS))
+
+
+@register("attribution_driver")
+def q_attribution_driver(spark, sf_dir):
+    """C9 driver: change of unattributed sessions, scoped to device=F."""
+    from shiftscope.operators.attribution import attribution_driver
+    return finish(attribution_driver(A.orders_tables(spark, sf_dir), ORDERS_PERIODS, {"device": "F"}))
+
+
+@register("two_proportion_test")
+def q_two_proportion_test(spark, sf_dir):
+    """T1 on conversion rates per device and channel segment, current vs previous."""
+    from shiftscope.operators.decompose import segment_period_totals
+    from shiftscope.functions.stats import is_significant, two_proportion_p_value, z_score
+    g = segment_period_totals(A.orders_tables(spark, sf_dir), ORDERS_PERIODS, ["device", "channel"])
+    args = ("current_conversions", "current_sessions", "previous_conversions", "previous_sessions")
+    p = two_proportion_p_value(*args)
+    return finish(g.select("dimension", "segment", *args, z_score(*args).alias("z_score"),
+                           p.alias("p_value"), is_significant(p).alias("statistically_significant")))
