@@ -200,3 +200,48 @@ def q_two_proportion_test(spark, sf_dir):
     p = two_proportion_p_value(*args)
     return finish(g.select("dimension", "segment", *args, z_score(*args).alias("z_score"),
                            p.alias("p_value"), is_significant(p).alias("statistically_significant")))
+
+
+# --- funnels and root cause (events mapping) ------------------------------------------
+FUNNEL_MONEY: tuple[str, ...] = ()
+
+
+@register("funnel_counts")
+def q_funnel_counts(spark, sf_dir):
+    """Distinct sessions per event name and period."""
+    from shiftscope.operators.funnel import funnel_counts
+    return funnel_counts(A.events_tables(spark, sf_dir), EVENTS_PERIODS)
+
+
+@register("funnel_compare")
+def q_funnel_compare(spark, sf_dir):
+    """Adjacent-step transition rates, current vs previous, unscoped."""
+    from shiftscope.operators.funnel import compare_funnels
+    return finish(compare_funnels(A.events_tables(spark, sf_dir), EVENTS_PERIODS, steps=EVENT_STEPS))
+
+
+@register("funnel_compare_scoped")
+def q_funnel_compare_scoped(spark, sf_dir):
+    """C3 drilled down with filter device=Android."""
+    from shiftscope.operators.funnel import compare_funnels
+    return finish(compare_funnels(A.events_tables(spark, sf_dir), EVENTS_PERIODS,
+                                  filter_dimension="device", filter_value=FUNNEL_SCOPE["device"],
+                                  steps=EVENT_STEPS))
+
+
+@register("leading_segment_funnel")
+def q_leading_segment_funnel(spark, sf_dir):
+    """W4 + C3: funnel of the device that leads the revenue decomposition."""
+    from shiftscope.operators.decompose import decompose
+    from shiftscope.operators.funnel import segment_funnels
+    from shiftscope.operators.root_cause import leading_segment
+    t = A.events_tables(spark, sf_dir)
+    lead = leading_segment(decompose(t, EVENTS_PERIODS, ["device"]))
+    return finish(segment_funnels(t, EVENTS_PERIODS, lead, "device", steps=EVENT_STEPS))
+
+
+@register("root_cause_candidates")
+def q_root_cause_candidates(spark, sf_dir):
+    """C4: ranked dimension and funnel drivers of the revenue change (events mapping)."""
+    from shiftscope.operators.root_cause import root_cause_candidates
+    return finish(root_cause_candidates(A.events_tables(spark, sf_dir), EVENTS_PERIODS, steps=EVENT_STEPS))
