@@ -245,3 +245,148 @@ def q_root_cause_candidates(spark, sf_dir):
     """C4: ranked dimension and funnel drivers of the revenue change (events mapping)."""
     from shiftscope.operators.root_cause import root_cause_candidates
     return finish(root_cause_candidates(A.events_tables(spark, sf_dir), EVENTS_PERIODS, steps=EVENT_STEPS))
+
+
+# --- campaigns ------------------------------------------------------------------------
+CAMPAIGN_MONEY = ("spend", "revenue", "cpc", "cpa")
+CANDIDATE_METRIC = "cpc"
+
+
+@register("campaign_kpis")
+def q_campaign_kpis(spark, sf_dir):
+    """Campaign KPIs of the current period (ratios of sums)."""
+    from shiftscope.operators.campaign import period_campaign_kpis
+    p = ORDERS_PERIODS
+    return finish(period_campaign_kpis(A.orders_tables(spark, sf_dir), p.current_start, p.current_end),
+                  CAMPAIGN_MONEY)
+
+
+@register("campaign_kpis_scoped")
+def q_campaign_kpis_scoped(spark, sf_dir):
+    """G5 with a channel scope."""
+    from shiftscope.operators.campaign import period_campaign_kpis
+    p = ORDERS_PERIODS
+    return finish(period_campaign_kpis(A.orders_tables(spark, sf_dir), p.current_start, p.current_end,
+                                       CAMPAIGN_SCOPE), CAMPAIGN_MONEY)
+
+
+@register("campaign_compare")
+def q_campaign_compare(spark, sf_dir):
+    """The ten campaign KPIs compared."""
+    from shiftscope.operators.campaign import campaign_compare
+    return finish_long(campaign_compare(A.orders_tables(spark, sf_dir), ORDERS_PERIODS), CAMPAIGN_MONEY)
+
+
+@register("campaign_segments")
+def q_campaign_segments(spark, sf_dir):
+    """Campaigns active over [previous_start, current_end)."""
+    from shiftscope.operators.campaign import campaign_segments
+    return campaign_segments(A.orders_tables(spark, sf_dir), ORDERS_PERIODS, "campaign")
+
+
+@register("campaign_candidates")
+def q_campaign_candidates(spark, sf_dir):
+    """C7 drivers over channel then campaign, unscoped, for CPC."""
+    from shiftscope.operators.campaign import campaign_candidates
+    return finish(campaign_candidates(A.orders_tables(spark, sf_dir), ORDERS_PERIODS, CANDIDATE_METRIC),
+                  ("current", "previous", "absolute_change"))
+
+
+@register("campaign_candidates_scoped")
+def q_campaign_candidates_scoped(spark, sf_dir):
+    """C7 drivers with channel=ASIA: each channel replaces the scoped one."""
+    from shiftscope.operators.campaign import campaign_candidates
+    return finish(campaign_candidates(A.orders_tables(spark, sf_dir), ORDERS_PERIODS, CANDIDATE_METRIC,
+                                      CAMPAIGN_SCOPE), ("current", "previous", "absolute_change"))
+
+
+# --- reviews --------------------------------------------------------------------------
+@register("review_kpis")
+def q_review_kpis(spark, sf_dir):
+    """Review counts, negative rate and average rating of the current period."""
+    from shiftscope.operators.reviews import period_review_metrics
+    p = REVIEW_PERIODS
+    return finish(period_review_metrics(A.orders_tables(spark, sf_dir), p.current_start, p.current_end))
+
+
+@register("review_kpis_scoped")
+def q_review_kpis_scoped(spark, sf_dir):
+    """G4 with a device scope (P5)."""
+    from shiftscope.operators.reviews import period_review_metrics
+    p = REVIEW_PERIODS
+    return finish(period_review_metrics(A.orders_tables(spark, sf_dir), p.current_start, p.current_end,
+                                        REVIEW_SCOPE))
+
+
+@register("review_compare")
+def q_review_compare(spark, sf_dir):
+    """Review KPI comparison."""
+    from shiftscope.operators.reviews import review_compare
+    return finish_long(review_compare(A.orders_tables(spark, sf_dir), REVIEW_PERIODS))
+
+
+@register("review_topic")
+def q_review_topic(spark, sf_dir):
+    """G12 + topic driver: negative reviews mentioning any topic term (whole texts)."""
+    from shiftscope.operators.reviews import review_topic
+    return finish(review_topic(A.orders_tables(spark, sf_dir), REVIEW_PERIODS, terms=REVIEW_TERMS))
+
+
+# --- experiments ----------------------------------------------------------------------
+EXPERIMENT_MONEY = ("control_revenue", "treatment_revenue", "absolute_revenue_lift", "revenue")
+
+
+@register("experiment_names")
+def q_experiment_names(spark, sf_dir):
+    """Experiments with exposures in the current period."""
+    from shiftscope.operators.experiment import experiment_names
+    p = ORDERS_PERIODS
+    return experiment_names(A.orders_tables(spark, sf_dir).experiments, p.current_start, p.current_end)
+
+
+@register("experiment_variants")
+def q_experiment_variants(spark, sf_dir):
+    """Per-variant aggregates of every experiment in the window."""
+    from shiftscope.operators.experiment import experiment_variants
+    p = ORDERS_PERIODS
+    return finish(experiment_variants(A.orders_tables(spark, sf_dir).experiments, p.current_start,
+                                      p.current_end), EXPERIMENT_MONEY)
+
+
+@register("experiment_lift")
+def q_experiment_lift(spark, sf_dir):
+    """C11 + T2: lift, p-value, interval and power for every experiment in the window."""
+    from shiftscope.operators.experiment import experiment_lift
+    p = ORDERS_PERIODS
+    return finish(experiment_lift(A.orders_tables(spark, sf_dir).experiments, p.current_start,
+                                  p.current_end), EXPERIMENT_MONEY)
+
+
+# --- incidents ------------------------------------------------------------------------
+@register("incident_registry")
+def q_incident_registry(spark, sf_dir):
+    """The incident registry with ``inc_`` ids."""
+    from shiftscope.operators.incidents import incident_registry
+    return incident_registry(A.orders_tables(spark, sf_dir).marketing_incidents)
+
+
+@register("incidents_period")
+def q_incidents_period(spark, sf_dir):
+    """Incidents dated in the current period."""
+    from shiftscope.operators.incidents import incidents_in_period
+    return incidents_in_period(A.orders_tables(spark, sf_dir).marketing_incidents, ORDERS_PERIODS)
+
+
+@register("incidents_scoped")
+def q_incidents_scoped(spark, sf_dir):
+    """Anomalies overlapping the current period on a scoped dimension."""
+    from shiftscope.operators.incidents import incidents_scoped
+    return incidents_scoped(A.orders_tables(spark, sf_dir).anomaly_ground_truth, ORDERS_PERIODS, KPI_SCOPE)
+
+
+@register("incidents_overlap")
+def q_incidents_overlap(spark, sf_dir):
+    """C14: anomalies of the attribution metric overlapping the current period."""
+    from shiftscope.operators.incidents import incidents_for_metric
+    return incidents_for_metric(A.orders_tables(spark, sf_dir).anomaly_ground_truth, ORDERS_PERIODS,
+                                "attribution_completeness")
