@@ -35,12 +35,24 @@ def sha_prefix(key: Column, n: int) -> Column:
     return F.substring(F.sha2(key, 256), 1, n)
 
 
+class C(str):
+    """Marks an evidence-key part as a column name (a plain ``str`` is a literal)."""
+
+
+def sql_lit(value: str) -> str:
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def evidence_id(prefix: str, *parts, n: int = 12) -> Column:
     """``prefix`` + first ``n`` hex chars of SHA-256 of the ``|``-joined key parts.
 
-    Parts are strings or columns; NULL column parts must be coalesced by the caller
-    (the key spells a missing segment as ``None``).
+    Parts are literal strings, ``C("column")`` names or Columns; NULL column parts must
+    be coalesced by the caller (the key spells a missing segment as ``None``).  Without
+    Column parts the id is one SQL expression.
     """
+    if not any(isinstance(p, Column) for p in parts):
+        items = [f"`{p}`" if isinstance(p, C) else sql_lit(p) for p in parts]
+        return F.expr(f"concat({sql_lit(prefix)}, substring(sha2(concat_ws('|', {', '.join(items)}), 256), 1, {n}))")
     key = F.concat_ws("|", *[lit_or_col(p) for p in parts])
     return F.concat(F.lit(prefix), sha_prefix(key, n))
 
@@ -50,5 +62,18 @@ def text_or_none(c) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit("None"))
 
 
+MONEY_SCALE = 4
+
+
+def money_sum(c: str) -> Column:
+    """Sum of a money column snapped to 1e-4.
+
+    Floating-point sums depend on the order rows arrive in, which differs between runs
+    of a distributed job.  Money inputs carry at most 4 decimals, so snapping the sum
+    makes it exact and reproducible, and every ratio built on it bit-stable.
+    """
+    return F.expr(f"round(sum({c}), {MONEY_SCALE})")
+
+
 def clamp(c, lo: float, hi: float) -> Column:
     return F.least(F.greatest(col(c), F.lit(lo)), F.lit(hi))

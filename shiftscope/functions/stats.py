@@ -1,4 +1,4 @@
-"""Significance tests as native column expressions (T1, T2, F6). No Python UDF.
+"""Significance tests as native Spark SQL expressions (T1, T2, F6). No Python UDF.
 
 ``erfc`` uses the positive-term series
     erf(x) = exp(-x^2) * sum_{n>=0} x^(2n+1) / Gamma(n + 3/2)
@@ -6,105 +6,122 @@ with terms built by the recurrence t_n = t_(n-1) * x^2 / (n + 1/2), evaluated wi
 Spark's higher-order ``aggregate`` over a fixed-length sequence.  For x > 6.5,
 erfc(x) < 1e-19 and is returned as 0.  Only aggregated result rows reach these
 expressions, so their cost does not grow with the fact tables.
+
+Builders return SQL expression text over column names, so a whole test is one
+expression (one round trip to the JVM, no duplicated Column subtrees); callers that
+want a Column wrap it with ``F.expr``.  Arguments must be column names or other
+cheap expressions because they are repeated inside the text.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftscope.functions.expr import col
-
 _TERMS = 150
 _CUTOFF = 6.5
 Z_95 = 1.96           # two-sided 95% critical value used by the interval and power
 ALPHA = 0.05          # significance threshold
+_TWO_OVER_SQRT_PI = repr(2.0 / math.sqrt(math.pi))
+_SQRT2 = repr(math.sqrt(2.0))
+
 
+def _d(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
 
-def _erf_nonneg(x: Column) -> Column:
-    x2 = x * x
-    t0 = x * F.lit(2.0 / math.sqrt(math.pi))
-    start = F.struct(t0.alias("t"), t0.alias("s"))
 
-    def step(acc, n):
-        t = acc["t"] * x2 / (n.cast("double") + F.lit(0.5))
-        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+def erfc_nonneg_sql(ax: str) -> str:
+    """erfc of a non-negative argument."""
+    t0 = f"{ax} * {_TWO_OVER_SQRT_PI}"
+    step = f"acc.t * {ax} * {ax} / (n + 0.5)"
+    series = (f"aggregate(sequence(1, {_TERMS}), named_struct('t', {t0}, 's', {t0}), "
+              f"(acc, n) -> named_struct('t', {step}, 's', acc.s + {step})).s")
+    return (f"(CASE WHEN {ax} > {_CUTOFF} THEN 0.0 "
+            f"ELSE 1.0 - exp(-({ax}) * ({ax})) * {series} END)")
 
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS)), start, step)
-    return F.exp(-x2) * series["s"]
+
+def erfc_sql(x: str) -> str:
+    x = _d(x)
+    return (f"(CASE WHEN {x} IS NULL THEN CAST(NULL AS DOUBLE) WHEN {x} >= 0 THEN {erfc_nonneg_sql(x)} "
+            f"ELSE 2.0 - {erfc_nonneg_sql('(-' + x + ')')} END)")
 
 
 def erfc(x) -> Column:
-    """Complementary error function of a double column (NULL in, NULL out)."""
-    x = col(x).cast("double")
-    ax = F.abs(x)
-    pos = F.when(ax > F.lit(_CUTOFF), F.lit(0.0)).otherwise(F.lit(1.0) - _erf_nonneg(
-        F.least(ax, F.lit(_CUTOFF))))
-    return F.when(x.isNull(), F.lit(None).cast("double")) \
-        .when(x >= 0, pos).otherwise(F.lit(2.0) - pos)
+    """Complementary error function of a double column given by name."""
+    return F.expr(erfc_sql(x if isinstance(x, str) else str(x)))
+
+
+def normal_cdf_sql(y: str) -> str:
+    return f"(0.5 * {erfc_sql(f'(-({y}) / {_SQRT2})')})"
+
+
+def t1_var_sql(sa: str, na: str, sb: str, nb: str) -> str:
+    """Pooled variance term of T1, NULL when either total is 0."""
+    pooled = f"(({_d(sa)} + {_d(sb)}) / ({_d(na)} + {_d(nb)}))"
+    return (f"(CASE WHEN {na} = 0 OR {nb} = 0 THEN CAST(NULL AS DOUBLE) ELSE "
+            f"{pooled} * (1.0 - {pooled}) * (1.0 / {_d(na)} + 1.0 / {_d(nb)}) END)")
+
+
+def t1_z_sql(sa: str, na: str, sb: str, nb: str, var: str) -> str:
+    return (f"(CASE WHEN {var} > 0 THEN ({_d(sa)} / {_d(na)} - {_d(sb)} / {_d(nb)}) / sqrt({var}) "
+            f"ELSE CAST(NULL AS DOUBLE) END)")
+
 
+def t1_p_sql(var: str, z: str) -> str:
+    """T1 p-value from the variance and z columns: NULL when the totals are 0 or the
+    variance is negative (a "rate" above 1), 1.0 when the standard error is 0."""
+    return (f"(CASE WHEN {var} IS NULL OR {var} < 0 THEN CAST(NULL AS DOUBLE) WHEN {var} = 0 THEN 1.0 "
+            f"ELSE {erfc_nonneg_sql(f'(abs({z}) / {_SQRT2})')} END)")
 
-def normal_cdf(y) -> Column:
-    return F.lit(0.5) * erfc(-col(y).cast("double") / F.lit(math.sqrt(2.0)))
 
+def with_two_proportion_test(df: DataFrame, sa: str, na: str, sb: str, nb: str,
+                             p: str = "p_value", z: str = "z_score",
+                             significant: str = "statistically_significant") -> DataFrame:
+    """Pooled two-proportion z-test, two-sided, as three added columns."""
+    df = df.withColumn("_t1_var", F.expr(t1_var_sql(sa, na, sb, nb)))
+    df = df.withColumn(z, F.expr(t1_z_sql(sa, na, sb, nb, "_t1_var")))
+    df = df.withColumn(p, F.expr(t1_p_sql("_t1_var", z)))
+    return df.withColumn(significant, F.expr(f"coalesce({p} < {ALPHA}, false)")).drop("_t1_var")
 
-def two_proportion_p_value(success_a, total_a, success_b, total_b) -> Column:
-    """Pooled two-proportion z-test, two-sided.
 
-    NULL when either total is 0 or the pooled variance is negative (a "rate" above 1),
-    1.0 when the standard error is 0.
-    """
-    sa, na = col(success_a).cast("double"), col(total_a).cast("double")
-    sb, nb = col(success_b).cast("double"), col(total_b).cast("double")
-    pooled = (sa + sb) / (na + nb)
-    var = pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / na + F.lit(1.0) / nb)
-    z = (sa / na - sb / nb) / F.sqrt(var)
-    return (F.when((na == 0) | (nb == 0), F.lit(None).cast("double"))
-            .when(var < 0, F.lit(None).cast("double"))
-            .when(var == 0, F.lit(1.0))
-            .otherwise(erfc(F.abs(z) / F.lit(math.sqrt(2.0)))))
+def two_proportion_p_value(sa: str, na: str, sb: str, nb: str) -> Column:
+    """T1 p-value as one Column (inputs are column names)."""
+    var = t1_var_sql(sa, na, sb, nb)
+    return F.expr(t1_p_sql(var, t1_z_sql(sa, na, sb, nb, var)))
 
 
-def z_score(success_a, total_a, success_b, total_b) -> Column:
-    sa, na = col(success_a).cast("double"), col(total_a).cast("double")
-    sb, nb = col(success_b).cast("double"), col(total_b).cast("double")
-    pooled = (sa + sb) / (na + nb)
-    var = pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / na + F.lit(1.0) / nb)
-    return F.when((na > 0) & (nb > 0) & (var > 0), (sa / na - sb / nb) / F.sqrt(var))
+def z_score(sa: str, na: str, sb: str, nb: str) -> Column:
+    return F.expr(t1_z_sql(sa, na, sb, nb, t1_var_sql(sa, na, sb, nb)))
 
 
 def is_significant(p) -> Column:
-    return F.coalesce(col(p) < F.lit(ALPHA), F.lit(False))
-
-
-def experiment_test(control_success, control_total, treatment_success, treatment_total) -> dict:
-    """Rates, lift, pooled-SE p-value, unpooled 95% interval and observed power.
-
-    Returns a dict of named columns.  Totals must be positive (the caller checks that
-    both variants exist).
-    """
-    cs, cn = col(control_success).cast("double"), col(control_total).cast("double")
-    ts, tn = col(treatment_success).cast("double"), col(treatment_total).cast("double")
-    control_rate = F.when(cn != 0, cs / cn).otherwise(F.lit(0.0))
-    treatment_rate = F.when(tn != 0, ts / tn).otherwise(F.lit(0.0))
-    diff = treatment_rate - control_rate
-    pooled = (cs + ts) / (cn + tn)
-    null_var = pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / cn + F.lit(1.0) / tn)
-    p_value = (F.when(null_var < 0, F.lit(None).cast("double"))
-               .when(null_var == 0, F.lit(1.0))
-               .otherwise(erfc(F.abs(diff / F.sqrt(null_var)) / F.lit(math.sqrt(2.0)))))
-    interval_se = F.sqrt(control_rate * (F.lit(1.0) - control_rate) / cn
-                         + treatment_rate * (F.lit(1.0) - treatment_rate) / tn)
-    effect = F.when(interval_se != 0, F.abs(diff) / interval_se).otherwise(F.lit(0.0))
-    power = (F.lit(1.0) - normal_cdf(F.lit(Z_95) - effect) + normal_cdf(F.lit(-Z_95) - effect))
-    return {
-        "control_rate": control_rate,
-        "treatment_rate": treatment_rate,
-        "absolute_lift": diff,
-        "p_value": p_value,
-        "ci_low": diff - F.lit(Z_95) * interval_se,
-        "ci_high": diff + F.lit(Z_95) * interval_se,
-        "observed_power": power,
-    }
+    p = p if isinstance(p, Column) else F.col(p)
+    return F.coalesce(p < F.lit(ALPHA), F.lit(False))
+
+
+def with_experiment_test(df: DataFrame, cs: str, cn: str, ts: str, tn: str) -> DataFrame:
+    """Rates, lift, pooled-SE p-value, unpooled 95% interval and observed power,
+    added as columns control_rate, treatment_rate, absolute_lift, p_value, ci_low,
+    ci_high, observed_power."""
+    df = df.withColumns({
+        "control_rate": F.expr(f"CASE WHEN {cn} <> 0 THEN {_d(cs)} / {_d(cn)} ELSE 0.0 END"),
+        "treatment_rate": F.expr(f"CASE WHEN {tn} <> 0 THEN {_d(ts)} / {_d(tn)} ELSE 0.0 END"),
+        "_t2_var": F.expr(t1_var_sql(cs, cn, ts, tn)),
+    })
+    df = df.withColumns({
+        "absolute_lift": F.expr("treatment_rate - control_rate"),
+        "_t2_ise": F.expr(f"sqrt(control_rate * (1.0 - control_rate) / {_d(cn)} "
+                          f"+ treatment_rate * (1.0 - treatment_rate) / {_d(tn)})"),
+    })
+    df = df.withColumns({
+        "p_value": F.expr(f"CASE WHEN _t2_var < 0 THEN CAST(NULL AS DOUBLE) WHEN _t2_var = 0 THEN 1.0 "
+                          f"ELSE {erfc_nonneg_sql(f'(abs(absolute_lift) / sqrt(_t2_var) / {_SQRT2})')} END"),
+        "ci_low": F.expr(f"absolute_lift - {Z_95} * _t2_ise"),
+        "ci_high": F.expr(f"absolute_lift + {Z_95} * _t2_ise"),
+        "_t2_eff": F.expr("CASE WHEN _t2_ise <> 0 THEN abs(absolute_lift) / _t2_ise ELSE 0.0 END"),
+    })
+    df = df.withColumn("observed_power", F.expr(
+        f"1.0 - {normal_cdf_sql(f'{Z_95} - _t2_eff')} + {normal_cdf_sql(f'-{Z_95} - _t2_eff')}"))
+    return df.drop("_t2_var", "_t2_ise", "_t2_eff")

@@ -21,6 +21,13 @@ from shiftscope.tables import MarketingTables
 BASE_MEASURES = ("impressions", "clicks", "spend", "conversions", "revenue")
 CAMPAIGN_METRICS = BASE_MEASURES + ("ctr", "cpc", "cpa", "roas", "conversion_rate")
 SEGMENT_COLUMN = {"channel": "channel", "campaign": "campaign_name"}
+MONEY_MEASURES = ("spend", "revenue")
+
+
+def _sum(expr: str, measure: str | None = None) -> str:
+    """Counts sum exactly; money sums are snapped to 1e-4 (see ``expr.money_sum``)."""
+    measure = measure or expr
+    return f"round(sum({expr}), 4)" if measure in MONEY_MEASURES else f"sum({expr})"
 
 
 def _ratios(prefix: str = "") -> dict:
@@ -48,9 +55,9 @@ def campaign_per_period(t: MarketingTables, periods: Periods,
                         scope: Mapping[str, str] | None = None) -> DataFrame:
     """G5 for both periods: sums of the base measures, ratios as ratio of sums."""
     pred = scope_predicate(scope, CAMPAIGN_SCOPE, "Campaign analysis", _campaign_columns())
-    d = (daily_with_campaign(t).filter(periods.in_either(F.col("date"), as_date=True) & pred)
-         .withColumn("period", F.explode(periods.all_labels(F.col("date"), as_date=True))))
-    agg = d.groupBy("period").agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("double").alias(m)
+    d = (daily_with_campaign(t).filter(periods.in_either("date", as_date=True) & pred)
+         .withColumn("period", F.explode(periods.all_labels("date", as_date=True))))
+    agg = d.groupBy("period").agg(*[F.expr(f"CAST(coalesce({_sum(m)}, 0) AS DOUBLE)").alias(m)
                                     for m in BASE_MEASURES])
     return agg.select("period", *BASE_MEASURES, *[v.alias(k) for k, v in _ratios().items()])
 
@@ -69,7 +76,7 @@ def campaign_compare(t: MarketingTables, periods: Periods,
 
 def campaign_segments(t: MarketingTables, periods: Periods, dimension: str) -> DataFrame:
     """Distinct segments over ``[previous_start, current_end)`` (gap included, scope ignored)."""
-    span = Periods.in_range(F.col("date"), periods.previous_start, periods.current_end, as_date=True)
+    span = Periods.in_range("date", periods.previous_start, periods.current_end, as_date=True)
     return (daily_with_campaign(t).filter(span)
             .select(F.col(SEGMENT_COLUMN[dimension]).alias("segment")).distinct())
 
@@ -88,12 +95,15 @@ def campaign_candidates(t: MarketingTables, periods: Periods, metric: str,
         others = {k: v for k, v in scope.items() if k != dim}
         pred = scope_predicate(others, CAMPAIGN_SCOPE, "Campaign analysis", _campaign_columns())
         seg_col = F.col(SEGMENT_COLUMN[dim])
-        d = daily_with_campaign(t).filter(periods.in_either(F.col("date"), as_date=True) & pred)
-        cur, prev = periods.in_current(F.col("date"), True), periods.in_previous(F.col("date"), True)
+        d = daily_with_campaign(t).filter(periods.in_either("date", as_date=True) & pred)
         sums = []
+        cur_sql = periods._sql("date", periods.current_start, periods.current_end, True)
+        prev_sql = periods._sql("date", periods.previous_start, periods.previous_end, True)
         for m in BASE_MEASURES:
-            sums.append(F.coalesce(F.sum(F.when(cur, F.col(m))), F.lit(0)).cast("double").alias("c_" + m))
-            sums.append(F.coalesce(F.sum(F.when(prev, F.col(m))), F.lit(0)).cast("double").alias("p_" + m))
+            sums.append(F.expr(f"CAST(coalesce({_sum(f'CASE WHEN {cur_sql} THEN {m} END', m)}, 0) AS DOUBLE)")
+                        .alias("c_" + m))
+            sums.append(F.expr(f"CAST(coalesce({_sum(f'CASE WHEN {prev_sql} THEN {m} END', m)}, 0) AS DOUBLE)")
+                        .alias("p_" + m))
         per_seg = d.groupBy(seg_col.alias("_seg")).agg(*sums)
         segs = campaign_segments(t, periods, dim)
         j = segs.join(per_seg, F.col("segment") == F.col("_seg"), "left").na.fill(0.0)

@@ -14,9 +14,9 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.functions.expr import evidence_id, pct_change, safe_ratio, text_or_none
+from shiftscope.functions.expr import C, evidence_id
 from shiftscope.functions.scope import scope_identity
-from shiftscope.functions.stats import is_significant, two_proportion_p_value
+from shiftscope.functions.stats import with_two_proportion_test
 from shiftscope.operators.facts import scoped_sessions, with_conversions
 from shiftscope.periods import Periods
 from shiftscope.tables import MarketingTables
@@ -25,10 +25,6 @@ from shiftscope.tables import MarketingTables
 DIMENSIONS = ("device", "country", "channel", "campaign", "customer_segment", "product")
 
 
-def _cur(c):
-    return F.col("period") == "current"
-
-
 def segment_period_totals(t: MarketingTables, periods: Periods, dimensions: Sequence[str],
                           scope: Mapping[str, str] | None = None) -> DataFrame:
     """Per (dimension, segment) sessions, conversions and revenue of both periods,
@@ -42,27 +38,25 @@ def segment_period_totals(t: MarketingTables, periods: Periods, dimensions: Sequ
     plain = [d for d in dimensions if d != "product"]
     if plain:
         g = with_conversions(facts, t)
-        pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("segment"))
-                          for d in plain])
-        pieces.append(g.select("period", "n_conv", "conv_revenue",
-                               F.inline(pairs)))
+        pairs = ", ".join(f"named_struct('dimension', '{d}', 'segment', CAST(`{d}` AS STRING))"
+                          for d in plain)
+        pieces.append(g.selectExpr("period", "n_conv", "conv_revenue", f"inline(array({pairs}))"))
     if "product" in dimensions:
         g = with_conversions(facts, t, by_product=True)
-        pieces.append(g.select("period", "n_conv", "conv_revenue",
-                               F.lit("product").alias("dimension"),
-                               F.col("product").alias("segment")))
+        pieces.append(g.selectExpr("period", "n_conv", "conv_revenue", "'product' AS dimension",
+                                   "product AS segment"))
     rows = pieces[0]
     for p in pieces[1:]:
         rows = rows.unionByName(p)
-    cur, prev = F.col("period") == "current", F.col("period") == "previous"
-    return rows.groupBy("dimension", "segment").agg(
-        F.count_if(cur).cast("bigint").alias("current_sessions"),
-        F.count_if(prev).cast("bigint").alias("previous_sessions"),
-        F.coalesce(F.sum(F.when(cur, F.col("n_conv"))), F.lit(0)).cast("bigint").alias("current_conversions"),
-        F.coalesce(F.sum(F.when(prev, F.col("n_conv"))), F.lit(0)).cast("bigint").alias("previous_conversions"),
-        F.coalesce(F.sum(F.when(cur, F.col("conv_revenue"))), F.lit(0.0)).alias("current_revenue"),
-        F.coalesce(F.sum(F.when(prev, F.col("conv_revenue"))), F.lit(0.0)).alias("previous_revenue"),
-    )
+    aggs = {
+        "current_sessions": "CAST(count_if(period = 'current') AS BIGINT)",
+        "previous_sessions": "CAST(count_if(period = 'previous') AS BIGINT)",
+        "current_conversions": "CAST(coalesce(sum(CASE WHEN period = 'current' THEN n_conv END), 0) AS BIGINT)",
+        "previous_conversions": "CAST(coalesce(sum(CASE WHEN period = 'previous' THEN n_conv END), 0) AS BIGINT)",
+        "current_revenue": "coalesce(round(sum(CASE WHEN period = 'current' THEN conv_revenue END), 4), 0.0)",
+        "previous_revenue": "coalesce(round(sum(CASE WHEN period = 'previous' THEN conv_revenue END), 4), 0.0)",
+    }
+    return rows.groupBy("dimension", "segment").agg(*[F.expr(v).alias(k) for k, v in aggs.items()])
 
 
 def decompose(t: MarketingTables, periods: Periods, dimensions: Sequence[str] = DIMENSIONS,
@@ -72,29 +66,34 @@ def decompose(t: MarketingTables, periods: Periods, dimensions: Sequence[str] =
     total fell, else descending; ties by segment)."""
     g = segment_period_totals(t, periods, dimensions, scope)
     by_dim = Window.partitionBy("dimension")
-    change = F.col("current_revenue") - F.col("previous_revenue")
-    g = (g.withColumn("revenue_change", change)
-         .withColumn("_total", F.sum("revenue_change").over(by_dim)))
-    sort_key = F.when(F.col("_total") >= 0, -F.col("revenue_change")).otherwise(F.col("revenue_change"))
-    ordered = Window.partitionBy("dimension").orderBy(sort_key, F.col("segment").asc_nulls_first())
-    p = two_proportion_p_value("current_conversions", "current_sessions",
-                               "previous_conversions", "previous_sessions")
-    cur_rate = safe_ratio("current_conversions", "current_sessions")
-    prev_rate = safe_ratio("previous_conversions", "previous_sessions")
+    g = g.withColumns({
+        "revenue_change": F.expr("current_revenue - previous_revenue"),
+        "current_conversion_rate": F.expr(
+            "CASE WHEN current_sessions > 0 THEN current_conversions / current_sessions ELSE 0.0 END"),
+        "previous_conversion_rate": F.expr(
+            "CASE WHEN previous_sessions > 0 THEN previous_conversions / previous_sessions ELSE 0.0 END"),
+        "_seg_key": F.expr("coalesce(segment, 'None')"),
+    })
+    g = g.withColumn("_total", F.round(F.sum("revenue_change").over(by_dim), 4))
+    ordered = Window.partitionBy("dimension").orderBy(
+        F.expr("CASE WHEN _total >= 0 THEN -revenue_change ELSE revenue_change END"),
+        F.col("segment").asc_nulls_first())
+    g = with_two_proportion_test(g, "current_conversions", "current_sessions",
+                                 "previous_conversions", "previous_sessions",
+                                 p="conversion_rate_p_value", z="_z")
     return g.select(
-        evidence_id("dim_", "dimension", F.col("dimension"), text_or_none("segment"),
+        evidence_id("dim_", "dimension", C("dimension"), C("_seg_key"),
                     *periods.key_parts(), scope_identity(scope)).alias("evidence_id"),
         F.lit("revenue").alias("metric"),
         "dimension", "segment",
         "current_sessions", "previous_sessions", "current_conversions", "previous_conversions",
         "current_revenue", "previous_revenue", "revenue_change",
-        pct_change("current_revenue", "previous_revenue").alias("revenue_percent_change"),
-        F.when(F.col("_total") != 0, F.col("revenue_change") / F.col("_total")).alias("contribution_share"),
-        cur_rate.alias("current_conversion_rate"),
-        prev_rate.alias("previous_conversion_rate"),
-        (cur_rate - prev_rate).alias("conversion_rate_change"),
-        p.alias("conversion_rate_p_value"),
-        is_significant(p).alias("statistically_significant"),
+        F.expr("CASE WHEN previous_revenue <> 0 THEN revenue_change / previous_revenue END")
+        .alias("revenue_percent_change"),
+        F.expr("CASE WHEN _total <> 0 THEN revenue_change / _total END").alias("contribution_share"),
+        "current_conversion_rate", "previous_conversion_rate",
+        F.expr("current_conversion_rate - previous_conversion_rate").alias("conversion_rate_change"),
+        "conversion_rate_p_value", "statistically_significant",
         F.row_number().over(ordered).alias("rank_in_dimension"),
     )
 

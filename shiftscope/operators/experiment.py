@@ -13,15 +13,15 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftscope.functions.expr import clamp, evidence_id, pct_change
-from shiftscope.functions.stats import ALPHA, experiment_test
+from shiftscope.functions.expr import C, evidence_id
+from shiftscope.functions.stats import ALPHA, with_experiment_test
 from shiftscope.periods import Periods
 
 POWER_TARGET = 0.8
 
 
 def _window(experiments: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    return experiments.filter(Periods.in_range(F.col("exposure_date"), start, end, as_date=True))
+    return experiments.filter(Periods.in_range("exposure_date", start, end, as_date=True))
 
 
 def experiment_names(experiments: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
@@ -53,8 +53,8 @@ def experiment_variants(experiments: DataFrame, start: dt.date, end: dt.date) ->
             .groupBy("experiment_name", F.lower("variant").alias("variant"))
             .agg(F.count(F.lit(1)).alias("participants"),
                  F.sum("conversion").cast("bigint").alias("conversions"),
-                 F.sum("revenue").alias("revenue"),
-                 F.avg("revenue").alias("revenue_per_user")))
+                 F.expr("round(sum(revenue), 4)").alias("revenue"),
+                 F.expr("round(sum(revenue), 4) / count(1)").alias("revenue_per_user")))
 
 
 def experiment_lift(experiments: DataFrame, start: dt.date, end: dt.date,
@@ -71,10 +71,10 @@ def experiment_lift(experiments: DataFrame, start: dt.date, end: dt.date,
         *[pick(var, c).alias(f"{pre}_{c}") for var, pre in (("control", "c"), ("treatment", "t"))
           for c in ("participants", "conversions", "revenue", "revenue_per_user")])
     side = side.filter(F.col("c_participants").isNotNull() & F.col("t_participants").isNotNull())
-    tst = experiment_test("c_conversions", "c_participants", "t_conversions", "t_participants")
-    rel = pct_change(tst["treatment_rate"], tst["control_rate"])
-    rpu_lift = F.col("t_revenue_per_user") - F.col("c_revenue_per_user")
-    keys = (F.col("experiment_name"), start.isoformat(), end.isoformat())
+    side = with_experiment_test(side, "c_conversions", "c_participants", "t_conversions", "t_participants")
+    side = side.withColumn("relative_conversion_lift", F.expr(
+        "CASE WHEN control_rate <> 0 THEN (treatment_rate - control_rate) / control_rate END"))
+    keys = (C("experiment_name"), start.isoformat(), end.isoformat())
     return side.select(
         "experiment_name",
         evidence_id("exp_", "conversion", *keys).alias("conversion_evidence_id"),
@@ -84,18 +84,17 @@ def experiment_lift(experiments: DataFrame, start: dt.date, end: dt.date,
         F.col("t_participants").alias("treatment_participants"),
         F.col("c_conversions").alias("control_conversions"),
         F.col("t_conversions").alias("treatment_conversions"),
-        tst["control_rate"].alias("control_rate"), tst["treatment_rate"].alias("treatment_rate"),
-        tst["absolute_lift"].alias("absolute_conversion_lift"),
-        rel.alias("relative_conversion_lift"),
-        tst["p_value"].alias("p_value"),
-        tst["ci_low"].alias("ci_low"), tst["ci_high"].alias("ci_high"),
-        F.coalesce(tst["p_value"] < F.lit(ALPHA), F.lit(False)).alias("statistically_significant"),
-        tst["observed_power"].alias("observed_power"),
-        (tst["observed_power"] < F.lit(POWER_TARGET)).alias("low_power_warning"),
+        "control_rate", "treatment_rate",
+        F.col("absolute_lift").alias("absolute_conversion_lift"),
+        "relative_conversion_lift", "p_value", "ci_low", "ci_high",
+        F.expr(f"coalesce(p_value < {ALPHA}, false)").alias("statistically_significant"),
+        "observed_power",
+        F.expr(f"observed_power < {POWER_TARGET}").alias("low_power_warning"),
         F.col("c_revenue").alias("control_revenue"), F.col("t_revenue").alias("treatment_revenue"),
-        (F.col("t_revenue") - F.col("c_revenue")).alias("absolute_revenue_lift"),
+        F.expr("t_revenue - c_revenue").alias("absolute_revenue_lift"),
         F.col("c_revenue_per_user").alias("control_revenue_per_user"),
         F.col("t_revenue_per_user").alias("treatment_revenue_per_user"),
-        rpu_lift.alias("revenue_per_user_lift"),
-        pct_change("t_revenue_per_user", "c_revenue_per_user").alias("revenue_per_user_percent_change"),
-        clamp(F.abs(F.coalesce(rel, F.lit(0.0))), 0.0, 1.0).alias("score"))
+        F.expr("t_revenue_per_user - c_revenue_per_user").alias("revenue_per_user_lift"),
+        F.expr("CASE WHEN c_revenue_per_user <> 0 THEN (t_revenue_per_user - c_revenue_per_user) "
+               "/ c_revenue_per_user END").alias("revenue_per_user_percent_change"),
+        F.expr("least(greatest(abs(coalesce(relative_conversion_lift, 0.0)), 0.0), 1.0)").alias("score"))

@@ -15,6 +15,7 @@ from typing import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftscope.functions.expr import money_sum
 from shiftscope.functions.scope import SESSION_SCOPE, scope_predicate
 from shiftscope.periods import Periods
 from shiftscope.tables import MarketingTables
@@ -48,7 +49,7 @@ def scoped_sessions(t: MarketingTables, periods: Periods, scope: Mapping[str, st
     scope = dict(scope or {})
     scope_predicate(scope, SESSION_SCOPE, "Session analysis")  # validates keys
     need_campaign = need_campaign or scope.get("campaign") is not None
-    s = (t.sessions.filter(periods.in_either(F.col("timestamp")))
+    s = (t.sessions.filter(periods.in_either("timestamp"))
          .select("session_id", "customer_id", "timestamp", "device", "country",
                  F.col("traffic_source").alias("channel"), "campaign_id", "landing_page"))
     s = s.join(t.customers.select("customer_id", "customer_segment"), "customer_id", "inner")
@@ -59,14 +60,14 @@ def scoped_sessions(t: MarketingTables, periods: Periods, scope: Mapping[str, st
              .drop("campaign_name"))
     s = s.filter(scope_predicate(scope, SESSION_SCOPE))
     if label == "first":
-        return s.withColumn("period", periods.first_match_label(F.col("timestamp")))
-    return s.withColumn("period", F.explode(periods.all_labels(F.col("timestamp"))))
+        return s.withColumn("period", periods.first_match_label("timestamp"))
+    return s.withColumn("period", F.explode(periods.all_labels("timestamp")))
 
 
 def conversions_per_session(t: MarketingTables, by_product: bool = False) -> DataFrame:
     keys = ["session_id"] + (["product_id"] if by_product else [])
     return (t.conversions.groupBy(*keys)
-            .agg(F.count("conversion_id").alias("n_conv"), F.sum("revenue").alias("conv_revenue")))
+            .agg(F.count("conversion_id").alias("n_conv"), money_sum("revenue").alias("conv_revenue")))
 
 
 def with_conversions(sessions: DataFrame, t: MarketingTables, by_product: bool = False) -> DataFrame:

@@ -14,9 +14,9 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftscope.functions.expr import evidence_id, pct_change, safe_ratio
+from shiftscope.functions.expr import C, evidence_id
 from shiftscope.functions.scope import SESSION_SCOPE, scope_identity, scope_identity_col
-from shiftscope.functions.stats import is_significant, two_proportion_p_value
+from shiftscope.functions.stats import with_two_proportion_test
 from shiftscope.operators.facts import scoped_sessions
 from shiftscope.periods import Periods
 from shiftscope.tables import MarketingTables
@@ -80,20 +80,25 @@ def transitions(wide: DataFrame, steps: Sequence[str], periods: Periods,
     fv = filter_value if isinstance(filter_value, Column) else F.lit(filter_value).cast("string")
     sid = scope_id if isinstance(scope_id, Column) else F.lit(scope_id)
     rows = wide.select(fv.alias("filter_value"), sid.alias("_scope_id"), F.inline(pairs))
-    cur_rate = safe_ratio("current_to_sessions", "current_from_sessions")
-    prev_rate = safe_ratio("previous_to_sessions", "previous_from_sessions")
-    p = two_proportion_p_value("current_to_sessions", "current_from_sessions",
-                               "previous_to_sessions", "previous_from_sessions")
+    rows = rows.withColumns({
+        "current_rate": F.expr("CASE WHEN current_from_sessions > 0 "
+                               "THEN current_to_sessions / current_from_sessions ELSE 0.0 END"),
+        "previous_rate": F.expr("CASE WHEN previous_from_sessions > 0 "
+                                "THEN previous_to_sessions / previous_from_sessions ELSE 0.0 END"),
+        "_fv_key": F.expr("coalesce(filter_value, 'all')"),
+    })
+    rows = with_two_proportion_test(rows, "current_to_sessions", "current_from_sessions",
+                                    "previous_to_sessions", "previous_from_sessions", z="_z")
     return rows.select(
-        evidence_id("fun_", "funnel", F.col("from_step"), F.col("to_step"),
-                    filter_dimension or "all", F.coalesce(F.col("filter_value"), F.lit("all")),
-                    *periods.key_parts(), F.col("_scope_id")).alias("evidence_id"),
+        evidence_id("fun_", "funnel", C("from_step"), C("to_step"), filter_dimension or "all",
+                    C("_fv_key"), *periods.key_parts(), C("_scope_id")).alias("evidence_id"),
         "from_step", "to_step", "step_pos",
         "current_from_sessions", "current_to_sessions", "previous_from_sessions", "previous_to_sessions",
-        cur_rate.alias("current_rate"), prev_rate.alias("previous_rate"),
-        (cur_rate - prev_rate).alias("absolute_change"),
-        pct_change(cur_rate, prev_rate).alias("percent_change"),
-        p.alias("p_value"), is_significant(p).alias("statistically_significant"),
+        "current_rate", "previous_rate",
+        F.expr("current_rate - previous_rate").alias("absolute_change"),
+        F.expr("CASE WHEN previous_rate <> 0 THEN (current_rate - previous_rate) / previous_rate END")
+        .alias("percent_change"),
+        "p_value", "statistically_significant",
         F.lit(filter_dimension).cast("string").alias("filter_dimension"), "filter_value")
 
 

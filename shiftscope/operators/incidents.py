@@ -29,7 +29,7 @@ def incident_registry(incidents: DataFrame) -> DataFrame:
 def incidents_in_period(incidents: DataFrame, periods: Periods) -> DataFrame:
     """Incidents dated inside the current period (unscoped investigations)."""
     return incident_registry(incidents).filter(
-        periods.in_current(F.col("incident_date"), as_date=True))
+        periods.in_current("incident_date", as_date=True))
 
 
 def _overlapping(anomalies: DataFrame, periods: Periods) -> DataFrame:

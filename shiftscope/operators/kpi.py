@@ -8,7 +8,7 @@ from typing import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftscope.functions.expr import safe_ratio
+from shiftscope.functions.expr import money_sum, safe_ratio
 from shiftscope.functions.scope import scope_identity
 from shiftscope.operators.compare import compare_long, single_period, widen
 from shiftscope.operators.facts import scoped_sessions, with_conversions
@@ -30,7 +30,7 @@ def kpis_per_period(t: MarketingTables, periods: Periods,
     agg = g.groupBy("period").agg(
         F.count(F.lit(1)).alias("sessions"),
         F.coalesce(F.sum("n_conv"), F.lit(0)).cast("bigint").alias("conversions"),
-        F.coalesce(F.sum("conv_revenue"), F.lit(0.0)).alias("revenue"),
+        F.coalesce(money_sum("conv_revenue"), F.lit(0.0)).alias("revenue"),
         F.count_distinct("customer_id").alias("users"))
     return agg.select(
         "period", "sessions", "conversions", "revenue", "users",

@@ -29,8 +29,8 @@ def any_term(text: Column, terms: Sequence[str]) -> Column:
 
 def _scoped_reviews(t: MarketingTables, periods: Periods, scope) -> DataFrame:
     pred = scope_predicate(scope, REVIEW_SCOPE, "Review analysis")
-    return (t.app_reviews.filter(periods.in_either(F.col("timestamp")) & pred)
-            .withColumn("period", F.explode(periods.all_labels(F.col("timestamp")))))
+    return (t.app_reviews.filter(periods.in_either("timestamp") & pred)
+            .withColumn("period", F.explode(periods.all_labels("timestamp"))))
 
 
 def reviews_per_period(t: MarketingTables, periods: Periods,

@@ -37,11 +37,16 @@ class Periods:
 
     # --- column predicates (P1) ------------------------------------------------
     @staticmethod
-    def in_range(ts: Column, start: _dt.date, end: _dt.date, as_date: bool = False) -> Column:
-        """Half-open ``start <= ts < end``; literals are typed to the column's kind."""
-        kind = "date" if as_date else "timestamp_ntz"
-        lo = F.lit(start.isoformat()).cast(kind)
-        hi = F.lit(end.isoformat()).cast(kind)
+    def in_range(ts, start: _dt.date, end: _dt.date, as_date: bool = False) -> Column:
+        """Half-open ``start <= ts < end``; literals are typed to the column's kind.
+
+        ``ts`` is a column name (one SQL expression) or a Column.
+        """
+        kind = "DATE" if as_date else "TIMESTAMP_NTZ"
+        if isinstance(ts, str):
+            return F.expr(f"(`{ts}` >= {kind} '{start.isoformat()}' AND `{ts}` < {kind} '{end.isoformat()}')")
+        lo = F.lit(start.isoformat()).cast(kind.lower())
+        hi = F.lit(end.isoformat()).cast(kind.lower())
         return (ts >= lo) & (ts < hi)
 
     def in_current(self, ts: Column, as_date: bool = False) -> Column:
@@ -53,14 +58,19 @@ class Periods:
     def in_either(self, ts: Column, as_date: bool = False) -> Column:
         return self.in_current(ts, as_date) | self.in_previous(ts, as_date)
 
-    def first_match_label(self, ts: Column, as_date: bool = False) -> Column:
+    def _sql(self, ts: str, start, end, as_date: bool) -> str:
+        kind = "DATE" if as_date else "TIMESTAMP_NTZ"
+        return f"(`{ts}` >= {kind} '{start.isoformat()}' AND `{ts}` < {kind} '{end.isoformat()}')"
+
+    def first_match_label(self, ts: str, as_date: bool = False) -> Column:
         """P7: 'current' if in the current period, else 'previous' if in the previous one."""
-        return (F.when(self.in_current(ts, as_date), F.lit("current"))
-                .when(self.in_previous(ts, as_date), F.lit("previous")))
+        cur = self._sql(ts, self.current_start, self.current_end, as_date)
+        prev = self._sql(ts, self.previous_start, self.previous_end, as_date)
+        return F.expr(f"CASE WHEN {cur} THEN 'current' WHEN {prev} THEN 'previous' END")
 
-    def all_labels(self, ts: Column, as_date: bool = False) -> Column:
+    def all_labels(self, ts: str, as_date: bool = False) -> Column:
         """Array of every period a row falls in (a row in both periods counts twice)."""
-        return F.array_compact(F.array(
-            F.when(self.in_current(ts, as_date), F.lit("current")),
-            F.when(self.in_previous(ts, as_date), F.lit("previous")),
-        ))
+        cur = self._sql(ts, self.current_start, self.current_end, as_date)
+        prev = self._sql(ts, self.previous_start, self.previous_end, as_date)
+        return F.expr(f"array_compact(array(CASE WHEN {cur} THEN 'current' END, "
+                      f"CASE WHEN {prev} THEN 'previous' END))")

@@ -43,17 +43,22 @@ def fix(c, places: int):
     return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def fix_sql(c: str, places: int) -> str:
+    scale = float(10 ** places)
+    return f"(floor({c} * {scale}D + 0.5D) / {scale}D)"
+
+
 def finish(df: DataFrame, money: tuple[str, ...] = ()) -> DataFrame:
     """Presentation rounding shared with the oracle: money columns to 4 places, every
     other double to 6 (summation order differs between engines)."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
         if isinstance(f.dataType, T.DoubleType):
             places = MONEY_PLACES if f.name in money else RATIO_PLACES
-            c = fix(c, places).alias(f.name)
-        out.append(c)
-    return df.select(*out)
+            out.append(f"{fix_sql(f'`{f.name}`', places)} AS `{f.name}`")
+        else:
+            out.append(f"`{f.name}`")
+    return df.selectExpr(*out)
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,19 +93,21 @@ for _dim, _key in (("device", "decompose_device"), ("country", "decompose_countr
 
 def finish_long(df: DataFrame, money_metrics: tuple[str, ...] = ()) -> DataFrame:
     """Rounding for MetricComparison rows: money metrics to 4 places, others to 6."""
-    is_money = F.col("metric").isin(*money_metrics) if money_metrics else F.lit(False)
+    money_in = ", ".join("'" + m + "'" for m in money_metrics) or "''"
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = f"`{f.name}`"
         if f.name in ("current", "previous", "absolute_change"):
-            c = F.when(is_money, fix(c, MONEY_PLACES)).otherwise(fix(c, RATIO_PLACES)).alias(f.name)
+            out.append(f"CASE WHEN metric IN ({money_in}) THEN {fix_sql(c, MONEY_PLACES)} "
+                       f"ELSE {fix_sql(c, RATIO_PLACES)} END AS {c}")
         elif isinstance(f.dataType, T.DoubleType):
-            c = fix(c, RATIO_PLACES).alias(f.name)
-        out.append(c)
-    return df.select(*out)
+            out.append(f"{fix_sql(c, RATIO_PLACES)} AS {c}")
+        else:
+            out.append(c)
+    return df.selectExpr(*out)
 
 
-KPI_MONEY = ("revenue", "average_order_value", "revenue_per_session")
+KPI_MONEY = ("revenue",)
 
 
 # --- session facts and KPIs ---------------------------------------------------------
@@ -194,12 +201,11 @@ def q_attribution_driver(spark, sf_dir):
 def q_two_proportion_test(spark, sf_dir):
     """T1 on conversion rates per device and channel segment, current vs previous."""
     from shiftscope.operators.decompose import segment_period_totals
-    from shiftscope.functions.stats import is_significant, two_proportion_p_value, z_score
+    from shiftscope.functions.stats import with_two_proportion_test
     g = segment_period_totals(A.orders_tables(spark, sf_dir), ORDERS_PERIODS, ["device", "channel"])
     args = ("current_conversions", "current_sessions", "previous_conversions", "previous_sessions")
-    p = two_proportion_p_value(*args)
-    return finish(g.select("dimension", "segment", *args, z_score(*args).alias("z_score"),
-                           p.alias("p_value"), is_significant(p).alias("statistically_significant")))
+    return finish(with_two_proportion_test(g, *args).select(
+        "dimension", "segment", *args, "z_score", "p_value", "statistically_significant"))
 
 
 # --- funnels and root cause (events mapping) ------------------------------------------
@@ -248,7 +254,7 @@ def q_root_cause_candidates(spark, sf_dir):
 
 
 # --- campaigns ------------------------------------------------------------------------
-CAMPAIGN_MONEY = ("spend", "revenue", "cpc", "cpa")
+CAMPAIGN_MONEY = ("spend", "revenue")
 CANDIDATE_METRIC = "cpc"
 
 
@@ -288,8 +294,7 @@ def q_campaign_segments(spark, sf_dir):
 def q_campaign_candidates(spark, sf_dir):
     """C7 drivers over channel then campaign, unscoped, for CPC."""
     from shiftscope.operators.campaign import campaign_candidates
-    return finish(campaign_candidates(A.orders_tables(spark, sf_dir), ORDERS_PERIODS, CANDIDATE_METRIC),
-                  ("current", "previous", "absolute_change"))
+    return finish(campaign_candidates(A.orders_tables(spark, sf_dir), ORDERS_PERIODS, CANDIDATE_METRIC))
 
 
 @register("campaign_candidates_scoped")
@@ -297,7 +302,7 @@ def q_campaign_candidates_scoped(spark, sf_dir):
     """C7 drivers with channel=ASIA: each channel replaces the scoped one."""
     from shiftscope.operators.campaign import campaign_candidates
     return finish(campaign_candidates(A.orders_tables(spark, sf_dir), ORDERS_PERIODS, CANDIDATE_METRIC,
-                                      CAMPAIGN_SCOPE), ("current", "previous", "absolute_change"))
+                                      CAMPAIGN_SCOPE))
 
 
 # --- reviews --------------------------------------------------------------------------

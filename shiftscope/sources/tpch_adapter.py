@@ -32,15 +32,17 @@ REGISTRY_SEVERITIES = ("high", "medium", "low", "positive")
 
 
 class Raw:
-    """Lazy readers of the driver's parquet tables."""
+    """Readers of the driver's parquet tables, one DataFrame per table (footers read once)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._cache = spark, sf_dir, {}
 
     def __getattr__(self, table: str) -> DataFrame:
         if table.startswith("_"):
             raise AttributeError(table)
-        return self.spark.read.parquet(sf_path(self.sf_dir, table))
+        if table not in self._cache:
+            self._cache[table] = self.spark.read.parquet(sf_path(self.sf_dir, table))
+        return self._cache[table]
 
 
 def _s(c) -> F.Column:
@@ -184,10 +186,12 @@ def anomaly_ground_truth(raw: Raw) -> DataFrame:
 def orders_tables(spark: SparkSession, sf_dir: str) -> MarketingTables:
     raw = Raw(spark, sf_dir)
     return MarketingTables(
-        customers=customers(raw), campaigns=campaigns(raw), sessions=orders_sessions(raw),
-        conversions=orders_conversions(raw), daily_campaign_metrics=daily_campaign_metrics(raw),
-        app_reviews=app_reviews(raw), experiments=experiments(raw),
-        marketing_incidents=marketing_incidents(raw), anomaly_ground_truth=anomaly_ground_truth(raw))
+        customers=lambda: customers(raw), campaigns=lambda: campaigns(raw),
+        sessions=lambda: orders_sessions(raw), conversions=lambda: orders_conversions(raw),
+        daily_campaign_metrics=lambda: daily_campaign_metrics(raw),
+        app_reviews=lambda: app_reviews(raw), experiments=lambda: experiments(raw),
+        marketing_incidents=lambda: marketing_incidents(raw),
+        anomaly_ground_truth=lambda: anomaly_ground_truth(raw))
 
 
 # --- events mapping ----------------------------------------------------------------
@@ -233,6 +237,7 @@ def events_funnel(raw: Raw) -> DataFrame:
 def events_tables(spark: SparkSession, sf_dir: str) -> MarketingTables:
     raw = Raw(spark, sf_dir)
     return MarketingTables(
-        customers=customers(raw), campaigns=campaigns(raw), sessions=events_sessions(raw),
-        conversions=events_conversions(raw), funnel_events=events_funnel(raw),
-        marketing_incidents=marketing_incidents(raw), anomaly_ground_truth=anomaly_ground_truth(raw))
+        customers=lambda: customers(raw), campaigns=lambda: campaigns(raw),
+        sessions=lambda: events_sessions(raw), conversions=lambda: events_conversions(raw),
+        funnel_events=lambda: events_funnel(raw), marketing_incidents=lambda: marketing_incidents(raw),
+        anomaly_ground_truth=lambda: anomaly_ground_truth(raw))

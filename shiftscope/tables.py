@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from typing import Callable, Union
 
 from pyspark.sql import DataFrame
 
+TABLE_NAMES = ("customers", "campaigns", "sessions", "conversions", "funnel_events",
+               "daily_campaign_metrics", "app_reviews", "experiments", "marketing_incidents",
+               "metric_definitions", "anomaly_ground_truth")
+
+Source = Union[DataFrame, Callable[[], DataFrame], None]
+
 
-@dataclass
 class MarketingTables:
     """Lazy DataFrames in the shapes of ``shiftscope.schemas``.
 
-    Only the columns an operator uses need to be present.  Any table may be ``None``
-    when the caller does not need the operators that read it.
+    Each table is given as a DataFrame or as a zero-argument builder that is called on
+    first use, so an operator only plans the tables it reads.  Only the columns an
+    operator uses need to be present.
     """
 
-    customers: DataFrame | None = None
-    campaigns: DataFrame | None = None
-    sessions: DataFrame | None = None
-    conversions: DataFrame | None = None
-    funnel_events: DataFrame | None = None
-    daily_campaign_metrics: DataFrame | None = None
-    app_reviews: DataFrame | None = None
-    experiments: DataFrame | None = None
-    marketing_incidents: DataFrame | None = None
-    metric_definitions: DataFrame | None = None
-    anomaly_ground_truth: DataFrame | None = None
+    def __init__(self, **tables: Source):
+        unknown = set(tables) - set(TABLE_NAMES)
+        if unknown:
+            raise ValueError(f"unknown tables: {sorted(unknown)}")
+        self._sources = dict(tables)
+        self._built: dict[str, DataFrame | None] = {}
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name not in TABLE_NAMES:
+            raise AttributeError(name)
+        built = self.__dict__["_built"]
+        if name not in built:
+            src = self.__dict__["_sources"].get(name)
+            built[name] = src if (src is None or isinstance(src, DataFrame)) else src()
+        return built[name]
 
     def present(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)
-                if getattr(self, f.name) is not None}
+        return {n: getattr(self, n) for n in TABLE_NAMES if self._sources.get(n) is not None}
