@@ -91,6 +91,7 @@ def investigate_revenue_change(t: MarketingTables, periods: Periods,
     candidates and the leading-segment choice, so Spark reuses its shuffle.
     """
     from shiftscope.operators.funnel import compare_funnels
+    from shiftscope.operators.incidents import related_incidents
     from shiftscope.operators.kpi import compare_periods
     scope = dict(scope or {})
     decomposition = decompose(t, periods, list(dimensions), scope)
@@ -104,6 +105,7 @@ def investigate_revenue_change(t: MarketingTables, periods: Periods,
         "overall_funnel": compare_funnels(t, periods, scope=scope, steps=steps),
         "leading_device_funnel": lead_funnel,
         "ranked_candidates": candidates,
+        "related_incidents": related_incidents(t.marketing_incidents, t.anomaly_ground_truth, periods, scope),
     }
 
 

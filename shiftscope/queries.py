@@ -395,3 +395,48 @@ def q_incidents_overlap(spark, sf_dir):
     from shiftscope.operators.incidents import incidents_for_metric
     return incidents_for_metric(A.orders_tables(spark, sf_dir).anomaly_ground_truth, ORDERS_PERIODS,
                                 "attribution_completeness")
+
+
+# --- evidence, claims and the claim audit -----------------------------------------------
+def _revenue_report(spark, sf_dir):
+    from shiftscope.operators.root_cause import investigate_revenue_change
+    return investigate_revenue_change(A.events_tables(spark, sf_dir), EVENTS_PERIODS, steps=EVENT_STEPS)
+
+
+def _report_evidence_ids(report):
+    from shiftscope.plans.claims import evidence_ids
+    return evidence_ids(report["kpis"], report["decompositions"], report["overall_funnel"],
+                        report["leading_device_funnel"], report["related_incidents"],
+                        report["ranked_candidates"])
+
+
+def _claims_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+
+
+@register("evidence_ids")
+def q_evidence_ids(spark, sf_dir):
+    """Every evidence id of the revenue investigation (events mapping)."""
+    return _report_evidence_ids(_revenue_report(spark, sf_dir))
+
+
+@register("report_claims")
+def q_report_claims(spark, sf_dir):
+    """Executive claims of the revenue investigation, each citing evidence ids."""
+    from shiftscope.plans.claims import revenue_claims
+    r = _revenue_report(spark, sf_dir)
+    return _claims_text(revenue_claims(r["kpis"], r["ranked_candidates"], r["related_incidents"]))
+
+
+@register("claims_unsupported")
+def q_claims_unsupported(spark, sf_dir):
+    """Audit of report claims plus claims cited in assistant turns (whole texts)
+    against the revenue investigation's evidence ids."""
+    from shiftscope.plans.claims import audit_claims, claims_from_text, revenue_claims
+    r = _revenue_report(spark, sf_dir)
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter(F.col("role") == "assistant")
+    conv = conv.select(F.concat_ws("-", "conv_id", "turn").alias("claim_key"), "text")
+    claims = revenue_claims(r["kpis"], r["ranked_candidates"], r["related_incidents"]).unionByName(
+        claims_from_text(conv, "claim_key", "text", "conversation"))
+    return audit_claims(claims, _report_evidence_ids(r)).withColumn(
+        "unknown_ids", F.array_join("unknown_ids", ","))
