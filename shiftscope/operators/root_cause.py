@@ -32,7 +32,7 @@ def dimension_candidates(decomposition: DataFrame, scope: Mapping[str, str] | No
                          dimensions: Sequence[str] = DEFAULT_DIMENSIONS) -> DataFrame:
     """C5 + W2: top 3 segments per dimension (rank kept), falling ones scored."""
     scope = dict(scope or {})
-    rel = F.element_at(F.create_map(*[x for d in dimensions for x in (F.lit(d), F.lit(DIMENSION_RELIABILITY[d]))]),
+    rel = F.try_element_at(F.create_map(*[x for d in dimensions for x in (F.lit(d), F.lit(DIMENSION_RELIABILITY[d]))]),
                        F.col("dimension"))
     share = F.coalesce(F.col("contribution_share"), F.lit(0.0))
     raw = (F.least(F.abs(share), F.lit(1.0)) * F.lit(SHARE_WEIGHT)

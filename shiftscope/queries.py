@@ -440,3 +440,88 @@ def q_claims_unsupported(spark, sf_dir):
         claims_from_text(conv, "claim_key", "text", "conversation"))
     return audit_claims(claims, _report_evidence_ids(r)).withColumn(
         "unknown_ids", F.array_join("unknown_ids", ","))
+
+
+# --- requests, questions and plans (conversations) --------------------------------------
+def _requests(spark, sf_dir):
+    raw = A.Raw(spark, sf_dir)
+    return A.requests(raw), A.planner_replies(raw)
+
+
+def _plans(spark, sf_dir):
+    from shiftscope.plans.planning import rule_plans
+    req, rep = _requests(spark, sf_dir)
+    baseline = rule_plans(req, req, "question")
+    candidate = rule_plans(req, rep, "reply")
+    return req, baseline, candidate
+
+
+def _scope_text(df: DataFrame) -> DataFrame:
+    return df
+
+
+@register("request_errors")
+def q_request_errors(spark, sf_dir):
+    """Validation errors of every request (question length, period rules)."""
+    from shiftscope.plans.questions import request_errors
+    req, _ = _requests(spark, sf_dir)
+    return request_errors(req).withColumn("errors", F.array_join("errors", ","))
+
+
+@register("question_scope")
+def q_question_scope(spark, sf_dir):
+    """R2: dictionary scope values stated as whole words in each (whole) question."""
+    from shiftscope.plans.questions import question_scope
+    req, _ = _requests(spark, sf_dir)
+    return question_scope(req)
+
+
+@register("question_type")
+def q_question_type(spark, sf_dir):
+    """Ordered-rule question type, metric and tool of each request."""
+    from shiftscope.plans.questions import question_scope, question_type
+    req, _ = _requests(spark, sf_dir)
+    return question_type(req, question_scope(req))
+
+
+@register("scope_check")
+def q_scope_check(spark, sf_dir):
+    """Scope proposed by the reply planner, canonicalised and checked against the question."""
+    from shiftscope.plans.questions import SCOPE_FIELDS, question_scope, scope_check
+    req, rep = _requests(spark, sf_dir)
+    tags = question_scope(rep, "request_id", "reply")
+    pairs = F.array(*[F.struct(F.lit(f).alias("dimension"), F.col(f).alias("value")) for f in SCOPE_FIELDS])
+    proposals = tags.select("request_id", F.inline(pairs)).filter(F.col("value").isNotNull())
+    return scope_check(proposals, req)
+
+
+@register("plan_audit")
+def q_plan_audit(spark, sf_dir):
+    """The reply planner's plans audited against their requests."""
+    from shiftscope.plans.planning import plan_audit
+    req, _, candidate = _plans(spark, sf_dir)
+    return plan_audit(candidate, req)
+
+
+@register("plan_agreement")
+def q_plan_agreement(spark, sf_dir):
+    """Agreement of the reply planner with the question planner, per request."""
+    from shiftscope.plans.planning import plan_agreement
+    req, baseline, candidate = _plans(spark, sf_dir)
+    return plan_agreement(baseline, candidate, req)
+
+
+@register("plan_agreement_rates")
+def q_plan_agreement_rates(spark, sf_dir):
+    """Agreement rates over all requests."""
+    from shiftscope.plans.planning import plan_agreement, plan_agreement_rates
+    req, baseline, candidate = _plans(spark, sf_dir)
+    return finish(plan_agreement_rates(plan_agreement(baseline, candidate, req)))
+
+
+@register("plan_consensus")
+def q_plan_consensus(spark, sf_dir):
+    """Consensus plan per request (candidate only when it agrees and is valid)."""
+    from shiftscope.plans.planning import plan_consensus
+    req, baseline, candidate = _plans(spark, sf_dir)
+    return plan_consensus(baseline, candidate, req)

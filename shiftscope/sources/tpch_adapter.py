@@ -50,7 +50,7 @@ def _s(c) -> F.Column:
 
 
 def _pick(values: tuple[str, ...], index: F.Column) -> F.Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.try_element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
 def customers(raw: Raw) -> DataFrame:
@@ -241,3 +241,33 @@ def events_tables(spark: SparkSession, sf_dir: str) -> MarketingTables:
         sessions=lambda: events_sessions(raw), conversions=lambda: events_conversions(raw),
         funnel_events=lambda: events_funnel(raw), marketing_incidents=lambda: marketing_incidents(raw),
         anomaly_ground_truth=lambda: anomaly_ground_truth(raw))
+
+
+# --- requests and planner replies (table jobs) -------------------------------------
+REQUEST_EPOCH = "2000-07-01"     # current_start = epoch + conv_id % 5
+PERIOD_DAYS = 181
+
+
+def requests(raw: Raw) -> DataFrame:
+    """One investigation request per user turn of ``conversations``: the turn's whole text is
+    the question; period bounds vary with the ids so that some requests are invalid."""
+    c = raw.conversations.filter(F.col("role") == "user")
+    cs = F.date_add(F.lit(REQUEST_EPOCH).cast("date"), (F.col("conv_id") % 5).cast("int"))
+    pe = F.date_add(F.lit(REQUEST_EPOCH).cast("date"), (F.col("conv_id") % 7 - 3).cast("int"))
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"),
+                    F.col("text").alias("question"),
+                    cs.alias("current_start"),
+                    F.date_add(cs, (F.lit(PERIOD_DAYS) - F.col("turn") % 2).cast("int")).alias("current_end"),
+                    F.date_add(pe, -PERIOD_DAYS).alias("previous_start"),
+                    pe.alias("previous_end"))
+
+
+def planner_replies(raw: Raw) -> DataFrame:
+    """The assistant turn that follows each user turn (the second planner's text)."""
+    c = raw.conversations
+    users = c.filter(F.col("role") == "user").select("conv_id", "turn")
+    replies = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return (users.join(replies, ["conv_id", "turn"], "left")
+            .select(F.concat_ws("-", "conv_id", "turn").alias("request_id"),
+                    F.coalesce("reply", F.lit("")).alias("reply")))
