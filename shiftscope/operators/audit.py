@@ -23,7 +23,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def table_row_counts(t: MarketingTables) -> DataFrame:
     """``(table_name, row_count)`` for every table present."""
-    return _union([df.agg(F.count(F.lit(1)).alias("row_count"))
+    return _union([df.agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
                    .select(F.lit(name).alias("table_name"), "row_count")
                    for name, df in t.present().items()])
 
@@ -49,10 +49,13 @@ def constraint_audit(t: MarketingTables) -> DataFrame:
     for child, col, parent, pcol in FOREIGN_KEYS:
         if child in tables and parent in tables and col in tables[child].columns \
                 and pcol in tables[parent].columns:
+            # pre-aggregate child keys (a hot key shrinks to one row per task) before
+            # the anti join against the parent's keys
             keys = tables[parent].select(F.col(pcol).alias("_k"))
-            orphans = (tables[child].select(F.col(col).alias("_k")).filter(F.col("_k").isNotNull())
-                       .join(keys, "_k", "left_anti")
-                       .agg(F.count(F.lit(1)).alias("violations")))
+            child_keys = (tables[child].select(F.col(col).alias("_k")).filter(F.col("_k").isNotNull())
+                          .groupBy("_k").agg(F.count(F.lit(1)).alias("_n")))
+            orphans = (child_keys.join(keys, "_k", "left_anti")
+                       .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("violations")))
             frames.append(orphans.select(F.lit(child).alias("table_name"),
                                          F.lit(f"foreign_key:{parent}.{pcol}").alias("check_name"),
                                          F.lit(col).alias("column_name"), "violations"))

@@ -525,3 +525,18 @@ def q_plan_consensus(spark, sf_dir):
     from shiftscope.plans.planning import plan_consensus
     req, baseline, candidate = _plans(spark, sf_dir)
     return plan_consensus(baseline, candidate, req)
+
+
+# --- audits ------------------------------------------------------------------------------
+@register("table_row_counts")
+def q_table_row_counts(spark, sf_dir):
+    """Row count of every logical table of the orders mapping."""
+    from shiftscope.operators.audit import table_row_counts
+    return table_row_counts(A.orders_tables(spark, sf_dir))
+
+
+@register("constraint_audit")
+def q_constraint_audit(spark, sf_dir):
+    """S3: declared primary-key, NOT NULL and foreign-key checks of the orders mapping."""
+    from shiftscope.operators.audit import constraint_audit
+    return constraint_audit(A.orders_tables(spark, sf_dir))
