@@ -540,3 +540,36 @@ def q_constraint_audit(spark, sf_dir):
     """S3: declared primary-key, NOT NULL and foreign-key checks of the orders mapping."""
     from shiftscope.operators.audit import constraint_audit
     return constraint_audit(A.orders_tables(spark, sf_dir))
+
+
+# --- benchmark scoring ---------------------------------------------------------------------
+def _case_scores(spark, sf_dir):
+    from shiftscope.plans.claims import audit_claims, revenue_claims
+    from shiftscope.plans.evaluation import investigation_summary, score_cases
+    r = _revenue_report(spark, sf_dir)
+    audit = audit_claims(revenue_claims(r["kpis"], r["ranked_candidates"], r["related_incidents"]),
+                         _report_evidence_ids(r))
+    summary = investigation_summary("revenue", "root_cause_analysis", r["ranked_candidates"],
+                                    r["related_incidents"], audit)
+    cases = A.benchmark_cases(A.orders_tables(spark, sf_dir).anomaly_ground_truth, "revenue")
+    return score_cases(cases, summary)
+
+
+@register("benchmark_cases")
+def q_benchmark_cases(spark, sf_dir):
+    """Every anomaly-derived case scored against the revenue investigation."""
+    return finish(_case_scores(spark, sf_dir))
+
+
+@register("driver_recall")
+def q_driver_recall(spark, sf_dir):
+    """Primary-driver match and top-3 recall per case."""
+    from shiftscope.plans.evaluation import driver_recall
+    return finish(driver_recall(_case_scores(spark, sf_dir)))
+
+
+@register("benchmark_aggregate")
+def q_benchmark_aggregate(spark, sf_dir):
+    """Benchmark rates over all cases and over completed cases."""
+    from shiftscope.plans.evaluation import benchmark_aggregate
+    return finish(benchmark_aggregate(_case_scores(spark, sf_dir)))

@@ -271,3 +271,26 @@ def planner_replies(raw: Raw) -> DataFrame:
     return (users.join(replies, ["conv_id", "turn"], "left")
             .select(F.concat_ws("-", "conv_id", "turn").alias("request_id"),
                     F.coalesce("reply", F.lit("")).alias("reply")))
+
+
+# Question type expected for an anomaly's affected metric.
+EXPECTED_TYPE = {"revenue": "root_cause_analysis", "checkout_completion_rate": "root_cause_analysis",
+                 "sessions": "traffic_analysis", "cpc": "campaign_performance_analysis",
+                 "conversion_rate": "campaign_performance_analysis",
+                 "attribution_completeness": "data_quality_analysis",
+                 "negative_review_rate": "sentiment_analysis"}
+
+
+def benchmark_cases(anomalies: DataFrame, investigation_id: str) -> DataFrame:
+    """Benchmark cases whose expectations come from anomaly rows: the ``name=value``
+    dimension is the expected driver, the root cause the expected incident text."""
+    kv = F.split("affected_dimension", "=", 2)
+    exp_type = F.try_element_at(F.create_map(*[x for k, v in EXPECTED_TYPE.items()
+                                               for x in (F.lit(k), F.lit(v))]), F.col("affected_metric"))
+    dim, seg = F.try_element_at(kv, F.lit(1)), F.try_element_at(kv, F.lit(2))
+    return anomalies.select(
+        F.col("scenario_id").alias("case_id"), F.lit(investigation_id).alias("investigation_id"),
+        exp_type.alias("expected_question_type"), dim.alias("expected_dimension"), seg.alias("expected_segment"),
+        F.array(F.struct(dim.alias("dimension"), seg.alias("segment"))).alias("expected_top_drivers"),
+        F.lit(None).cast("string").alias("expected_funnel_transition"),
+        F.col("root_cause").alias("expected_root_cause_contains"))
