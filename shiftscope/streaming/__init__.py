@@ -1,0 +1,4 @@
+"""No streaming operators: the reference runs every query as one batch.
+
+Batch many-request jobs live in ``shiftscope.operators.batch``.
+"""
