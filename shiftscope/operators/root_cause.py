@@ -81,6 +81,16 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("position", F.row_number().over(order)).drop("_group", "_sub")
 
 
+def _ranked(t: MarketingTables, periods: Periods, scope: dict, steps: Sequence[str],
+            dimensions: Sequence[str]):
+    decomposition = decompose(t, periods, list(dimensions), scope)
+    lead = leading_segment(decomposition)
+    lead_funnel = segment_funnels(t, periods, lead, LEAD_DIMENSION, scope, steps)
+    candidates = rank_candidates(dimension_candidates(decomposition, scope, dimensions)
+                                 .unionByName(funnel_candidates(lead_funnel, len(dimensions))))
+    return decomposition, lead_funnel, candidates
+
+
 def investigate_revenue_change(t: MarketingTables, periods: Periods,
                                scope: Mapping[str, str] | None = None,
                                steps: Sequence[str] = FUNNEL_STEPS,
@@ -94,11 +104,7 @@ def investigate_revenue_change(t: MarketingTables, periods: Periods,
     from shiftscope.operators.incidents import related_incidents
     from shiftscope.operators.kpi import compare_periods
     scope = dict(scope or {})
-    decomposition = decompose(t, periods, list(dimensions), scope)
-    lead = leading_segment(decomposition)
-    lead_funnel = segment_funnels(t, periods, lead, LEAD_DIMENSION, scope, steps)
-    candidates = rank_candidates(dimension_candidates(decomposition, scope, dimensions)
-                                 .unionByName(funnel_candidates(lead_funnel, len(dimensions))))
+    decomposition, lead_funnel, candidates = _ranked(t, periods, scope, steps, dimensions)
     return {
         "kpis": compare_periods(t, periods, scope),
         "decompositions": decomposition,
@@ -111,4 +117,5 @@ def investigate_revenue_change(t: MarketingTables, periods: Periods,
 
 def root_cause_candidates(t: MarketingTables, periods: Periods, scope: Mapping[str, str] | None = None,
                           steps: Sequence[str] = FUNNEL_STEPS) -> DataFrame:
-    return investigate_revenue_change(t, periods, scope, steps)["ranked_candidates"]
+    """C4's ranked candidates alone (plans only the frames they need)."""
+    return _ranked(t, periods, dict(scope or {}), steps, DEFAULT_DIMENSIONS)[2]

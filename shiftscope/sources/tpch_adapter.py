@@ -35,7 +35,9 @@ class Raw:
     """Readers of the driver's parquet tables, one DataFrame per table (footers read once)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._cache = spark, sf_dir, {}
+        # one reader per table and session: file listing and footers are read once
+        self.spark, self.sf_dir = spark, sf_dir
+        self._cache = spark.__dict__.setdefault("_shiftscope_readers", {}).setdefault(sf_dir, {})
 
     def __getattr__(self, table: str) -> DataFrame:
         if table.startswith("_"):
