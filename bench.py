@@ -18,7 +18,7 @@ HEADLINE = [
     "kpi_compare", "decompose_device", "decompose_product", "decompose_all_dimensions",
     "root_cause_candidates", "funnel_compare", "leading_segment_funnel", "traffic_candidates",
     "attribution_compare", "campaign_candidates", "review_topic", "experiment_lift",
-    "incidents_scoped", "session_facts",
+    "incidents_scoped", "session_facts", "batch_kpi_compare",
 ]
 
 

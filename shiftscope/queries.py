@@ -573,3 +573,23 @@ def q_benchmark_aggregate(spark, sf_dir):
     """Benchmark rates over all cases and over completed cases."""
     from shiftscope.plans.evaluation import benchmark_aggregate
     return finish(benchmark_aggregate(_case_scores(spark, sf_dir)))
+
+
+# --- batch form ----------------------------------------------------------------------------
+@register("batch_kpi_compare")
+def q_batch_kpi_compare(spark, sf_dir):
+    """C1 for every valid request of the conversations table in one scan, each with the
+    scope tagged from its own question (orders mapping)."""
+    from shiftscope.operators.batch import batch_kpi_compare
+    from shiftscope.plans.questions import question_scope, request_errors
+    from shiftscope.functions.scope import SESSION_SCOPE
+    req, _ = _requests(spark, sf_dir)
+    valid = request_errors(req).filter("valid").select("request_id")
+    tags = question_scope(req)
+    entries = F.array_compact(F.array(*[F.when(F.col(d).isNotNull(), F.struct(F.lit(d).alias("key"),
+                                                                               F.col(d).alias("value")))
+                                        for d in SESSION_SCOPE]))
+    cases = (req.join(valid, "request_id").join(tags.select("request_id", entries.alias("_e")), "request_id")
+             .select(F.col("request_id").alias("case_id"), "current_start", "current_end", "previous_start",
+                     "previous_end", F.map_from_entries("_e").alias("scope")))
+    return finish_long(batch_kpi_compare(A.orders_tables(spark, sf_dir), cases), KPI_MONEY)
