@@ -74,7 +74,8 @@ def pct_text(c) -> Column:
     # half-up to one decimal of a percent first, so the printed digit never depends on
     # how a formatter breaks ties
     tenths = F.floor(c.cast("double") * F.lit(1000.0) + F.lit(0.5)) / F.lit(10.0)
-    return F.coalesce(F.format_string("%.1f%%", tenths), F.lit(NULL_PERCENT))
+    # (format_string prints a NULL argument as text, so NULL is handled first)
+    return F.when(c.isNull(), F.lit(NULL_PERCENT)).otherwise(F.format_string("%.1f%%", tenths))
 
 
 def _fill(template: str, **parts: Column) -> Column:
@@ -206,7 +207,7 @@ def attribution_claims(kpis: DataFrame, driver: DataFrame, incidents: DataFrame
     un_text = F.when(F.col("percent_change").isNotNull(),
                      _fill(t["unattributed_session_change"], pct=pct_text("percent_change"))) \
         .otherwise(_fill(t["unattributed_session_counts"],
-                         prev=F.format_string("%.0f", F.col("previous")),
+                             prev=F.format_string("%.0f", F.col("previous")),
                          cur=F.format_string("%.0f", F.col("current"))))
     frames = _simple_report(
         report, kpis.filter(F.col("metric") == "attribution_completeness"), "attribution_completeness_change",
