@@ -12,7 +12,7 @@ from typing import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.functions.expr import clamp, evidence_id, pct_change, safe_ratio
+from shiftscope.functions.expr import clamp, evidence_id, pct_change, row_number_by, safe_ratio
 from shiftscope.functions.scope import CAMPAIGN_SCOPE, check_scope, scope_identity, scope_predicate
 from shiftscope.operators.compare import compare_long, single_period, widen
 from shiftscope.periods import Periods
@@ -126,6 +126,5 @@ def campaign_candidates(t: MarketingTables, periods: Periods, metric: str,
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    # The candidate list is bounded by the number of channels and campaigns.
-    rank = Window.orderBy(F.col("score").desc(), F.col("_order"), F.col("segment").asc_nulls_first())
-    return out.withColumn("rank_within_dimension", F.row_number().over(rank)).drop("_order")
+    return row_number_by(out, [], [F.col("score").desc(), F.col("_order"), F.col("segment").asc_nulls_first()],
+                         "rank_within_dimension").drop("_order")

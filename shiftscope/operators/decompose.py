@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftscope.functions.expr import C, evidence_id
+from shiftscope.functions.expr import C, evidence_id, row_number_by
 from shiftscope.functions.scope import scope_identity
 from shiftscope.functions.stats import with_two_proportion_test
 from shiftscope.operators.facts import scoped_sessions, with_conversions
@@ -65,7 +65,6 @@ def decompose(t: MarketingTables, periods: Periods, dimensions: Sequence[str] =
     (1 = first in the direction-aware order W1: ascending change when the dimension's
     total fell, else descending; ties by segment)."""
     g = segment_period_totals(t, periods, dimensions, scope)
-    by_dim = Window.partitionBy("dimension")
     g = g.withColumns({
         "revenue_change": F.expr("current_revenue - previous_revenue"),
         "current_conversion_rate": F.expr(
@@ -74,13 +73,14 @@ def decompose(t: MarketingTables, periods: Periods, dimensions: Sequence[str] =
             "CASE WHEN previous_sessions > 0 THEN previous_conversions / previous_sessions ELSE 0.0 END"),
         "_seg_key": F.expr("coalesce(segment, 'None')"),
     })
-    g = g.withColumn("_total", F.round(F.sum("revenue_change").over(by_dim), 4))
-    ordered = Window.partitionBy("dimension").orderBy(
-        F.expr("CASE WHEN _total >= 0 THEN -revenue_change ELSE revenue_change END"),
-        F.col("segment").asc_nulls_first())
+    totals = g.groupBy("dimension").agg(F.round(F.sum("revenue_change"), 4).alias("_total"))
+    g = g.join(totals, "dimension")
     g = with_two_proportion_test(g, "current_conversions", "current_sessions",
                                  "previous_conversions", "previous_sessions",
                                  p="conversion_rate_p_value", z="_z")
+    g = row_number_by(g, ["dimension"],
+                      [F.expr("CASE WHEN _total >= 0 THEN -revenue_change ELSE revenue_change END"),
+                       F.col("segment").asc_nulls_first()], "rank_in_dimension")
     return g.select(
         evidence_id("dim_", "dimension", C("dimension"), C("_seg_key"),
                     *periods.key_parts(), scope_identity(scope)).alias("evidence_id"),
@@ -94,7 +94,7 @@ def decompose(t: MarketingTables, periods: Periods, dimensions: Sequence[str] =
         "current_conversion_rate", "previous_conversion_rate",
         F.expr("current_conversion_rate - previous_conversion_rate").alias("conversion_rate_change"),
         "conversion_rate_p_value", "statistically_significant",
-        F.row_number().over(ordered).alias("rank_in_dimension"),
+        "rank_in_dimension",
     )
 
 
