@@ -77,29 +77,3 @@ def money_sum(c: str) -> Column:
 
 def clamp(c, lo: float, hi: float) -> Column:
     return F.least(F.greatest(col(c), F.lit(lo)), F.lit(hi))
-
-
-def row_number_by(df, partition_cols: list[str], order_cols: list, name: str):
-    """``row_number()`` over (partition by ... order by ...) without putting a partition's
-    rows in one task.
-
-    The rows are range-partitioned and sorted on partition and order keys (the order
-    keys must make rows unique); ``monotonically_increasing_id`` then numbers them in
-    order inside each task, per-task counts (at most one row per task, a bounded table
-    that is broadcast) give each task's offset, and the first number of each group is
-    subtracted.  Large groups stay spread over many tasks.
-    """
-    from pyspark.sql import Window
-    keys = [F.col(c) for c in partition_cols] + list(order_cols)
-    s = (df.orderBy(*keys)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    s = (s.join(F.broadcast(offsets), "_pid")
-         .withColumn("_g", F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33) + 1))
-    if partition_cols:
-        first = s.groupBy(*partition_cols).agg(F.min("_g").alias("_first"))
-        s = s.join(first, partition_cols).withColumn(name, (F.col("_g") - F.col("_first") + 1).cast("int"))
-        return s.drop("_pid", "_mid", "_off", "_g", "_first")
-    return s.withColumn(name, F.col("_g").cast("int")).drop("_pid", "_mid", "_off", "_g")
