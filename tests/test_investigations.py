@@ -43,3 +43,12 @@ def test_metric_registry(spark):
                                "metric_name string, definition string, formula string, required_columns string, "
                                "allowed_dimensions string, business_context string, owner string")
     assert [r.metric_name for r in I.metric_registry(df).collect()] == ["cpc", "roas"]
+
+
+def test_materialized_investigation_matches_lazy(spark):
+    from shiftscope.operators.root_cause import investigate_revenue_change
+    ev = A.events_tables(spark, SF)
+    lazy = investigate_revenue_change(ev, EVENTS_PERIODS, steps=EVENT_STEPS)["ranked_candidates"]
+    mat = investigate_revenue_change(ev, EVENTS_PERIODS, steps=EVENT_STEPS, materialize=True)["ranked_candidates"]
+    key = lambda r: r.position
+    assert sorted(lazy.collect(), key=key) == sorted(mat.collect(), key=key)
