@@ -30,7 +30,8 @@ def main() -> None:
     from shiftscope.session import local_session
     from shiftscope.queries import REGISTRY, ORDERS_PERIODS
     from shiftscope.sources import tpch_adapter as A
-    spark = local_session(cpus, shuffle_partitions=max(8, 2 * cpus), app="shiftscope-bench")
+    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * cpus))),
+                          app="shiftscope-bench")
 
     def run(df):
         df.write.format("noop").mode("overwrite").save()
