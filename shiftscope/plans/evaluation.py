@@ -18,30 +18,33 @@ FLAGS = ("classification_correct", "primary_driver_correct", "funnel_transition_
 
 def investigation_summary(investigation_id: str, question_type: str, candidates: DataFrame,
                           incidents: DataFrame, claim_audit: DataFrame) -> DataFrame:
-    """One row describing an investigation's outcome.
+    """One row describing an investigation's outcome, from one aggregate over the
+    candidates, incidents and claim-audit rows (tagged union, no joins).
 
     ``candidates`` carries ``position`` (1 = primary); the root-cause texts are the
     distinct lower-cased incident causes (bounded by the cause vocabulary).
     """
-    iid = F.lit(investigation_id).alias("investigation_id")
-    ranked = candidates.select(iid, "position", "candidate_type", F.lower("dimension").alias("d"),
-                               F.lower("segment").alias("s"), "transition")
-    drivers = ranked.groupBy("investigation_id").agg(
-        F.min_by(F.struct("d", "s"), "position").alias("primary"),
-        F.array_sort(F.collect_list(F.when(F.col("position") <= 3, F.struct("position", "d", "s"))))
+    cand = F.struct("position", F.lower("dimension").alias("d"), F.lower("segment").alias("s"),
+                    "candidate_type", "transition")
+    null_cand = F.lit(None).cast("struct<position:int,d:string,s:string,candidate_type:string,transition:string>")
+    rows = (candidates.select(cand.alias("c"), F.lit(None).cast("string").alias("cause"),
+                              F.lit(None).cast("boolean").alias("approved"))
+            .unionByName(incidents.select(null_cand.alias("c"), F.lower("root_cause").alias("cause"),
+                                          F.lit(None).cast("boolean").alias("approved")))
+            .unionByName(claim_audit.select(null_cand.alias("c"), F.lit(None).cast("string").alias("cause"),
+                                            "approved")))
+    agg = rows.agg(
+        F.min_by(F.struct(F.col("c.d").alias("d"), F.col("c.s").alias("s")), F.col("c.position")).alias("primary"),
+        F.array_sort(F.collect_list(F.when(F.col("c.position") <= 3, F.struct(
+            F.col("c.position").alias("position"), F.col("c.d").alias("d"), F.col("c.s").alias("s")))))
         .alias("top3"),
-        F.collect_set(F.when(F.col("candidate_type") == "funnel_driver", F.col("transition"))).alias("transitions"))
-    causes = (incidents.select(iid, F.lower("root_cause").alias("c")).distinct()
-              .groupBy("investigation_id").agg(F.collect_list("c").alias("causes")))
-    audit = (claim_audit.select(iid, "approved").groupBy("investigation_id")
-             .agg(F.count(F.lit(1)).alias("n_claims"), F.count_if(~F.col("approved")).alias("n_bad_claims")))
-    base = drivers.select("investigation_id", F.lit(question_type).alias("question_type"), "primary", "top3",
-                          "transitions")
-    return (base.join(causes, "investigation_id", "left").join(audit, "investigation_id", "left")
-            .select("investigation_id", "question_type", "primary", "top3", "transitions",
-                    F.coalesce("causes", F.array().cast("array<string>")).alias("causes"),
-                    F.coalesce("n_claims", F.lit(0)).alias("n_claims"),
-                    F.coalesce("n_bad_claims", F.lit(0)).alias("n_bad_claims")))
+        F.collect_set(F.when(F.col("c.candidate_type") == "funnel_driver", F.col("c.transition"))).alias("transitions"),
+        F.collect_set("cause").alias("causes"),
+        F.count("approved").alias("n_claims"),
+        F.count_if(~F.col("approved")).alias("n_bad_claims"))
+    return agg.select(F.lit(investigation_id).alias("investigation_id"),
+                      F.lit(question_type).alias("question_type"), "primary", "top3", "transitions", "causes",
+                      "n_claims", "n_bad_claims")
 
 
 def score_cases(cases: DataFrame, summaries: DataFrame) -> DataFrame:

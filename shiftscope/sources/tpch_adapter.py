@@ -283,15 +283,19 @@ EXPECTED_TYPE = {"revenue": "root_cause_analysis", "checkout_completion_rate": "
                  "negative_review_rate": "sentiment_analysis"}
 
 
-def benchmark_cases(anomalies: DataFrame, investigation_id: str) -> DataFrame:
+def benchmark_cases(anomalies: DataFrame, investigations: dict[str, str]) -> DataFrame:
     """Benchmark cases whose expectations come from anomaly rows: the ``name=value``
-    dimension is the expected driver, the root cause the expected incident text."""
+    dimension is the expected driver, the root cause the expected incident text.  Each
+    case is routed to the investigation that answers its expected question type
+    (``investigations``: question type -> investigation id); other cases have none."""
     kv = F.split("affected_dimension", "=", 2)
     exp_type = F.try_element_at(F.create_map(*[x for k, v in EXPECTED_TYPE.items()
                                                for x in (F.lit(k), F.lit(v))]), F.col("affected_metric"))
     dim, seg = F.try_element_at(kv, F.lit(1)), F.try_element_at(kv, F.lit(2))
     return anomalies.select(
-        F.col("scenario_id").alias("case_id"), F.lit(investigation_id).alias("investigation_id"),
+        F.col("scenario_id").alias("case_id"),
+        F.try_element_at(F.create_map(*[x for k, v in investigations.items() for x in (F.lit(k), F.lit(v))]),
+                         exp_type).alias("investigation_id"),
         exp_type.alias("expected_question_type"), dim.alias("expected_dimension"), seg.alias("expected_segment"),
         F.array(F.struct(dim.alias("dimension"), seg.alias("segment"))).alias("expected_top_drivers"),
         F.lit(None).cast("string").alias("expected_funnel_transition"),
