@@ -595,3 +595,50 @@ def q_batch_kpi_compare(spark, sf_dir):
              .select(F.col("request_id").alias("case_id"), "current_start", "current_end", "previous_start",
                      "previous_end", F.map_from_entries("_e").alias("scope")))
     return finish_long(batch_kpi_compare(A.orders_tables(spark, sf_dir), cases), KPI_MONEY)
+
+
+# --- claims of the other five report types ------------------------------------------------
+def _claims_of(result) -> DataFrame:
+    from shiftscope.investigations import report_claims
+    return _claims_text(report_claims(result))
+
+
+@register("report_claims_campaign")
+def q_report_claims_campaign(spark, sf_dir):
+    """R8 campaign template: claims of the CPC investigation over channels and campaigns."""
+    from shiftscope.investigations import investigate_campaign_performance
+    return _claims_of(investigate_campaign_performance(A.orders_tables(spark, sf_dir), ORDERS_PERIODS,
+                                                       CANDIDATE_METRIC))
+
+
+@register("report_claims_traffic")
+def q_report_claims_traffic(spark, sf_dir):
+    """R8 traffic template: claims of the session investigation scoped to channel=1-URGENT."""
+    from shiftscope.investigations import investigate_traffic_change
+    return _claims_of(investigate_traffic_change(A.orders_tables(spark, sf_dir), ORDERS_PERIODS, "sessions",
+                                                 {"channel": "1-URGENT"}))
+
+
+@register("report_claims_attribution")
+def q_report_claims_attribution(spark, sf_dir):
+    """R8 attribution template."""
+    from shiftscope.investigations import investigate_attribution_quality
+    return _claims_of(investigate_attribution_quality(A.orders_tables(spark, sf_dir), ORDERS_PERIODS))
+
+
+@register("report_claims_sentiment")
+def q_report_claims_sentiment(spark, sf_dir):
+    """R8 sentiment template (whole review texts)."""
+    from shiftscope.investigations import investigate_review_sentiment
+    return _claims_of(investigate_review_sentiment(A.orders_tables(spark, sf_dir), REVIEW_PERIODS,
+                                                   terms=REVIEW_TERMS))
+
+
+@register("report_claims_experiment")
+def q_report_claims_experiment(spark, sf_dir):
+    """R8 experiment template, one claim set per experiment in the window."""
+    from shiftscope.operators.experiment import experiment_lift
+    from shiftscope.plans.claims import experiment_claims
+    p = ORDERS_PERIODS
+    lift = experiment_lift(A.orders_tables(spark, sf_dir).experiments, p.current_start, p.current_end)
+    return _claims_text(experiment_claims(lift))
