@@ -73,9 +73,12 @@ def campaigns(raw: Raw) -> DataFrame:
 
 
 def _customer_country(raw: Raw) -> DataFrame:
+    """Country per customer key.  Keyed by an aggregate (``c_custkey`` is the customer
+    key, so ``min`` is the lookup) so that Catalyst can drop the join from every plan
+    that prunes ``country``."""
     c, n = raw.customer, raw.nation
     return (c.join(n, c.c_nationkey == n.n_nationkey, "left")
-            .select(F.col("c_custkey").alias("_ck"), F.col("n_name").alias("country")))
+            .groupBy(F.col("c_custkey").alias("_ck")).agg(F.min("n_name").alias("country")))
 
 
 # --- orders mapping ----------------------------------------------------------------
