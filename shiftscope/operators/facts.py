@@ -49,7 +49,11 @@ def scoped_sessions(t: MarketingTables, periods: Periods, scope: Mapping[str, st
     scope = dict(scope or {})
     scope_predicate(scope, SESSION_SCOPE, "Session analysis")  # validates keys
     need_campaign = need_campaign or scope.get("campaign") is not None
-    s = (t.sessions.filter(periods.in_either("timestamp"))
+    sessions = t.sessions
+    if "day" in sessions.columns:
+        # day-partitioned storage: the same half-open bounds on the date prune partitions
+        sessions = sessions.filter(periods.in_either("day", as_date=True))
+    s = (sessions.filter(periods.in_either("timestamp"))
          .select("session_id", "customer_id", "timestamp", "device", "country",
                  F.col("traffic_source").alias("channel"), "campaign_id", "landing_page"))
     s = s.join(t.customers.select("customer_id", "customer_segment"), "customer_id", "inner")

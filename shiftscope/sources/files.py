@@ -6,6 +6,8 @@
 * ``benchmark_cases`` / ``recorded_plans`` read the evaluation inputs with explicit
   schemas.
 * ``write_tables`` writes evidence tables (one folder per table).
+* ``write_logical_tables`` / ``load_parquet_tables`` materialise the logical tables once,
+  sessions and funnel events partitioned by day, so period filters prune partitions.
 """
 
 from __future__ import annotations
@@ -93,3 +95,33 @@ def write_tables(frames: Mapping[str, DataFrame], path: str, fmt: str = "json",
         raise ValueError("fmt must be json or parquet")
     for name, df in frames.items():
         df.write.mode(mode).format(fmt).save(os.path.join(path, name))
+
+
+# Tables written with a partition column, and the column each is partitioned by.
+PARTITIONED = {"sessions": ("day", "timestamp"), "funnel_events": ("day", "timestamp"),
+               "daily_campaign_metrics": ("date", None)}
+
+
+def write_logical_tables(t: MarketingTables, path: str, mode: str = "overwrite") -> None:
+    """Materialise the logical tables once as parquet under ``path`` (shared storage).
+
+    Sessions and funnel events get a ``day`` partition column (the date of their
+    timestamp) and daily metrics are partitioned by ``date``; period filters on those
+    tables then prune whole partitions.
+    """
+    for name, df in t.present().items():
+        writer = df
+        part = PARTITIONED.get(name)
+        if part and part[1] is not None:
+            writer = df.withColumn(part[0], F.to_date(part[1]))
+        w = writer.write.mode(mode)
+        if part:
+            w = w.partitionBy(part[0])
+        w.parquet(os.path.join(path, name))
+
+
+def load_parquet_tables(spark: SparkSession, path: str) -> MarketingTables:
+    """The tables written by ``write_logical_tables`` (lazily, one reader each)."""
+    _require(path, "table directory")
+    names = [n for n in TABLE_NAMES if os.path.isdir(os.path.join(path, n))]
+    return MarketingTables(**{n: (lambda n=n: spark.read.parquet(os.path.join(path, n))) for n in names})

@@ -53,3 +53,20 @@ def test_write_tables(spark, tmp_path):
     write_tables({"kpis": df}, str(tmp_path / "out"), "json")
     back = spark.read.json(str(tmp_path / "out" / "kpis")).collect()
     assert back[0].evidence_id == "kpi_1"
+
+
+def test_materialised_tables_prune_partitions(spark, tmp_path):
+    from shiftscope.operators.decompose import decompose
+    from shiftscope.queries import ORDERS_PERIODS
+    from shiftscope.sources import tpch_adapter as A
+    from shiftscope.sources.files import load_parquet_tables, write_logical_tables
+    t = A.orders_tables(spark, "/root/testdata/sf0.001")
+    write_logical_tables(t, str(tmp_path / "logical"))
+    m = load_parquet_tables(spark, str(tmp_path / "logical"))
+    assert "day" in m.sessions.columns
+    direct = sorted(decompose(t, ORDERS_PERIODS, ["device"]).collect(), key=lambda r: r.segment)
+    stored = decompose(m, ORDERS_PERIODS, ["device"])
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    scan = [x for x in plan.split("\\n") if "FileScan parquet" in x and "sessions" in x][0]
+    assert "PartitionFilters: [" in scan and "day" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted(stored.collect(), key=lambda r: r.segment) == direct
