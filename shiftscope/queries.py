@@ -597,6 +597,28 @@ def q_batch_kpi_compare(spark, sf_dir):
     return finish_long(batch_kpi_compare(A.orders_tables(spark, sf_dir), cases), KPI_MONEY)
 
 
+def _batch_cases(spark, sf_dir):
+    from shiftscope.plans.questions import question_scope, request_errors
+    from shiftscope.functions.scope import SESSION_SCOPE
+    req, _ = _requests(spark, sf_dir)
+    valid = request_errors(req).filter("valid").select("request_id")
+    tags = question_scope(req)
+    entries = F.array_compact(F.array(*[F.when(F.col(d).isNotNull(), F.struct(F.lit(d).alias("key"),
+                                                                               F.col(d).alias("value")))
+                                        for d in SESSION_SCOPE]))
+    return (req.join(valid, "request_id").join(tags.select("request_id", entries.alias("_e")), "request_id")
+            .select(F.col("request_id").alias("case_id"), "current_start", "current_end", "previous_start",
+                    "previous_end", F.map_from_entries("_e").alias("scope")))
+
+
+@register("batch_decompose")
+def q_batch_decompose(spark, sf_dir):
+    """C2 by device and channel for every valid request in one job (orders mapping)."""
+    from shiftscope.operators.batch import batch_decompose
+    return finish(batch_decompose(A.orders_tables(spark, sf_dir), _batch_cases(spark, sf_dir),
+                                  ["device", "channel"]), DIM_MONEY)
+
+
 # --- claims of the other five report types ------------------------------------------------
 def _claims_of(result) -> DataFrame:
     from shiftscope.investigations import report_claims
