@@ -19,7 +19,7 @@ HEADLINE = [
     "decompose_each_dimension_separately",
     "root_cause_candidates", "funnel_compare", "leading_segment_funnel", "traffic_candidates",
     "attribution_compare", "campaign_candidates", "review_topic", "experiment_lift",
-    "incidents_scoped", "session_facts", "batch_kpi_compare",
+    "incidents_scoped", "session_facts", "batch_kpi_compare", "batch_decompose",
 ]
 
 
@@ -59,7 +59,7 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)", sf_dir)
     # reported, not part of the total: a comparison run, and the batch job whose work is
     # (number of requests) x (data per request)
-    compare_only = {"decompose_each_dimension_separately", "batch_kpi_compare"}
+    compare_only = {"decompose_each_dimension_separately", "batch_kpi_compare", "batch_decompose"}
     extra_metrics = {}
     if "batch_kpi_compare" in timings:
         from shiftscope.sources import tpch_adapter as A2
