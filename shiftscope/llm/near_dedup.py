@@ -273,3 +273,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return member.join(found.withColumnRenamed("id", "rep"), "rep", "left") \
         .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")) \
         .withColumn("kept", F.expr("doc_id = component_id"))
+
+
+def unique_documents(docs: DataFrame, **options) -> DataFrame:
+    """One document of each near-duplicate group (its smallest id), unchanged.
+
+    Rows that repeat an id are one document: one of them stays.  Rows without an id cannot be named in
+    a group and stay."""
+    gone = stash(near_duplicates(docs, **options).filter("not kept").select("doc_id").distinct(), "duplicates")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = stash(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(
+        left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))

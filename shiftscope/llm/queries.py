@@ -18,6 +18,7 @@ from .packing import packed_documents
 from .pii import pii_digest
 from .repair_tokens import read_token_files, write_token_files
 from .secrets import secret_digest
+from .suffix_dedup import without_repeats
 from .warc import derived_records
 
 
@@ -54,6 +55,11 @@ def op3_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that an earlier document holds too."""
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as Re-Pair token files in the shared folder, read back."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/tokens"
@@ -88,5 +94,6 @@ def op10_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_minhash_near_dedup, op3_karmarkar_karp_packing, op5_repair_token_files, op6_secret_scan,
+    f.__name__: f for f in (op1_pii, op2_minhash_near_dedup, op3_karmarkar_karp_packing, op4_suffix_array_dedup,
+                            op5_repair_token_files, op6_secret_scan,
                             op7_warc_derivatives, op8_cross_document_lines, op9_html_main_text, op10_spaced_seed_leaks)}
