@@ -121,6 +121,10 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The main text: its lines in page order, joined by one space; empty for NULL, empty or text-free pages."""
     if not html:
         return ""
+    # a comment that the end of the page cuts off
+    cut = html.rfind("<!--")
+    if cut >= 0 and html.find(">", cut) < 0:
+        html = html[:cut]
     parser = _Lines()
     parser.feed(html)
     parser.close()

@@ -4,7 +4,7 @@ Documents are dealt into shards by range of doc_id and, inside a shard, in ascen
 about ``BLOCK`` tokens.  A block's ids are compressed by Re-Pair: again and again the most frequent
 pairs of neighbouring symbols are replaced by new nonterminals.  The pairs of one round are counted and replaced
 together; where two replacements would overlap, the left one is made first.  The block stores its rules, the
-expansion length of every nonterminal and the document lengths, so any range of tokens can be decoded
+expansion length of every nonterminal, the document lengths and its first token in the shard, so any range of tokens can be decoded
 by expanding only the symbols that cover it.
 
 The file format is a Parquet table of blocks (one row each, columns as in ``FORMAT``), written
@@ -28,7 +28,7 @@ from .token_ids import END, encoder, vocabulary_path
 BLOCK, ROUNDS, PAIRS, LEAST = 1 << 20, 6, 2048, 16
 _BINS = 1 << 18
 
-FORMAT = ("shard int, block int, n_docs int, n_tokens long, doc_ids binary, doc_lengths binary, n_symbols int, base int, "
+FORMAT = ("shard int, block int, n_docs int, n_tokens long, first long, doc_ids binary, doc_lengths binary, n_symbols int, base int, "
           "rules binary, expansions binary, symbols binary")
 
 
@@ -126,7 +126,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(voc)
-        shard, number = TaskContext.get().partitionId(), 0
+        shard, number, first = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
         blobs: list[bytes] = []
         size = 0
@@ -135,7 +135,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
             symbols, rules, base = compress(np.frombuffer(b"".join(blobs), "<u4"))
             lengths = np.array([len(x) // 4 for x in blobs], "<u4")
             ids = np.array([np.iinfo(np.int64).min if x is None else x for x in doc_ids], "<i8")
-            row = {"shard": shard, "block": number, "n_docs": len(blobs), "n_tokens": int(lengths.sum()), "doc_ids": ids.tobytes(),
+            row = {"shard": shard, "block": number, "n_docs": len(blobs), "n_tokens": int(lengths.sum()), "first": first, "doc_ids": ids.tobytes(),
                    "doc_lengths": lengths.tobytes(), "n_symbols": len(symbols), "base": base, "rules": rules.astype("<u4").tobytes(),
                    "expansions": expansions(rules, base)[0].astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes()}
             return pa.RecordBatch.from_pylist([row], schema=schema)
@@ -147,12 +147,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
                 size += len(blobs[-1]) // 4
                 if size >= block:
                     yield close()
-                    doc_ids, blobs, size = [], [], 0
+                    doc_ids, blobs, first, size = [], [], first + size, 0
                     number += 1
         if blobs:
             yield close()
 
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()),
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.binary()),
                         ("doc_lengths", pa.binary()), ("n_symbols", pa.int32()), ("base", pa.int32()), ("rules", pa.binary()),
                         ("expansions", pa.binary()), ("symbols", pa.binary())])
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -163,12 +163,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` per document, decoded from the files at ``path``."""
     blocks = spark.read.parquet(path)
-    # first tokens of blocks: inside a shard by a window, across shards over one row per shard
-    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn(
-        "shard_start", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    places = blocks.select("shard", "block", "n_tokens").withColumn("in_shard", F.coalesce(F.sum("n_tokens").over(
-        Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    places = places.join(shards, "shard").select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("first"))
+    # a block knows its first token in its shard; the shards' own starts are one row per written file
+    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(
+        F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,6 +179,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(docs, pa.int64(), mask=docs == np.iinfo(np.int64).min), pa.array(ends - lengths + row["first"], pa.int64()),
                      pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.select("shard", "block", "doc_ids", "doc_lengths", "base", "rules", "symbols").join(places, ["shard", "block"]) \
-        .select("first", "doc_ids", "doc_lengths", "base", "rules", "symbols") \
+    return blocks.join(F.broadcast(shards), "shard") \
+        .select((F.col("shard_start") + F.col("first")).alias("first"), "doc_ids", "doc_lengths", "base", "rules", "symbols") \
         .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
