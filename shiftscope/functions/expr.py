@@ -62,17 +62,21 @@ def text_or_none(c) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit("None"))
 
 
-MONEY_SCALE = 4
+MONEY_TYPE = "DECIMAL(28, 8)"
+
+
+def money_sum_sql(c: str) -> str:
+    return f"cast(sum(cast({c} as {MONEY_TYPE})) as double)"
 
 
 def money_sum(c: str) -> Column:
-    """Sum of a money column snapped to 1e-4.
+    """Exact sum of a money column, as a double once it is summed.
 
     Floating-point sums depend on the order rows arrive in, which differs between runs
-    of a distributed job.  Money inputs carry at most 4 decimals, so snapping the sum
-    makes it exact and reproducible, and every ratio built on it bit-stable.
+    of a distributed job.  The column is summed as a decimal with eight places (amounts up
+    to 1e20), so the total is the same for every partitioning and nothing is rounded away.
     """
-    return F.expr(f"round(sum({c}), {MONEY_SCALE})")
+    return F.expr(money_sum_sql(c))
 
 
 def clamp(c, lo: float, hi: float) -> Column:

@@ -23,7 +23,7 @@ def check_scope(scope: Mapping[str, str] | None, allowed: tuple[str, ...], famil
     scope = dict(scope or {})
     unknown = sorted(set(scope) - set(allowed))
     if unknown:
-        raise ValueError(f"{family} does not support scope dimensions: {unknown}")
+        raise ValueError(f"{family} can be scoped by {', '.join(allowed)}, not by {', '.join(unknown)}")
     return scope
 
 

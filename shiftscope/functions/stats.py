@@ -1,12 +1,12 @@
 """Significance tests as native Spark SQL expressions (T1, T2, F6). No Python UDF.
 
-``erfc`` of x < 3 uses the positive-term series
+``erfc`` of x < 1.5 uses the positive-term series
     erf(x) = exp(-x^2) * sum_{n>=0} x^(2n+1) / Gamma(n + 3/2)
-with terms built by the recurrence t_n = t_(n-1) * x^2 / (n + 1/2); for x >= 3 it uses
+with terms built by the recurrence t_n = t_(n-1) * x^2 / (n + 1/2); for x >= 1.5 it uses
 Laplace's continued fraction
     erfc(x) = exp(-x^2) / sqrt(pi) / (x + (1/2) / (x + 1 / (x + (3/2) / (x + ...))))
 evaluated backwards from 60 terms.  Both are Spark higher-order ``aggregate`` calls
-over fixed-length sequences; the result is accurate to about 1e-15 relative.  Only
+over fixed-length sequences; the result is accurate to about 1e-14 relative.  Only
 aggregated result rows reach these expressions, so their cost does not grow with the
 fact tables.
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TERMS = 150
-_SPLIT = 3.0
+_SPLIT = 1.5
 _CF_TERMS = 60
 Z_95 = 1.96           # two-sided 95% critical value used by the interval and power
 ALPHA = 0.05          # significance threshold

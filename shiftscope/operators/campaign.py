@@ -12,7 +12,7 @@ from typing import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.functions.expr import clamp, evidence_id, pct_change, safe_ratio
+from shiftscope.functions.expr import clamp, evidence_id, money_sum_sql, pct_change, safe_ratio
 from shiftscope.functions.scope import CAMPAIGN_SCOPE, check_scope, scope_identity, scope_predicate
 from shiftscope.operators.compare import compare_long, single_period, widen
 from shiftscope.periods import Periods
@@ -25,9 +25,9 @@ MONEY_MEASURES = ("spend", "revenue")
 
 
 def _sum(expr: str, measure: str | None = None) -> str:
-    """Counts sum exactly; money sums are snapped to 1e-4 (see ``expr.money_sum``)."""
+    """Counts sum exactly; money is summed as a decimal (see ``expr.money_sum``)."""
     measure = measure or expr
-    return f"round(sum({expr}), 4)" if measure in MONEY_MEASURES else f"sum({expr})"
+    return money_sum_sql(expr) if measure in MONEY_MEASURES else f"sum({expr})"
 
 
 def _ratios(prefix: str = "") -> dict:

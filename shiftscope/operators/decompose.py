@@ -14,7 +14,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.functions.expr import C, evidence_id
+from shiftscope.functions.expr import MONEY_TYPE, C, evidence_id, money_sum_sql
 from shiftscope.functions.scope import scope_identity
 from shiftscope.functions.stats import with_two_proportion_test
 from shiftscope.operators.facts import scoped_sessions, with_conversions
@@ -31,7 +31,7 @@ def segment_period_totals(t: MarketingTables, periods: Periods, dimensions: Sequ
     0 where a segment is missing from one side."""
     unknown = [d for d in dimensions if d not in DIMENSIONS]
     if unknown:
-        raise ValueError(f"Unsupported dimension {unknown}; choose from {sorted(DIMENSIONS)}")
+        raise ValueError(f"cannot decompose by {', '.join(unknown)}: the dimensions are {', '.join(DIMENSIONS)}")
     facts = scoped_sessions(t, periods, scope, label="first",
                             need_campaign="campaign" in dimensions)
     pieces = []
@@ -53,8 +53,8 @@ def segment_period_totals(t: MarketingTables, periods: Periods, dimensions: Sequ
         "previous_sessions": "CAST(count_if(period = 'previous') AS BIGINT)",
         "current_conversions": "CAST(coalesce(sum(CASE WHEN period = 'current' THEN n_conv END), 0) AS BIGINT)",
         "previous_conversions": "CAST(coalesce(sum(CASE WHEN period = 'previous' THEN n_conv END), 0) AS BIGINT)",
-        "current_revenue": "coalesce(round(sum(CASE WHEN period = 'current' THEN conv_revenue END), 4), 0.0)",
-        "previous_revenue": "coalesce(round(sum(CASE WHEN period = 'previous' THEN conv_revenue END), 4), 0.0)",
+        "current_revenue": f"coalesce({money_sum_sql("CASE WHEN period = 'current' THEN conv_revenue END")}, 0.0)",
+        "previous_revenue": f"coalesce({money_sum_sql("CASE WHEN period = 'previous' THEN conv_revenue END")}, 0.0)",
     }
     return rows.groupBy("dimension", "segment").agg(*[F.expr(v).alias(k) for k, v in aggs.items()])
 
@@ -74,7 +74,7 @@ def decompose(t: MarketingTables, periods: Periods, dimensions: Sequence[str] =
             "CASE WHEN previous_sessions > 0 THEN previous_conversions / previous_sessions ELSE 0.0 END"),
         "_seg_key": F.expr("coalesce(segment, 'None')"),
     })
-    g = g.withColumn("_total", F.round(F.sum("revenue_change").over(by_dim), 4))
+    g = g.withColumn("_total", F.sum(F.col("revenue_change").cast(MONEY_TYPE)).over(by_dim).cast("double"))
     ordered = Window.partitionBy("dimension").orderBy(
         F.expr("CASE WHEN _total >= 0 THEN -revenue_change ELSE revenue_change END"),
         F.col("segment").asc_nulls_first())

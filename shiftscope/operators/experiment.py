@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftscope.functions.expr import C, evidence_id
+from shiftscope.functions.expr import C, evidence_id, money_sum
 from shiftscope.functions.stats import ALPHA, with_experiment_test
 from shiftscope.periods import Periods
 
@@ -40,10 +40,10 @@ def choose_experiment(experiments: DataFrame, start: dt.date, end: dt.date,
     if experiment_name is None:
         found = [r[0] for r in names.orderBy("experiment_name").limit(2).collect()]
         if len(found) != 1:
-            raise ValueError("Specify an experiment when the period does not contain exactly one")
+            raise ValueError(f"an experiment must be named: [{start}, {end}) holds {'none' if not found else 'several, among them ' + ', '.join(found)}")
         return found[0]
     if names.filter(F.col("experiment_name") == experiment_name).limit(1).count() == 0:
-        raise ValueError(f"Experiment {experiment_name!r} has no exposures in the requested period")
+        raise ValueError(f"no exposure of {experiment_name!r} in [{start}, {end})")
     return experiment_name
 
 
@@ -53,16 +53,29 @@ def experiment_variants(experiments: DataFrame, start: dt.date, end: dt.date) ->
             .groupBy("experiment_name", F.lower("variant").alias("variant"))
             .agg(F.count(F.lit(1)).alias("participants"),
                  F.sum("conversion").cast("bigint").alias("conversions"),
-                 F.expr("round(sum(revenue), 4)").alias("revenue"),
-                 F.expr("round(sum(revenue), 4) / count(1)").alias("revenue_per_user")))
+                 money_sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("_n"))
+            .withColumn("revenue_per_user", F.expr("revenue / _n")).drop("_n"))
+
+
+def incomplete_experiments(experiments: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Experiments of the window that cannot be compared, one row each with the missing variants."""
+    v = experiment_variants(experiments, start, end).groupBy("experiment_name").agg(
+        *[F.max(F.col("variant") == side).alias(side) for side in ("control", "treatment")])
+    missing = F.array_compact(F.array(*[F.when(~F.col(side), F.lit(side)) for side in ("control", "treatment")]))
+    return v.select("experiment_name", missing.alias("missing_variants")).filter(F.size("missing_variants") > 0)
 
 
 def experiment_lift(experiments: DataFrame, start: dt.date, end: dt.date,
                     experiment_name: str | None = None) -> DataFrame:
-    """C11 + T2 for every experiment in the window (or one, by name) that has both a
-    control and a treatment variant."""
+    """C11 + T2 for every experiment in the window that has both a control and a treatment
+    variant; the others are listed by :func:`incomplete_experiments`.  One named experiment
+    without either variant is an error."""
     v = experiment_variants(experiments, start, end)
     if experiment_name is not None:
+        named = experiments.filter(F.col("experiment_name") == experiment_name)
+        lacking = incomplete_experiments(named, start, end).first()  # at most one row
+        if lacking:
+            raise ValueError(f"experiment {experiment_name!r} has no {' and no '.join(lacking.missing_variants)} in [{start}, {end})")
         v = v.filter(F.col("experiment_name") == experiment_name)
 
     def pick(variant, col):

@@ -110,7 +110,7 @@ def compare_funnels(t: MarketingTables, periods: Periods, *, filter_dimension: s
     effective = dict(scope or {})
     if filter_dimension is not None:
         if filter_value is None:
-            raise ValueError("filter_value is required when filter_dimension is provided")
+            raise ValueError(f"a value of {filter_dimension!r} must be given to filter the funnel by it")
         effective[filter_dimension] = filter_value
     wide = step_totals(t, periods, effective, steps)
     return transitions(wide, steps, periods, filter_dimension, filter_value,

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shiftscope.functions.expr import text_or_none
+
 # Claim wording of the six report types.
 REVENUE_TEXT = {
     "revenue_change": "Revenue changed by {pct} versus the previous period.",
@@ -86,7 +88,7 @@ def _fill(template: str, **parts: Column) -> Column:
         name, rest = tail.split("}", 1)
         if head:
             pieces.append(F.lit(head))
-        pieces.append(parts[name])
+        pieces.append(text_or_none(parts[name]))
     if rest:
         pieces.append(F.lit(rest))
     return F.concat(*pieces)
@@ -268,12 +270,13 @@ def audit_claims(claims: DataFrame, valid_ids: DataFrame) -> DataFrame:
     """Per claim, the number of cited ids, the unknown ones and an approved flag.
 
     The cited ids are exploded and left-joined to the evidence ids (J7); per-claim
-    lists are bounded by what one claim cites.
+    lists are bounded by what one claim cites.  Claims that share an id stay apart.
     """
-    cited = claims.select("report", "claim_id", F.explode_outer("evidence_ids").alias("evidence_id"))
+    keyed = claims.withColumn("_row", F.monotonically_increasing_id())
+    cited = keyed.select("_row", "report", "claim_id", F.explode_outer("evidence_ids").alias("evidence_id"))
     known = valid_ids.select("evidence_id", F.lit(True).alias("_known")).distinct()
     j = cited.join(known, "evidence_id", "left")
-    per_claim = j.groupBy("report", "claim_id").agg(
+    per_claim = j.groupBy("_row", "report", "claim_id").agg(
         F.count("evidence_id").alias("n_evidence"),
         F.array_sort(F.collect_set(F.when(F.col("_known").isNull(), F.col("evidence_id")))).alias("unknown_ids"))
     return per_claim.select(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftscope.plans.questions import (METRICS_BY_QUESTION_TYPE, SCOPE_FIELDS, TOOL_BY_QUESTION_TYPE,
-                                        UNSUPPORTED, question_scope, question_type)
+                                        UNSUPPORTED, question_scope, question_type, scope_check)
 
 REQUEST_FIELDS = ("question", "current_start", "current_end", "previous_start", "previous_end")
 PLAN_COLUMNS = ("request_id",) + REQUEST_FIELDS + ("question_type", "primary_metric", "tool") + SCOPE_FIELDS
@@ -60,10 +60,27 @@ def _scope_equal(a: str, b: str) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}")) for f in SCOPE_FIELDS])
 
 
+def checked_plans(plans: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Plans with their scope as R4 leaves it (placeholders dropped, values in canonical spelling), and
+    ``(request_id, valid)``: a plan is valid when the audit (R5) finds no error and its question states
+    every scope value that remains."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("dimension"), F.col(f).alias("value")) for f in SCOPE_FIELDS])
+    proposed = plans.select("request_id", F.inline(pairs)).filter(F.col("value").isNotNull())
+    checked = scope_check(proposed, requests).groupBy("request_id").agg(
+        F.max(F.col("error").isNotNull()).alias("_unstated"),
+        *[F.max(F.when((F.col("dimension") == f) & ~F.col("dropped"), F.col("canonical_value"))).alias(f) for f in SCOPE_FIELDS])
+    audit = plan_audit(plans, requests).select("request_id", "valid")
+    valid = audit.join(checked.select("request_id", "_unstated"), "request_id", "left").select(
+        "request_id", (F.col("valid") & ~F.coalesce("_unstated", F.lit(False))).alias("valid"))
+    rest = [c for c in PLAN_COLUMNS if c not in SCOPE_FIELDS]
+    return plans.select(*rest).join(checked.drop("_unstated"), "request_id", "left").select(*PLAN_COLUMNS), valid
+
+
 def plan_agreement(baseline: DataFrame, candidate: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request, whether the candidate plan is valid and which fields agree with
-    the baseline plan (all False for an invalid candidate)."""
-    audit = plan_audit(candidate, requests).select("request_id", F.col("valid"))
+    the baseline plan (all False for an invalid candidate, which includes one whose scope the
+    question does not state)."""
+    candidate, audit = checked_plans(candidate, requests)
     j = (baseline.alias("b").join(candidate.alias("c"), "request_id", "left")
          .join(audit, "request_id", "left"))
     valid = F.coalesce(F.col("valid"), F.lit(False))
@@ -90,7 +107,7 @@ def plan_agreement_rates(agreement: DataFrame) -> DataFrame:
 def plan_consensus(baseline: DataFrame, candidate: DataFrame, requests: DataFrame) -> DataFrame:
     """The candidate plan only when it is valid and its type, metric and scope equal
     the baseline's; otherwise the baseline (a fallback)."""
-    audit = plan_audit(candidate, requests).select("request_id", "valid")
+    candidate, audit = checked_plans(candidate, requests)
     j = (baseline.alias("b").join(candidate.alias("c"), "request_id", "left")
          .join(audit, "request_id", "left"))
     accept = (F.coalesce(F.col("valid"), F.lit(False))

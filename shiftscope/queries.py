@@ -452,14 +452,10 @@ def _plans(spark, sf_dir):
     from shiftscope.plans.planning import rule_plans
     req, rep = _requests(spark, sf_dir)
     baseline = rule_plans(req, req, "question")
-    candidate = rule_plans(req, rep, "reply")
+    candidate = A.recorded_plans(rule_plans(req, rep, "reply"))
     return req, baseline, candidate
 
 
-def _scope_text(df: DataFrame) -> DataFrame:
-    return df
-
-
 @register("request_errors")
 def q_request_errors(spark, sf_dir):
     """Validation errors of every request (question length, period rules)."""
@@ -487,9 +483,8 @@ def q_question_type(spark, sf_dir):
 @register("scope_check")
 def q_scope_check(spark, sf_dir):
     """Scope proposed by the reply planner, canonicalised and checked against the question."""
-    from shiftscope.plans.questions import SCOPE_FIELDS, question_scope, scope_check
-    req, rep = _requests(spark, sf_dir)
-    tags = question_scope(rep, "request_id", "reply")
+    from shiftscope.plans.questions import SCOPE_FIELDS, scope_check
+    req, _, tags = _plans(spark, sf_dir)
     pairs = F.array(*[F.struct(F.lit(f).alias("dimension"), F.col(f).alias("value")) for f in SCOPE_FIELDS])
     proposals = tags.select("request_id", F.inline(pairs)).filter(F.col("value").isNotNull())
     return scope_check(proposals, req)

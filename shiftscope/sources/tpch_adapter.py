@@ -253,14 +253,26 @@ REQUEST_EPOCH = "2000-07-01"     # current_start = epoch + conv_id % 5
 PERIOD_DAYS = 181
 
 
+# Sentences that the stand-in requests and replies end with, so that they mention metrics and scope values.
+ASKED = (
+    "Why did revenue decline for Android in United States?", "Why did the conversion rate of the Brand_Search campaign fall?",
+    "Why did organic sessions drop for Loyal customers?", "Did attribution completeness change on Google Ads?",
+    "What changed in review sentiment on iOS?", "Did the Checkout reassurance copy experiment help High-Value customers?",
+    "Why did CPC rise on Meta Ads?", "How was the weather?", "Why did revenue fall in India and Canada?", "Why did traffic of new customers fall?")
+
+
+def _asked(number: F.Column) -> F.Column:
+    return F.element_at(F.array(*[F.lit(x) for x in ASKED]), (number % len(ASKED) + 1).cast("int"))
+
+
 def requests(raw: Raw) -> DataFrame:
-    """One investigation request per user turn of ``conversations``: the turn's whole text is
-    the question; period bounds vary with the ids so that some requests are invalid."""
+    """One investigation request per user turn of ``conversations``: the turn's whole text and a
+    sentence of ``ASKED`` are the question; period bounds vary with the ids so that some requests are invalid."""
     c = raw.conversations.filter(F.col("role") == "user")
     cs = F.date_add(F.lit(REQUEST_EPOCH).cast("date"), (F.col("conv_id") % 5).cast("int"))
     pe = F.date_add(F.lit(REQUEST_EPOCH).cast("date"), (F.col("conv_id") % 7 - 3).cast("int"))
     return c.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"),
-                    F.col("text").alias("question"),
+                    F.concat_ws(" ", "text", _asked(F.col("conv_id"))).alias("question"),
                     cs.alias("current_start"),
                     F.date_add(cs, (F.lit(PERIOD_DAYS) - F.col("turn") % 2).cast("int")).alias("current_end"),
                     F.date_add(pe, -PERIOD_DAYS).alias("previous_start"),
@@ -275,7 +287,19 @@ def planner_replies(raw: Raw) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     return (users.join(replies, ["conv_id", "turn"], "left")
             .select(F.concat_ws("-", "conv_id", "turn").alias("request_id"),
-                    F.coalesce("reply", F.lit("")).alias("reply")))
+                    F.concat_ws(" ", "reply", _asked(F.col("conv_id") + (F.col("conv_id") % 3 == 0).cast("int"))).alias("reply")))
+
+
+def recorded_plans(plans: DataFrame) -> DataFrame:
+    """Stand-in for recorded plans of a second planner: some change a date, name another tool or metric,
+    use a placeholder or spell a value differently."""
+    conv = F.split("request_id", "-")[0].cast("long")
+    return plans.withColumns({
+        "current_end": F.when(conv % 11 == 3, F.date_add("current_end", 1)).otherwise(F.col("current_end")),
+        "tool": F.when(conv % 13 == 5, F.lit("run_traffic_investigation")).otherwise(F.col("tool")),
+        "primary_metric": F.when(conv % 17 == 7, F.lit("ctr")).otherwise(F.col("primary_metric")),
+        "country": F.when(conv % 7 == 1, F.coalesce("country", F.lit("any"))).otherwise(F.col("country")),
+        "device": F.when(conv % 4 == 2, F.upper("device")).otherwise(F.col("device"))})
 
 
 # Question type expected for an anomaly's affected metric.
