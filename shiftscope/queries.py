@@ -199,10 +199,10 @@ def q_attribution_driver(spark, sf_dir):
 
 @register("two_proportion_test")
 def q_two_proportion_test(spark, sf_dir):
-    """T1 on conversion rates per device and channel segment, current vs previous."""
+    """T1 on conversion rates per device, channel and country segment, current vs previous."""
     from shiftscope.operators.decompose import segment_period_totals
     from shiftscope.functions.stats import with_two_proportion_test
-    g = segment_period_totals(A.orders_tables(spark, sf_dir), ORDERS_PERIODS, ["device", "channel"])
+    g = segment_period_totals(A.events_tables(spark, sf_dir), EVENTS_PERIODS, ["device", "channel", "country"])
     args = ("current_conversions", "current_sessions", "previous_conversions", "previous_sessions")
     return finish(with_two_proportion_test(g, *args).select(
         "dimension", "segment", *args, "z_score", "p_value", "statistically_significant"))
