@@ -40,15 +40,21 @@ DECISION = T.StructType([T.StructField("question_type", T.StringType()),
                          T.StructField("scope", SCOPE)])
 
 
-def _require(path: str, what: str) -> None:
-    if not os.path.exists(path):
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on the file system that Spark would read it from."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _require(spark: SparkSession, path: str, what: str) -> None:
+    if not _exists(spark, path):
         raise FileNotFoundError(f"{what} not found: {path}")
 
 
 def read_csv_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One typed table; the header must name the declared columns."""
     path = os.path.join(directory, f"{name}.csv")
-    _require(path, "table file")
+    _require(spark, path, "table file")
     return (spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
             .option("nullValue", "").option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm:ss[.SSSSSS]]")
             .schema(SCHEMAS[name]).csv(path))
@@ -57,10 +63,10 @@ def read_csv_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def load_csv_tables(spark: SparkSession, directory: str,
                     tables: Iterable[str] = TABLE_NAMES) -> MarketingTables:
     """The logical tables from ``<directory>/<table>.csv``; files are read lazily."""
-    _require(directory, "data directory")
+    _require(spark, directory, "data directory")
     names = list(tables)
     for name in names:
-        _require(os.path.join(directory, f"{name}.csv"), "table file")
+        _require(spark, os.path.join(directory, f"{name}.csv"), "table file")
     return MarketingTables(**{n: (lambda n=n: read_csv_table(spark, directory, n)) for n in names})
 
 
@@ -72,7 +78,7 @@ def load_audit(spark: SparkSession, directory: str, tables: Iterable[str] = TABL
 
 def benchmark_cases(spark: SparkSession, path: str) -> DataFrame:
     """Benchmark cases from a JSON array file (or JSON lines) with an explicit schema."""
-    _require(path, "benchmark file")
+    _require(spark, path, "benchmark file")
     return spark.read.schema(BENCHMARK_CASE).option("mode", "FAILFAST").json(path, multiLine=True)
 
 
@@ -80,11 +86,17 @@ def recorded_plans(spark: SparkSession, path: str) -> DataFrame:
     """Recorded planner decisions, a JSON object mapping question to decision, as rows
     ``(question, question_type, primary_metric, <scope fields>)``.
 
-    One JSON document cannot be split, so the file is one task; recordings are small.
+    A decision that is no valid JSON or has other fields than these is an error.  One JSON document cannot be split, so the file is one task; recordings are small.
     """
-    _require(path, "recorded plans file")
+    _require(spark, path, "recorded plans file")
     doc = spark.read.text(path, wholetext=True)
-    entries = doc.select(F.explode(F.from_json("value", T.MapType(T.StringType(), DECISION))))
+    raw = doc.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()), {"mode": "FAILFAST"})))
+    value = F.from_json("value", DECISION, {"mode": "FAILFAST"})
+    fields = F.concat(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")),
+                      F.coalesce(F.json_object_keys(F.get_json_object("value", "$.scope")), F.array().cast("array<string>")))
+    unknown = F.array_except(fields, F.array(*[F.lit(x) for x in (*DECISION.fieldNames(), *SCOPE.fieldNames())]))
+    entries = raw.select("key", F.when(F.size(unknown) == 0, value).otherwise(F.raise_error(F.concat(
+        F.lit("unknown fields in the recorded plan of "), "key", F.lit(": "), F.array_join(unknown, ", ")))).alias("value"))
     return entries.select(F.col("key").alias("question"), "value.question_type", "value.primary_metric",
                           *[F.col(f"value.scope.{f}").alias(f) for f in SCOPE.fieldNames()])
 
@@ -122,6 +134,6 @@ def write_logical_tables(t: MarketingTables, path: str, mode: str = "overwrite")
 
 def load_parquet_tables(spark: SparkSession, path: str) -> MarketingTables:
     """The tables written by ``write_logical_tables`` (lazily, one reader each)."""
-    _require(path, "table directory")
-    names = [n for n in TABLE_NAMES if os.path.isdir(os.path.join(path, n))]
+    _require(spark, path, "table directory")
+    names = [n for n in TABLE_NAMES if _exists(spark, os.path.join(path, n))]
     return MarketingTables(**{n: (lambda n=n: spark.read.parquet(os.path.join(path, n))) for n in names})

@@ -67,6 +67,14 @@ def test_materialised_tables_prune_partitions(spark, tmp_path):
     direct = sorted(decompose(t, ORDERS_PERIODS, ["device"]).collect(), key=lambda r: r.segment)
     stored = decompose(m, ORDERS_PERIODS, ["device"])
     plan = stored._jdf.queryExecution().executedPlan().toString()
-    scan = [x for x in plan.split("\\n") if "FileScan parquet" in x and "sessions" in x][0]
+    scan = [x for x in plan.splitlines() if "FileScan parquet" in x and "traffic_source" in x][0]
     assert "PartitionFilters: [" in scan and "day" in scan.split("PartitionFilters: [")[1].split("]")[0]
     assert sorted(stored.collect(), key=lambda r: r.segment) == direct
+
+
+def test_recorded_plans_reject_unknown_fields(spark, tmp_path):
+    from shiftscope.sources.files import recorded_plans
+    for k, decision in enumerate(({"question_type": "x", "confidence": 1}, {"question_type": "x", "scope": {"planet": "Mars"}})):
+        _write(tmp_path / f"p{k}.json", json.dumps({"Why?": decision}))
+        with pytest.raises(Exception, match="unknown fields in the recorded plan of Why"):
+            recorded_plans(spark, str(tmp_path / f"p{k}.json")).collect()
