@@ -33,8 +33,8 @@ from .words import mix
 
 LENGTH, GRAM = 50, 24
 #: parts per shuffle partition, so that parts even out
-_PARTS = 8
-_BATCH = 4 << 20
+_PARTS = 4
+_BATCH = 2 << 20
 _WHOLE = (1 << 31) - 1
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                   0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -209,41 +209,50 @@ def _documents(row: dict) -> np.ndarray:
     return table[np.frombuffer(row["owner"], "<u4" if len(table) > 65535 else "<u2")]
 
 
-def _send_anchors(length: int, gram: int, parts: int):
-    """Texts -> rows for the shuffle on anchor hashes; anchors of two documents of a batch are known as shared."""
+def _each(one):
+    """A task that sends the rows of one bounded batch after another; a batch's arrays go with its call."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, "text", _BATCH):
-            ids = batch.column("doc_id").to_numpy()
-            data, starts, ends = _buffer(batch.column("text").to_pylist())
-            hashes, position, _, _ = anchors(data, starts, ends, length, gram)
-            if not len(hashes):
-                continue
-            order = np.argsort(hashes, kind="stable")
-            hashes, position = hashes[order], position[order]
-            row = np.searchsorted(starts, position, "right") - 1
-            # empty texts share their start with the next one, which is the one found
-            doc, position = ids[row], position - starts[row]
-            run_ = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1))
-            size = np.diff(np.concatenate((run_, [len(hashes)])))
-            several = np.minimum.reduceat(doc, run_) != np.maximum.reduceat(doc, run_)
-            shared = np.repeat(several, size)
-            out = []
-            if shared.any():
-                out.append(_sent(int(doc[shared][0] % parts), True, doc[shared], None, position[shared]))
-            first = np.zeros(len(hashes), bool)
-            first[run_] = True
-            go = ~shared | first
-            # a shared anchor is sent once, marked by a start that no text reaches
-            position = np.where(shared, 0xFFFFFFFF, position)[go]
-            hashes, doc = hashes[go], doc[go]
-            part = _part(hashes, parts)
-            cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                out.append(_sent(int(part[lo]), False, doc[lo:hi], hashes[lo:hi], position[lo:hi]))
-            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+            rows = one(batch)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
     return run
 
 
+def _send_anchors(length: int, gram: int, parts: int):
+    """Texts -> rows for the shuffle on anchor hashes; anchors of two documents of a batch are known as shared."""
+    def one(batch: pa.RecordBatch) -> list[dict]:
+        ids = batch.column("doc_id").to_numpy()
+        data, starts, ends = _buffer(batch.column("text").to_pylist())
+        hashes, position, _, _ = anchors(data, starts, ends, length, gram)
+        if not len(hashes):
+            return []
+        order = np.argsort(hashes, kind="stable")
+        hashes, position = hashes[order], position[order]
+        row = np.searchsorted(starts, position, "right") - 1
+        # empty texts share their start with the next one, which is the one found
+        doc, position = ids[row], position - starts[row]
+        edge = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1))
+        size = np.diff(np.concatenate((edge, [len(hashes)])))
+        shared = np.repeat(np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge), size)
+        out = []
+        if shared.any():
+            out.append(_sent(int(doc[shared][0] % parts), True, doc[shared], None, position[shared]))
+        first = np.zeros(len(hashes), bool)
+        first[edge] = True
+        go = ~shared | first
+        # a shared anchor is sent once, marked by a start that no text reaches
+        position = np.where(shared, 0xFFFFFFFF, position)[go]
+        hashes, doc = hashes[go], doc[go]
+        part = _part(hashes, parts)
+        cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            out.append(_sent(int(part[lo]), False, doc[lo:hi], hashes[lo:hi], position[lo:hi]))
+        return out
+
+    return _each(one)
+
+
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a partition -> ``(doc_id, v0 array<int>)``: positions of anchors that lie in two documents."""
     hashes, starts, docs, source = [], [], [], []
@@ -273,44 +282,43 @@ def _send_contexts(length: int, gram: int, parts: int):
     """Texts with their shared anchors -> rows for the shuffle of contexts; equal contexts are settled in the batch."""
     widest = 2 * length - gram
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, "text", _BATCH):
-            ids = batch.column("doc_id").to_numpy()
-            data, starts, ends = _buffer(batch.column("text").to_pylist())
-            hashes, position, first, last = anchors(data, starts, ends, length, gram)
-            mark = np.zeros(len(data), bool)
-            at = batch.column("positions")
-            counts = at.value_lengths().to_numpy()
-            mark[np.minimum(np.repeat(starts, counts) + at.flatten().to_numpy(), len(data) - 1)] = True
-            go = mark[position]
-            if not go.any():
-                continue
-            hashes, first, size = hashes[go], first[go], (last - first)[go] + length
-            row = np.searchsorted(starts, first, "right") - 1
-            doc, start = ids[row], first - starts[row]
-            x8 = eights(data)
-            whole = string_hashes(x8, first, length) + size.astype(np.uint64) * _C[0] + string_hashes(x8, first + size - length, length) * _C[1]
-            order = np.lexsort((doc, whole))
-            hashes, first, size, doc, start, whole = (x[order] for x in (hashes, first, size, doc, start, whole))
-            edge = np.concatenate(([True], whole[1:] != whole[:-1]))
-            low = doc[np.flatnonzero(edge)][np.cumsum(edge) - 1]
-            settled = doc > low
-            out = []
-            if settled.any():
-                out.append(_sent(int(doc[settled][0] % parts), True, doc[settled], None, start[settled], size[settled]))
-            hashes, first, size, doc, start = (x[~settled] for x in (hashes, first, size, doc, start))
-            order = np.argsort(hashes, kind="stable")
-            hashes, first, size, doc, start = (x[order] for x in (hashes, first, size, doc, start))
-            part = _part(hashes, parts)
-            cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                n = size[lo:hi]
-                flat = np.repeat(first[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.append(_sent(int(part[lo]), False, doc[lo:hi], None, start[lo:hi], n, data[flat].tobytes()))
-            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+    def one(batch: pa.RecordBatch) -> list[dict]:
+        ids = batch.column("doc_id").to_numpy()
+        data, starts, ends = _buffer(batch.column("text").to_pylist())
+        hashes, position, first, last = anchors(data, starts, ends, length, gram)
+        mark = np.zeros(len(data), bool)
+        at = batch.column("positions")
+        counts = at.value_lengths().to_numpy()
+        mark[np.minimum(np.repeat(starts, counts) + at.flatten().to_numpy(), len(data) - 1)] = True
+        go = mark[position]
+        if not go.any():
+            return []
+        hashes, first, size = hashes[go], first[go], (last - first)[go] + length
+        row = np.searchsorted(starts, first, "right") - 1
+        doc, start = ids[row], first - starts[row]
+        x8 = eights(data)
+        whole = string_hashes(x8, first, length) + size.astype(np.uint64) * _C[0] + string_hashes(x8, first + size - length, length) * _C[1]
+        order = np.lexsort((doc, whole))
+        hashes, first, size, doc, start, whole = (x[order] for x in (hashes, first, size, doc, start, whole))
+        edge = np.concatenate(([True], whole[1:] != whole[:-1]))
+        low = doc[np.flatnonzero(edge)][np.cumsum(edge) - 1]
+        settled = doc > low
+        out = []
+        if settled.any():
+            out.append(_sent(int(doc[settled][0] % parts), True, doc[settled], None, start[settled], size[settled]))
+        hashes, first, size, doc, start = (x[~settled] for x in (hashes, first, size, doc, start))
+        order = np.argsort(hashes, kind="stable")
+        hashes, first, size, doc, start = (x[order] for x in (hashes, first, size, doc, start))
+        part = _part(hashes, parts)
+        cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            n = size[lo:hi]
+            flat = np.repeat(first[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append(_sent(int(part[lo]), False, doc[lo:hi], None, start[lo:hi], n, data[flat].tobytes()))
+        return out
 
     assert widest < 256
-    return run
+    return _each(one)
 
 
 def _removed(length: int, gram: int):
