@@ -67,8 +67,8 @@ def test_materialised_tables_prune_partitions(spark, tmp_path):
     direct = sorted(decompose(t, ORDERS_PERIODS, ["device"]).collect(), key=lambda r: r.segment)
     stored = decompose(m, ORDERS_PERIODS, ["device"])
     plan = stored._jdf.queryExecution().executedPlan().toString()
-    scan = [x for x in plan.splitlines() if "FileScan parquet" in x and "traffic_source" in x][0]
-    assert "PartitionFilters: [" in scan and "day" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    scans = [x.split("PartitionFilters: [")[1].split("]")[0] for x in plan.splitlines() if "FileScan parquet" in x]
+    assert sum("day" in x for x in scans) == 1, scans  # sessions, the only table here that is partitioned by day
     assert sorted(stored.collect(), key=lambda r: r.segment) == direct
 
 
