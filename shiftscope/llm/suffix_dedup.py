@@ -32,8 +32,8 @@ from .shared import gathered, stash
 from .words import mix
 
 LENGTH, GRAM = 50, 24
-#: parts per shuffle partition, so that parts even out
-_PARTS = 4
+#: parts per shuffle partition; a task works on one part at a time
+_PARTS = 8
 _BATCH = 2 << 20
 _WHOLE = (1 << 31) - 1
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -253,29 +253,40 @@ def _send_anchors(length: int, gram: int, parts: int):
     return _each(one)
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition -> ``(doc_id, v0 array<int>)``: positions of anchors that lie in two documents."""
-    hashes, starts, docs, source = [], [], [], []
-    for batch in batches:
-        for row in batch.to_pylist():
-            doc, start = _documents(row), np.frombuffer(row["starts"], "<u4")
-            if row["known"]:
-                yield _by_doc(doc, start)
-            else:
-                hashes.append(np.frombuffer(row["hashes"], "<u8"))
-                starts.append(start)
-                docs.append(doc)
-                source.append(np.full(len(doc), len(source), np.int32))
-    if not hashes:
-        return
-    hash_, start, doc, src = (np.concatenate(x) for x in (hashes, starts, docs, source))
-    del hashes, starts, docs, source
-    order = np.argsort(hash_, kind="stable")
-    hash_, start, doc, src = hash_[order], start[order], doc[order], src[order]
-    edge = np.concatenate(([0], np.flatnonzero(hash_[1:] != hash_[:-1]) + 1))
-    shared = (np.minimum.reduceat(src, edge) != np.maximum.reduceat(src, edge))
-    keep = np.repeat(shared, np.diff(np.concatenate((edge, [len(hash_)])))) & (start != 0xFFFFFFFF)
-    yield _by_doc(doc[keep], start[keep])
+def _by_part(work):
+    """A task over rows sorted by part: rows known before pass through, the others go to ``work`` a part at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for k in range(0, batch.num_rows, 128):
+                for row in batch.slice(k, 128).to_pylist():
+                    if held and held[0]["part"] != row["part"]:
+                        yield from work(held)
+                        held = []
+                    if row["known"]:
+                        lists = [np.frombuffer(row[c], "<u4") for c in ("starts", "sizes") if row[c] is not None]
+                        yield _by_doc(_documents(row), *lists)
+                    else:
+                        held.append(row)
+        if held:
+            yield from work(held)
+    return run
+
+
+def _shared_anchors(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Rows of a part -> ``(doc_id, v0 array<int>)``: positions of anchors that lie in two documents."""
+    docs = [_documents(row) for row in rows]
+    source = np.repeat(np.arange(len(rows), dtype=np.int32), [len(d) for d in docs])
+    doc = np.concatenate(docs)
+    start = np.concatenate([np.frombuffer(row["starts"], "<u4") for row in rows])
+    hashes = np.concatenate([np.frombuffer(row["hashes"], "<u8") for row in rows])
+    order = np.argsort(hashes, kind="stable")
+    hashes, start, doc, source = hashes[order], start[order], doc[order], source[order]
+    edge = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1))
+    shared = np.minimum.reduceat(source, edge) != np.maximum.reduceat(source, edge)
+    keep = np.repeat(shared, np.diff(np.concatenate((edge, [len(hashes)])))) & (start != 0xFFFFFFFF)
+    if keep.any():
+        yield _by_doc(doc[keep], start[keep])
 
 
 def _send_contexts(length: int, gram: int, parts: int):
@@ -322,27 +333,17 @@ def _send_contexts(length: int, gram: int, parts: int):
 
 
 def _removed(length: int, gram: int):
-    """Rows of a partition -> ``(doc_id, v0 array<int> starts, v1 array<int> sizes)``: spans to remove."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, starts, sizes, data = [], [], [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                doc, start = _documents(row), np.frombuffer(row["starts"], "<u4")
-                if row["known"]:
-                    yield _by_doc(doc, start, np.frombuffer(row["sizes"], "<u4"))
-                else:
-                    docs.append(doc)
-                    starts.append(start)
-                    sizes.append(np.frombuffer(row["sizes"], "<u1"))
-                    data.append(row["bytes"])
-        if not docs:
-            return
-        doc, start, size = np.concatenate(docs), np.concatenate(starts).astype(np.int64), np.concatenate(sizes).astype(np.int64)
+    """Rows of a part -> ``(doc_id, v0 array<int> starts, v1 array<int> sizes)``: spans to remove."""
+    def work(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        doc = np.concatenate([_documents(row) for row in rows])
+        start = np.concatenate([np.frombuffer(row["starts"], "<u4") for row in rows]).astype(np.int64)
+        size = np.concatenate([np.frombuffer(row["sizes"], "<u1") for row in rows]).astype(np.int64)
+        data = np.frombuffer(b"".join(row["bytes"] for row in rows) + bytes(64), np.uint8)
         ends = np.cumsum(size)
-        context, offset, n = _covered(np.frombuffer(b"".join(data) + bytes(64), np.uint8), ends - size, ends, doc, length, 2 * length - gram)
+        context, offset, n = _covered(data, ends - size, ends, doc, length, 2 * length - gram)
         if len(context):
             yield _by_doc(doc[context], start[context] + offset, n)
-    return run
+    return work
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -356,11 +357,11 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     copies = stash(keyed.join(classes, "key").filter("doc_id > rep").select("doc_id").distinct(), "copies")
     reps = source.join(copies, "doc_id", "left_anti")
     parts = _PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = reps.mapInArrow(_send_anchors(length, gram, parts), _SENT).repartition("part") \
-        .mapInArrow(_shared_anchors, "doc_id long, v0 array<int>")
+    shared = reps.mapInArrow(_send_anchors(length, gram, parts), _SENT).repartition("part").sortWithinPartitions("part") \
+        .mapInArrow(_by_part(_shared_anchors), "doc_id long, v0 array<int>")
     shared = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("v0")).alias("positions"))
-    spans = reps.join(shared, "doc_id").mapInArrow(_send_contexts(length, gram, parts), _SENT).repartition("part") \
-        .mapInArrow(_removed(length, gram), "doc_id long, v0 array<int>, v1 array<int>")
+    spans = reps.join(shared, "doc_id").mapInArrow(_send_contexts(length, gram, parts), _SENT).repartition("part").sortWithinPartitions("part") \
+        .mapInArrow(_by_part(_removed(length, gram)), "doc_id long, v0 array<int>, v1 array<int>")
     whole = copies.select("doc_id", F.array(F.lit(0)).alias("v0"), F.array(F.lit(_WHOLE)).alias("v1"))
     return spans.unionAll(whole).toDF("doc_id", "starts", "sizes")
 
