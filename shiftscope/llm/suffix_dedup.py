@@ -124,7 +124,7 @@ def maximal_repeats(data: np.ndarray, at: np.ndarray, ends: np.ndarray, left: np
         return []
     size = np.minimum(ends - at, widest)
     column = np.arange(widest)
-    rows = data[np.minimum(at[:, None] + column, len(data) - 1)]
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(widest, np.uint8))), widest)[at]
     rows[column >= size[:, None]] = 0
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{widest}").ravel(), kind="stable")
     rows, size, left, docs = rows[order], size[order], left[order], docs[order]
