@@ -360,7 +360,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     shared = reps.mapInArrow(_send_anchors(length, gram, parts), _SENT).repartition("part").sortWithinPartitions("part") \
         .mapInArrow(_by_part(_shared_anchors), "doc_id long, v0 array<int>")
     shared = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("v0")).alias("positions"))
-    spans = reps.join(shared, "doc_id").mapInArrow(_send_contexts(length, gram, parts), _SENT).repartition("part").sortWithinPartitions("part") \
+    spans = reps.join(shared, "doc_id").mapInArrow(_send_contexts(length, gram, 4 * parts), _SENT).repartition("part").sortWithinPartitions("part") \
         .mapInArrow(_by_part(_removed(length, gram)), "doc_id long, v0 array<int>, v1 array<int>")
     whole = copies.select("doc_id", F.array(F.lit(0)).alias("v0"), F.array(F.lit(_WHOLE)).alias("v1"))
     return spans.unionAll(whole).toDF("doc_id", "starts", "sizes")
