@@ -2,10 +2,8 @@
 of a host share.
 
 A task reads each whole text once and gives the base counts, one row of (line hash, words) per
-distinct normalised line, and a sketch of the document (the smallest of its line hashes).  Spark
-then counts, per host and line, the distinct documents.  Copies of one text nearly always have
-the same sketch, so a group of copies counts about once and a line is common only if it stands
-in many documents that differ otherwise.  Lines above the limit are removed, and a document of which
+distinct normalised line, and a hash of the whole text.  Spark then counts, per host and line, the
+distinct texts: copies of one text count once, texts that differ anywhere count each.  Lines above the limit are removed, and a document of which
 too little is left is rejected.  The first document that holds a line (smallest id) keeps it, so no
 content leaves the corpus altogether.
 """
@@ -73,36 +71,36 @@ def base_counts(text: str | None) -> tuple[tuple[int, int, int, int, int], list[
 
 
 def line_tables(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, host)`` -> base counts, ``lines`` and ``sketch`` per document."""
+    """``(doc_id, text, host)`` -> base counts, ``lines`` and ``content``, a hash of the whole text, per document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, "text", 4 << 20):
-            base, lines, sketch = [], [], []
+            base, lines, content = [], [], []
             for t in batch.column("text").to_pylist():
                 counts, own = base_counts(t)
                 base.append(counts)
                 lines.append(own)
-                sketch.append(min((h for h, _ in own), default=None))
+                content.append(xxhash.xxh64_intdigest((t or "").encode("utf-8")) - (1 << 63))
             ends = np.cumsum([0] + [len(x) for x in lines])
             hashes = pa.array([h for x in lines for h, _ in x], pa.int64())
             sizes = pa.array([n for x in lines for _, n in x], pa.int32())
             held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([hashes, sizes], ["line", "words"]))
             columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns, held, pa.array(sketch, pa.int64())],
-                                             ["doc_id", "host", *names, "lines", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns, held, pa.array(content, pa.int64())],
+                                             ["doc_id", "host", *names, "lines", "content"])
 
     names = [x.split()[0] for x in BASE.split(", ")]
-    return docs.mapInArrow(read, f"doc_id long, host string, {BASE}, lines array<struct<line:long,words:int>>, sketch long")
+    return docs.mapInArrow(read, f"doc_id long, host string, {BASE}, lines array<struct<line:long,words:int>>, content long")
 
 
 def common_lines(tables: DataFrame, limit: int = LINE_LIMIT, share: int = HOST_SHARE) -> DataFrame:
     """``(host, line, first_id)`` of the lines held by more than ``limit`` distinct documents of the host
-    and by more than one in ``share`` of them.  Counting goes over (host, line, sketch) first,
+    and by more than one in ``share`` of them.  Counting goes over (host, line, content) first,
     combined on the map side, so a line that a third of all documents hold is spread out."""
-    each = tables.select("host", "doc_id", "sketch", F.explode("lines.line").alias("line"))
-    counts = (each.groupBy("host", "line", "sketch").agg(F.min("doc_id").alias("first_id"))
+    each = tables.select("host", "doc_id", "content", F.explode("lines.line").alias("line"))
+    counts = (each.groupBy("host", "line", "content").agg(F.min("doc_id").alias("first_id"))
               .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first_id").alias("first_id")))
-    hosts = tables.groupBy("host", "sketch").agg(F.count(F.lit(1)).alias("x")).groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+    hosts = tables.groupBy("host", "content").agg(F.count(F.lit(1)).alias("x")).groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     return (counts.filter(F.col("n_docs") > limit).join(hosts, "host")
             .filter(F.col("n_docs") * share > F.col("n_host")).select("host", "line", "n_docs", "first_id"))
 
@@ -120,7 +118,7 @@ def quality_verdicts(docs: DataFrame, host: str = "source", limit: int = LINE_LI
     removed = (tables.select("row", "doc_id", "host", F.explode("lines").alias("l"))
                .select("row", "doc_id", "host", "l.line", "l.words").join(common, ["host", "line"])
                .filter("doc_id > first_id").groupBy("row").agg(F.sum("words").alias("n_removed_words")))
-    out = tables.drop("lines", "sketch", "host").join(removed, "row", "left").drop("row")
+    out = tables.drop("lines", "content", "host").join(removed, "row", "left").drop("row")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (left < MIN_WORDS) | (100 * left < least_left * F.col("n_words"))

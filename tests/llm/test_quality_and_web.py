@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -62,6 +63,26 @@ def test_lines_common_to_a_host(spark):
     assert all(got[200 + i].kept and got[300 + i].kept for i in range(5))
 
 
+def test_common_lines_count_whole_texts(spark):
+    """Documents of a few shared lines, one of them the smallest hash of all: each different text counts, copies once."""
+    rng = random.Random(4)
+    shared = [prose(rng, 12) for _ in range(9)]
+    rows = [(i, "\n".join(rng.sample(shared, 6)) + f"\n{prose(rng, 20)}", "a") for i in range(25)]
+    rows += [(100 + i, "\n".join(shared[k] for k in range(9) if k != i % 9), "a") for i in range(18)]
+    rows += [(200 + i, shared[0] + "\n" + "\n".join(prose(rng, 15) for _ in range(3)), "b") for i in range(10)] + [(250 + i, shared[0], "b") for i in range(20)]
+    held, first = defaultdict(set), {}
+    for i, t, h in rows:
+        for line in t.split("\n"):
+            held[h, line].add(t)
+            first.setdefault((h, line), i)
+    common = {k for k, texts in held.items() if len(texts) > 10}
+    assert len(common) == 10
+    got = {r.doc_id: r for r in line_quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i, t, h in rows:
+        gone = sum(len(words(x)) for x in t.split("\n") if (h, x) in common and i > first[h, x])
+        assert got[i].n_removed_words == gone and got[i].kept == (gone == 0 or len(words(t)) - gone >= max(10, 0.2 * len(words(t)))), i
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1><nav><ul><li><a href="/a">Alpha</a></li><li><a href="/b">Beta</a></li></ul></nav></header>
 <div class="cookie-notice">We use cookies.</div>%s<div id="comments"><p>%s</p></div><aside>Side</aside><form>Name <input></form>
