@@ -18,7 +18,7 @@ from shiftscope.session import sf_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by lines common in their source."""
+    """Documents that pass the base rules and are not depleted by lines common in their source, without these lines."""
     return good_documents(docs)
 
 

@@ -12,7 +12,7 @@ from shiftscope.session import ensure_checkpoint_dir, sf_path
 
 from .decontam import leaks
 from .html_content import extracted
-from .line_quality import quality_verdicts
+from .line_quality import cleaned_texts
 from .near_dedup import near_duplicates
 from .packing import packed_documents
 from .pii import pii_digest
@@ -79,8 +79,8 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_cross_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality verdict of every document: base counts, and lines common to many documents of its source."""
-    return quality_verdicts(table(spark, sf_dir, "documents"))
+    """Quality verdict of every document (base counts, lines common to many documents of its source), and the kept texts without these lines."""
+    return cleaned_texts(table(spark, sf_dir, "documents"))
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,30 @@ def test_common_lines_count_whole_texts(spark):
         assert got[i].n_removed_words == gone and got[i].kept == (gone == 0 or len(words(t)) - gone >= max(10, 0.2 * len(words(t)))), i
 
 
+def test_common_lines_are_cut_out_of_the_texts(spark, tmp_path):
+    """Kept texts lose the lines common in their source, whatever their case and spacing; all else stays as it is."""
+    from shiftscope.llm.queries import QUERIES
+    rng = random.Random(6)
+    menu, notice = "Home | ÀBOUT us | Products and prices", "\tAll rights   reserved by the owner\x0b of this site\r"
+    rows = [(i, f"{menu}\n{prose(rng, 30)}\r\n\n  {prose(rng, 20)}\n{notice}", "a") for i in range(20)]
+    rows += [(100 + i, f"{prose(rng, 20)}\n{menu.replace('Home', 'HOME ')}\n{prose(rng, 20)}\n", "a") for i in range(5)]
+    rows += [(200 + i, f"{menu}\n{prose(rng, 30)}", "b") for i in range(5)] + [(5, rows[5][1], "a"), (None, rows[3][1], "a"), (300, f"two words\n{menu}", "a")]
+    flat = lambda x: " ".join(words(x)).translate({k: k + 32 for k in range(65, 91)})
+    common = {flat(menu), flat(notice)}
+    want = {(i, t, h, "\n".join(x for x in t.split("\n") if not (h == "a" and i and flat(x) in common))) for i, t, h in rows if i != 300}
+    assert sum(t != u for _, t, _, u in want) == 24
+    docs = spark.createDataFrame([(i, t, "en", h, len(t), "z") for i, t, h in rows], "doc_id long, text string, lang string, source string, n_chars int, host string")
+    got = line_quality.good_documents(docs)
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    found = got.collect()
+    assert Counter(r.doc_id for r in found) == Counter(i for i, _, _ in rows if i != 300)
+    assert {(r.doc_id, r.source, r.text, r.n_chars, r.host) for r in found} == {(i, h, u, len(u), "z") for i, _, h, u in want}
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    made = QUERIES["op8_cross_document_lines"](spark, f"file://{tmp_path}").collect()
+    assert len(made) == len(rows) and all((r.clean_text is None) == (not r.kept) == (r.doc_id == 300) for r in made)
+    assert {(r.doc_id, r.clean_text, r.clean_chars) for r in made if r.kept} == {(i, u, len(u)) for i, _, _, u in want}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1><nav><ul><li><a href="/a">Alpha</a></li><li><a href="/b">Beta</a></li></ul></nav></header>
 <div class="cookie-notice">We use cookies.</div>%s<div id="comments"><p>%s</p></div><aside>Side</aside><form>Name <input></form>
