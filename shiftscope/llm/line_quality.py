@@ -24,8 +24,8 @@ from .words import HASHES, windows
 WINDOW = 5
 #: Base rule: fewer words fail, and more than so many percent of words in repeated windows
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: A line is removed when more distinct documents of a host hold it, and it is in more than one of so many
-LINE_LIMIT, HOST_SHARE = 10, 1000
+#: A line is removed when more distinct documents of a host hold it, however large the host is
+LINE_LIMIT = 10
 #: A document is rejected when fewer than so many percent of its words, or fewer than MIN_WORDS, are left
 LEAST_PERCENT_LEFT = 20
 _SYMBOLS = bytes(c for c in range(256) if c not in b"#*$%&|<>")
@@ -102,15 +102,18 @@ def line_tables(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(read, f"doc_id long, host string, {BASE}, lines array<struct<line:long,words:int>>, content long")
 
 
-def common_lines(tables: DataFrame, limit: int = LINE_LIMIT, share: int = HOST_SHARE) -> DataFrame:
+def common_lines(tables: DataFrame, limit: int = LINE_LIMIT, share: int | None = None) -> DataFrame:
     """``(host, line, first_id)`` of the lines held by more than ``limit`` distinct documents of the host
-    and by more than one in ``share`` of them.  Counting goes over (host, line, content) first,
+    and, if ``share`` is given, by more than one in ``share`` of them.  Counting goes over (host, line, content) first,
     combined on the map side, so a line that a third of all documents hold is spread out."""
     each = tables.select("host", "doc_id", "content", F.explode("lines.line").alias("line"))
     counts = (each.groupBy("host", "line", "content").agg(F.min("doc_id").alias("first_id"))
               .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first_id").alias("first_id")))
+    found = counts.filter(F.col("n_docs") > limit)
+    if share is None:
+        return found.select("host", "line", "n_docs", "first_id")
     hosts = tables.groupBy("host", "content").agg(F.count(F.lit(1)).alias("x")).groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
-    return (counts.filter(F.col("n_docs") > limit).join(hosts, "host")
+    return (found.join(hosts, "host")
             .filter(F.col("n_docs") * share > F.col("n_host")).select("host", "line", "n_docs", "first_id"))
 
 
@@ -119,7 +122,7 @@ def _source(docs: DataFrame, host: str) -> list[Column]:
             F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")]
 
 
-def _judged(docs: DataFrame, host: str, limit: int, share: int, least_left: int) -> DataFrame:
+def _judged(docs: DataFrame, host: str, limit: int = LINE_LIMIT, share: int | None = None, least_left: int = LEAST_PERCENT_LEFT) -> DataFrame:
     """The verdicts with ``host``, ``content`` and ``gone``, the hashes of the row's lines that are to be removed."""
     tables = stash(line_tables(docs.select(*_source(docs, host))).withColumn("row", F.monotonically_increasing_id()), "lines")
     common = stash(common_lines(tables, limit, share), "common_lines")
@@ -134,7 +137,7 @@ def _judged(docs: DataFrame, host: str, limit: int, share: int, least_left: int)
     return out.withColumn("kept", ~failed & ~((F.col("n_removed_words") > 0) & depleted))
 
 
-def quality_verdicts(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, share: int = HOST_SHARE,
+def quality_verdicts(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, share: int | None = None,
                      least_left: int = LEAST_PERCENT_LEFT) -> DataFrame:
     """``(doc_id, text, <host>)`` -> one row per row: base counts, ``base_failed``, ``n_removed_words``, ``kept``.
 
@@ -161,7 +164,7 @@ def _joined(docs: DataFrame, host: str, verdicts: DataFrame, how: str) -> DataFr
     return left.join(right, same, how).select("d.doc_id", "d.text", "d.doc", *[F.col(f"v.{c}").alias(c) for c in names])
 
 
-def cleaned_texts(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, share: int = HOST_SHARE,
+def cleaned_texts(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, share: int | None = None,
                   least_left: int = LEAST_PERCENT_LEFT) -> DataFrame:
     """The verdicts of :func:`quality_verdicts` with ``clean_text``, the text of a kept document without the lines
     that are common in its host, and ``clean_chars``; both are NULL for a rejected document."""
@@ -175,7 +178,7 @@ def good_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that pass, without the lines common in their host; a changed document's ``n_chars`` is counted anew.
 
     An id is out if any of its rows is, rows without an id pass unjudged."""
-    rows = stash(_judged(docs, host, LINE_LIMIT, HOST_SHARE, LEAST_PERCENT_LEFT), "verdicts")
+    rows = stash(_judged(docs, host), "verdicts")
     bad = rows.filter(~F.col("kept")).select("doc_id").distinct().withColumn("out", F.lit(True))
     # rows that stay as they are need no verdict
     changes = rows.select("doc_id", "host", "content", "gone").join(bad, "doc_id", "left").filter("out or size(gone) > 0")

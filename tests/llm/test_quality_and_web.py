@@ -107,6 +107,15 @@ def test_common_lines_are_cut_out_of_the_texts(spark, tmp_path):
     assert {(r.doc_id, r.clean_text, r.clean_chars) for r in made if r.kept} == {(i, u, len(u)) for i, _, _, u in want}
 
 
+def test_limit_does_not_rise_with_the_source(spark):
+    """A line in 11 documents counts as common in a source of 12,000 documents as in one of 11."""
+    frame = spark.range(12_011).selectExpr(
+        "id as doc_id", "if(id < 12000, 'hot', 'small') as source",
+        "concat(if(id < 11 or id >= 12000, 'a line that eleven documents of the source hold\\n', ''), 'w', id, ' one two three four five six seven eight nine ten eleven twelve') as text")
+    got = line_quality.quality_verdicts(frame).filter("n_removed_words > 0").collect()
+    assert {(r.doc_id, r.n_removed_words) for r in got} == {(i, 9) for i in [*range(1, 11), *range(12_001, 12_011)]}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1><nav><ul><li><a href="/a">Alpha</a></li><li><a href="/b">Beta</a></li></ul></nav></header>
 <div class="cookie-notice">We use cookies.</div>%s<div id="comments"><p>%s</p></div><aside>Side</aside><form>Name <input></form>
