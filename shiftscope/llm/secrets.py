@@ -1,8 +1,11 @@
 """Secrets: known shapes by pattern, and random-looking tokens by a battery of randomness tests.
 Columns and SQL functions only.
 
-For every token of 20 or more characters an encoding is inferred (hex, base32, letters and
-digits, base64).  Under the hypothesis that the token is uniformly random in that encoding three
+For every token of 20 or more characters an encoding is inferred: the narrowest of digits, hex,
+letters, base32 and letters with digits in one case, letters, letters with digits and base64 in both.
+``-``, ``_``, ``+`` and ``/`` in a token of one case part its groups and are taken out (what is left
+of a random token is random); with both cases they are symbols of base64.  A token more than a third
+of which they are is a rule or a table and not tested.  Under the hypothesis that the token is uniformly random in that encoding three
 tests give p-values:
 
 * chi-squared: the counts of the alphabet's symbols are equal;
@@ -35,8 +38,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*+"
 ALPHABETS = {
+    "digits": "0123456789",
     "hex": "0123456789abcdef",
+    "letters": "abcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "alnum36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "letters52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
@@ -48,18 +55,21 @@ BINS_PER_POWER, MOST_BIN = 20, 600
 
 
 def _encoding(core: Column) -> Column:
-    """The narrowest alphabet holding the token; NULL for words, numbers and mere paths."""
-    mixed = core.rlike("[0-9]") & core.rlike("[A-Za-z]")
-    return (F.when(~mixed, None).when(core.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
-            .when(core.rlike("^[A-Z2-7]+$"), "base32").when(core.rlike("^[A-Za-z0-9]+$"), "alnum")
-            .when(core.rlike("[A-Z]") & core.rlike("[a-z]"), "base64"))
+    """The narrowest alphabet holding the token, whose separators are out if it is of one case."""
+    fits = {"digits": "[0-9]+", "hex": "[0-9a-f]+|[0-9A-F]+", "letters": "[a-z]+|[A-Z]+", "base32": "[A-Z2-7]+|[a-z2-7]+",
+            "alnum36": "[0-9a-z]+|[0-9A-Z]+", "letters52": "[A-Za-z]+", "alnum": "[0-9A-Za-z]+", "base64": "[0-9A-Za-z+/]+"}
+    return F.coalesce(*[F.when(core.rlike(f"^(?:{fits[k]})$"), k) for k in ALPHABETS])
 
 
 def with_battery(tokens: DataFrame, value: str) -> DataFrame:
     """Add ``encoding``, ``p`` (NULL where no encoding fits) for the token in column ``value``."""
-    core = F.regexp_replace(F.translate(F.regexp_replace(F.col(value), "=+$", ""), "-_", "+/"), "^$", "")
-    t = tokens.withColumn("__core", core).withColumn("encoding", _encoding(F.col("__core")))
-    t = t.withColumn("__core", F.when(F.col("encoding") == "hex", F.lower("__core")).otherwise(F.col("__core")))
+    whole = F.regexp_replace(F.col(value), "=+$", "")
+    both = F.col(value).rlike("[A-Z]") & F.col(value).rlike("[a-z]")
+    core = F.when(both, F.translate(whole, "-_", "+/")).otherwise(F.translate(whole, "-_+/", ""))
+    t = tokens.withColumn("__core", core)
+    t = t.withColumn("encoding", F.when(3 * F.length("__core") >= 2 * F.length(whole), _encoding(F.col("__core"))))
+    t = t.withColumn("__core", F.when(F.col("encoding").isin("hex", "letters", "alnum36"), F.lower("__core"))
+                     .when(F.col("encoding") == "base32", F.upper("__core")).otherwise(F.col("__core")))
     alphabet = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])[F.col("encoding")]
     t = t.withColumn("__abc", alphabet)
     t = t.withColumn("__ix", F.when(F.col("encoding").isNotNull(), F.transform(
@@ -129,7 +139,7 @@ def secret_spans(docs: DataFrame, text: str = "text", rate: float = RATE) -> Dat
     access = F.when(F.contains(body, F.lit("AKIA")), find_spans(body, "access", ACCESS)).otherwise(F.array().cast(f"array<{SPAN}>"))
     found = docs.select("doc_id", _row_key(text).alias("row_key"), F.concat(assign, access, find_spans(body, "hex", HEX)).alias("base"),
                         find_spans(body, "random", TOKEN).alias("tokens"))
-    found = found.withColumn("tokens", F.filter("tokens", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists(
+    found = found.withColumn("tokens", F.filter("tokens", lambda s: s["value"].rlike("[0-9A-Za-z]") & ~F.exists(
         F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     found = stash(found, "secret_spans")
     each = found.filter(F.size("tokens") > 0).select("row_key", F.explode("tokens").alias("t"))

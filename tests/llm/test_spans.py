@@ -87,6 +87,38 @@ def test_battery_and_false_discovery(spark):
     assert sum(i < 200 for i in found) >= 185 and not any(i >= 200 for i in found)
 
 
+KEYS = {"digits": "0123456789", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+        "lower36": "0123456789abcdefghijklmnopqrstuvwxyz", "upper36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "HEX": "0123456789ABCDEF",
+        "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base32 in lower case": "abcdefghijklmnopqrstuvwxyz234567",
+        "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
+
+
+def test_random_keys_of_every_alphabet_are_found(spark):
+    """Keys of one case, without digits, without letters, in groups; what is repeated or a rule is thrown out."""
+    import random
+    rng = random.Random(11)
+    rows = []
+    for kind, abc in KEYS.items():
+        for n in (20, 32, 40, 64, 96, 160):
+            for part in ("", "-", "_", "+", "/"):
+                if part and kind == "mixed":
+                    continue
+                for _ in range(40 if not part else 10):
+                    key = "".join(rng.choice(abc) for _ in range(n))
+                    rows.append(((kind, n, part), part.join(key[i:i + 5] for i in range(0, n, 5)) if part else key))
+    plain = ["-" * 40, "a" + "-" * 30 + "b", "_/+-" * 8, "a-" * 20, *[(w * 20)[:60] for w in ("xyz", "A1", "98-76-", "home/", "data-set-", "LOG_FILE_")]]
+    rows += [("plain", t) for t in plain]
+    frame = spark.createDataFrame([(i, f"x {t} y") for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.secret_digest(frame).collect()}
+    share, n_rows = {}, {}
+    for i, (kind, _) in enumerate(rows):
+        for k in ((kind,) if kind == "plain" else (kind[0], kind[:2], "parted" + kind[2])):
+            share[k], n_rows[k] = share.get(k, 0) + (spans[i] != ""), n_rows.get(k, 0) + 1
+    assert share.pop("plain") == 0
+    low = {k: (v, n_rows[k]) for k, v in share.items() if v < 0.85 * n_rows[k]}
+    assert not low, low
+
+
 def test_masked_text(spark):
     text = "é😀 token = \"abcdef123456\" then " + "0123456789abcdef" * 2 + " end"
     frame = spark.createDataFrame([(1, text, len(text), "x"), (2, "clean", 5, "y")], "doc_id long, text string, n_chars long, spans string")
