@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from shiftscope.session import ensure_checkpoint_dir, sf_path
 
+from .collocations import collocations
 from .decontam import leaks
+from .filter_audit import interactions
 from .html_content import extracted
+from .licenses import license_digest
 from .line_quality import cleaned_texts
 from .near_dedup import near_duplicates
 from .packing import packed_documents
@@ -93,7 +96,23 @@ def op10_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every text of documents: exact set-similarity join of blocks and templates."""
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from documents, by lang, in all 120 orders."""
+    return interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each lang of documents."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_minhash_near_dedup, op3_karmarkar_karp_packing, op4_suffix_array_dedup,
                             op5_repair_token_files, op6_secret_scan,
-                            op7_warc_derivatives, op8_cross_document_lines, op9_html_main_text, op10_spaced_seed_leaks)}
+                            op7_warc_derivatives, op8_cross_document_lines, op9_html_main_text, op10_spaced_seed_leaks, op11_license_scan,
+                            op12_filter_interactions, op13_phrase_collocations)}
