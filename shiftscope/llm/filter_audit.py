@@ -7,8 +7,6 @@ levels is one step.  Steps meet the cells on the mask, so the enumeration is the
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,9 +87,8 @@ def interactions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A NULL lang is the part ``''``, a NULL text an empty one.  A row without an id has no smaller id and
     is not a repetition; rows that share an id and a text are none of each other.  Repeated label rows
     count once.  An empty table has no parts and gives no rows."""
-    spark = docs.sparkSession
     letters = LETTERS
-    walk = spark.sql(_enumeration(1 << len(letters), letters))
+    walk = docs.sparkSession.sql(_enumeration(1 << len(letters), letters))
     cells = mask_cells(docs, labels)
     steps = cells.join(F.broadcast(walk), "mask").groupBy("part", "prefix", "step", "letter").agg(
         *[F.sum(F.col("n") * F.col(c)).alias(c) for c in ("kept", "removed", "redundant", "unique_fails")],
@@ -103,7 +100,3 @@ def interactions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shapley = out.groupBy("part", "letter").agg(F.sum("removed").alias("shapley"))
     return out.join(shapley, ["part", "letter"]).select(
         "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
-
-
-def all_orders(letters: str = LETTERS) -> list[str]:
-    return ["".join(p) for p in permutations(letters)]
