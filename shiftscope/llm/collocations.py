@@ -32,7 +32,7 @@ LEAST = 30
 TOP = 2000
 INSIDE_PERCENT = 80
 FILTER_BITS = 1 << 28
-#: bytes of text per hash partition: about as many phrase occurrences, whose counts take a task 30 MB at most
+#: bytes of text per hash partition: fewer phrase occurrences than that, so a task holds 64 MB of counts at most
 PART_BYTES = 8 << 20
 BATCH_BYTES = 6 << 20
 #: a lang's ranking takes the best of so many buckets
@@ -54,41 +54,39 @@ class Batch:
         #: the first entry of the dictionary is the break
         self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         seed = xxhash.xxh64_intdigest(lang.encode("utf-8"))
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
+        self.hashes_of_words = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
         self.n_words = int(np.count_nonzero(self.ids))
 
-    def phrases(self, passes=None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length: ``(length, hashes, counts, places)`` of the distinct phrases, a place being one
-        position of the phrase.  Exact: a phrase is told by its words' numbers, not by the hash.
-
-        ``passes(hashes)`` keeps phrases; longer ones are then made only of kept ones."""
-        at = np.flatnonzero(self.ids)
-        code = self.ids
+    def hashes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length: ``(length, whole, hashes)`` by starting place; ``whole`` tells phrases from breaks."""
+        word, whole = self.hashes_of_words[self.ids], self.ids > 0
+        rolling, inside = word, whole
         for length in range(1, LONGEST + 1):
             if length > 1:
-                # `at` holds starts of kept phrases one word shorter, `code` a number for each start (0: none)
-                at = at[(at + 1 < len(code))]
-                at = at[code[at + 1] > 0]
-                keys = code[at] * np.int64(len(self.words)) + self.ids[at + length - 1] if len(at) else at
-            else:
-                keys = self.ids[at]
-            distinct, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-            places = at[first]
-            h = self.hashes[self.ids[places]]
-            for k in range(1, length):
-                h = mix(h * _MUL + self.hashes[self.ids[places + k]])
-            h = mix(h + np.uint64(length))
-            if passes is not None:
-                keep = passes(h)
-                number = np.where(keep, np.cumsum(keep), 0)
-                h, counts, places = h[keep], counts[keep], places[keep]
-            else:
-                number = np.arange(1, len(distinct) + 1)
-            yield length, h, counts, places
-            here = number[inverse] if len(at) else at
+                rolling = mix(rolling[:-1] * _MUL + word[length - 1:])
+                inside = inside[:-1] & whole[length - 1:]
+            yield length, inside, mix(rolling + np.uint64(length))
+
+    def distinct_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """All phrases' hashes, sorted, and their counts."""
+        h = np.sort(np.concatenate([h[whole] for _, whole, h in self.hashes()]))
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+        return h[starts], np.diff(np.append(starts, len(h))).astype(np.uint32)
+
+    def counted(self, passes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length: ``(length, places, counts)`` of the distinct phrases that ``passes(hashes)`` keeps and whose
+        sub-phrases are kept, a place being one position of the phrase.  Phrases are told by their words' numbers."""
+        kept, code = None, self.ids
+        for length, whole, h in self.hashes():
+            at = np.flatnonzero(whole if kept is None else whole & kept[:len(whole)] & kept[1:len(whole) + 1])
+            at = at[passes(h[at])]
+            keys = self.ids[at] if length == 1 else code[at] * np.int64(len(self.words)) + self.ids[at + length - 1]
+            _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+            yield length, at[first], counts
+            kept = np.zeros(len(self.ids) + 1, bool)
+            kept[at] = True
             code = np.zeros(len(self.ids), np.int64)
-            code[at] = here
-            at = at[here > 0]
+            code[at] = inverse
 
     def text(self, place: int, length: int) -> str:
         return b" ".join([self.words[i] for i in self.ids[place:place + length]]).decode("utf-8", "replace")
@@ -103,20 +101,29 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Batch]]:
             yield lang, Batch(lang, texts)
 
 
+def _summed(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct items with summed counts, of items that come in few sorted stretches."""
+    order = np.argsort(items, kind="stable")
+    items, counts = items[order], counts[order]
+    starts = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1]))) if len(items) else np.empty(0, np.int64)
+    return items[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
 def merged_summary(pieces: Iterator[tuple[np.ndarray, np.ndarray]], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Misra-Gries merge of partial counts ``(items, counts)``: at most ``capacity`` items with
-    estimates, and the sum of all decrements, by which an estimate may be too low."""
+    """Misra-Gries merge of partial counts ``(items, counts)``, both unsigned 32-bit: at most ``capacity`` items
+    with estimates, and the sum of all decrements, by which an estimate may be too low."""
     items, counts, lost = np.empty(0, np.uint32), np.empty(0, np.int64), 0
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[np.ndarray] = []
 
     def fold() -> None:
         nonlocal items, counts, lost, waiting
-        every = np.concatenate([items, *(i for i, _ in waiting)])
-        weight = np.concatenate([counts, *(c for _, c in waiting)])
-        order = np.argsort(every, kind="stable")
-        every, weight = every[order], weight[order]
-        starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.empty(0, np.int64)
-        items, counts, waiting = every[starts], np.add.reduceat(weight, starts) if len(starts) else weight, []
+        if not waiting:
+            return
+        # item and count in one number: a plain sort brings equal items together
+        pairs = np.sort(np.concatenate(waiting))
+        new, weight = _summed((pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        items, counts = _summed(np.concatenate([items, new]), np.concatenate([counts, weight]))
+        waiting = []
         if len(items) > capacity:
             cut = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
             lost += cut
@@ -124,10 +131,10 @@ def merged_summary(pieces: Iterator[tuple[np.ndarray, np.ndarray]], capacity: in
             items, counts = items[keep], counts[keep] - cut
 
     held = 0
-    for piece in pieces:
-        waiting.append(piece)
-        held += len(piece[0])
-        if held > max(capacity, 1 << 16):
+    for item, count in pieces:
+        waiting.append((item.astype(np.uint64) << np.uint64(32)) | count.astype(np.uint64))
+        held += len(item)
+        if held > max(2 * capacity, 1 << 16):
             fold()
             held = 0
     fold()
@@ -145,10 +152,7 @@ def frequent_filter(texts: DataFrame, least: int) -> tuple[np.ndarray, int]:
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, batch in _batches(rows):
-            found = [(h, n) for _, h, n, _ in batch.phrases()]
-            h, n = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-            order = np.argsort(h)
-            h, n = h[order], n[order].astype(np.uint32)
+            h, n = batch.distinct_hashes()
             part = (h >> part_shift).astype(np.int64) if parts > 1 else np.zeros(len(h), np.int64)
             low = ((h << np.uint64(parts.bit_length() - 1)) >> np.uint64(32)).astype(np.uint32)
             used, starts = np.unique(part, return_index=True)
@@ -160,7 +164,7 @@ def frequent_filter(texts: DataFrame, least: int) -> tuple[np.ndarray, int]:
     def summarise(group: pa.Table) -> pa.Table:
         counts = group.column("counts").to_pylist()
         mass = sum(int(np.frombuffer(c, np.uint32).sum(dtype=np.int64)) for c in counts)
-        pairs = ((np.frombuffer(i, np.uint32), np.frombuffer(c, np.uint32).astype(np.int64))
+        pairs = ((np.frombuffer(i, np.uint32), np.frombuffer(c, np.uint32))
                  for i, c in zip(group.column("items").to_pylist(), counts))
         items, estimates, lost = merged_summary(pairs, mass // least + 1)
         bits = np.zeros(max(slot_bits, 8), bool)
@@ -198,7 +202,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
         for lang, batch in _batches(rows):
             phrases, lengths, counts = [""], [0], [batch.n_words]
-            for length, _, n, places in batch.phrases(passes):
+            for length, places, n in batch.counted(passes):
                 phrases += [batch.text(p, length) for p in places]
                 lengths += [length] * len(places)
                 counts += n.tolist()
