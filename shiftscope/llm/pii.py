@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, count_kind, find_spans, joined
+from .spans import SPAN, count_kind, find_spans, joined, meeting
 
 # The kinds in their order, the patterns, and what a span scores on its own.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -74,10 +74,8 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _score(text: Column, span: Column, kind: str) -> Column:
-    first = F.greatest(span["start"] - NEAR, F.lit(0))
-    around = F.concat(F.substring(text, first + 1, span["start"] - first), F.lit(" "),
-                      F.substring(text, span["end"] + 1, F.lit(NEAR)))
+def _score(span: Column, kind: str) -> Column:
+    around = F.concat(span["before"], F.lit(" "), span["after"])
     return F.round(F.lit(OWN_SCORE[kind]) + F.when(around.rlike(CONTEXT[kind]), BONUS).otherwise(0.0)
                    - F.when(around.rlike(AGAINST), MALUS).otherwise(0.0), 2)
 
@@ -86,7 +84,9 @@ def with_pii_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> Dat
     """Add ``out``: ``array<struct<kind, start, end, value, score>>``, by kind as listed, then start.
 
     A NULL text counts as empty and gives an empty array; all other columns and rows, repeated
-    ones included, stay as they are.  Additional kinds that overlap a base span are left out."""
+    ones included, stay as they are.  Context words count within ``NEAR`` characters on either side, up to the
+    next match of the kind.  Additional kinds that overlap a base span are left out.  Very long texts and texts
+    of very many matches take time in proportion to their length."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # a cheap test for the character that every match needs, before the full pattern
     needs = {"email": F.contains(body, F.lit("@")), "phone": F.contains(body, F.lit("+"))}
@@ -94,18 +94,17 @@ def with_pii_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> Dat
     found = docs
     names = {k: f"__{out}_{k}" for k in KINDS}
     found = found.withColumns({
-        names[k]: F.filter(F.when(needs[k], find_spans(body, k, PATTERNS[k])).otherwise(none) if k in needs
-                           else find_spans(body, k, PATTERNS[k]), lambda s: _holds(k, s["value"])) for k in KINDS})
-    base = F.concat(*[F.col(names[k]) for k in BASE_KINDS])
+        names[k]: F.filter(F.when(needs[k], find_spans(body, k, PATTERNS[k], NEAR)).otherwise(none) if k in needs
+                           else find_spans(body, k, PATTERNS[k], NEAR), lambda s: _holds(k, s["value"])) for k in KINDS})
     parts = []
     for k in KINDS:
-        spans = F.col(names[k])
-        if k not in BASE_KINDS:
-            spans = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        scored = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                                                            s["value"].alias("value"), _score(body, s, k).alias("score")))
+        scored = F.transform(F.col(names[k]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
+                                                                 s["value"].alias("value"), _score(s, k).alias("score")))
         parts.append(scored if k in BASE_KINDS else F.filter(scored, lambda s: s["score"] >= LEAST))
-    return found.withColumn(out, F.concat(*parts)).drop(*names.values())
+    base = f"__{out}_base"
+    found = found.withColumns({names[k]: p for k, p in zip(KINDS, parts)}).withColumn(base, F.concat(*[F.col(names[k]) for k in BASE_KINDS]))
+    own = [meeting(F.col(names[k]), F.col(base), keep=False) for k in KINDS if k not in BASE_KINDS]
+    return found.withColumn(out, F.concat(F.col(base), *own)).drop(base, *names.values())
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
