@@ -1,7 +1,7 @@
 """Campaign performance: KPIs from daily campaign metrics.
 
-The reference issues two queries per segment; here each driver dimension is one
-grouped aggregate with per-period conditional sums, joined to the segment list.
+Driver segments of all dimensions come from one scan: a grouped aggregate with conditional sums per
+period, in which a segment is listed if it has a row in the span of both periods.
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from __future__ import annotations
 import datetime as dt
 from typing import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftscope.functions.expr import clamp, evidence_id, money_sum_sql, pct_change, safe_ratio
 from shiftscope.functions.scope import CAMPAIGN_SCOPE, check_scope, scope_identity, scope_predicate
+from shiftscope.operators.ranking import ranked
 from shiftscope.operators.compare import compare_long, single_period, widen
 from shiftscope.periods import Periods
 from shiftscope.tables import MarketingTables
@@ -90,42 +91,33 @@ def campaign_candidates(t: MarketingTables, periods: Periods, metric: str,
         raise ValueError(f"unknown campaign metric {metric!r}")
     dimensions = [next(iter(scope))] if scope else ["channel", "campaign"]
     sid = scope_identity(scope)
-    frames = []
-    for order, dim in enumerate(dimensions):
-        others = {k: v for k, v in scope.items() if k != dim}
-        pred = scope_predicate(others, CAMPAIGN_SCOPE, "Campaign analysis", _campaign_columns())
-        seg_col = F.col(SEGMENT_COLUMN[dim])
-        d = daily_with_campaign(t).filter(periods.in_either("date", as_date=True) & pred)
-        sums = []
-        cur_sql = periods._sql("date", periods.current_start, periods.current_end, True)
-        prev_sql = periods._sql("date", periods.previous_start, periods.previous_end, True)
-        for m in BASE_MEASURES:
-            sums.append(F.expr(f"CAST(coalesce({_sum(f'CASE WHEN {cur_sql} THEN {m} END', m)}, 0) AS DOUBLE)")
-                        .alias("c_" + m))
-            sums.append(F.expr(f"CAST(coalesce({_sum(f'CASE WHEN {prev_sql} THEN {m} END', m)}, 0) AS DOUBLE)")
-                        .alias("p_" + m))
-        per_seg = d.groupBy(seg_col.alias("_seg")).agg(*sums)
-        segs = campaign_segments(t, periods, dim)
-        j = segs.join(per_seg, F.col("segment") == F.col("_seg"), "left").na.fill(0.0)
-
-        def value(prefix):
-            return _ratios(prefix)[metric] if metric in _ratios() else F.col(prefix + metric)
-        cur_v, prev_v = value("c_"), value("p_")
-        pct = pct_change(cur_v, prev_v)
-        score = clamp(F.abs(F.coalesce(pct, F.lit(0.0))), 0.0, 1.0)
+    # only a single dimension has other filters, so one scan serves every dimension
+    others = {k: v for k, v in scope.items() if k not in dimensions}
+    pred = scope_predicate(others, CAMPAIGN_SCOPE, "Campaign analysis", _campaign_columns())
+    span = Periods.in_range("date", periods.previous_start, periods.current_end, as_date=True)
+    d = (daily_with_campaign(t).filter(periods.in_either("date", as_date=True) | span)
+         .select("*", span.alias("_span"), (periods.in_current("date", as_date=True) & pred).alias("_cur"),
+                 (periods.in_previous("date", as_date=True) & pred).alias("_prev")))
+    pairs = F.array(*[F.struct(F.lit(x).alias("dimension"), F.col(SEGMENT_COLUMN[x]).alias("segment")) for x in dimensions])
+    sums = [F.expr(f"CAST(coalesce({_sum(f'CASE WHEN {side} THEN {m} END', m)}, 0) AS DOUBLE)").alias(pre + m)
+            for m in BASE_MEASURES for side, pre in (("_cur", "c_"), ("_prev", "p_"))]
+    # a segment counts if it has a row in the span, whatever the scope
+    per_seg = (d.select("_span", "_cur", "_prev", *BASE_MEASURES, F.inline(pairs)).groupBy("dimension", "segment")
+               .agg(F.bool_or("_span").alias("_in_span"), *sums).filter("_in_span"))
+
+    def value(prefix):
+        return _ratios(prefix)[metric] if metric in _ratios() else F.col(prefix + metric)
+    cur_v, prev_v = value("c_"), value("p_")
+    pct = pct_change(cur_v, prev_v)
+    score = clamp(F.abs(F.coalesce(pct, F.lit(0.0))), 0.0, 1.0)
+    for dim in dimensions:
         if scope.get(dim) is not None:
             score = F.when(F.col("segment") == F.lit(scope[dim]), F.lit(1.0)).otherwise(score)
-        frames.append(j.select(
-            evidence_id("drv_", "campaign_driver", metric, dim, F.col("segment"),
-                        *periods.key_parts(), sid).alias("evidence_id"),
-            F.lit("dimension_driver").alias("candidate_type"), F.lit(dim).alias("dimension"),
-            "segment", score.alias("score"), F.lit(metric).alias("metric"),
-            cur_v.alias("current"), prev_v.alias("previous"),
-            (cur_v - prev_v).alias("absolute_change"), pct.alias("percent_change"),
-            F.lit(order).alias("_order")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    # The candidate list is bounded by the number of channels and campaigns.
-    rank = Window.orderBy(F.col("score").desc(), F.col("_order"), F.col("segment").asc_nulls_first())
-    return out.withColumn("rank_within_dimension", F.row_number().over(rank)).drop("_order")
+    out = per_seg.select(
+        evidence_id("drv_", "campaign_driver", metric, F.col("dimension"), F.col("segment"),
+                    *periods.key_parts(), sid).alias("evidence_id"),
+        F.lit("dimension_driver").alias("candidate_type"), "dimension", "segment", score.alias("score"),
+        F.lit(metric).alias("metric"), cur_v.alias("current"), prev_v.alias("previous"),
+        (cur_v - prev_v).alias("absolute_change"), pct.alias("percent_change"))
+    place = F.array_position(F.array(*[F.lit(x) for x in dimensions]), F.col("dimension"))
+    return ranked(out, [], [F.col("score").desc(), place, F.col("segment").asc_nulls_first()], "rank_within_dimension")

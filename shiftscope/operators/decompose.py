@@ -11,14 +11,16 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftscope.functions.expr import MONEY_TYPE, C, evidence_id, money_sum_sql
 from shiftscope.functions.scope import scope_identity
 from shiftscope.functions.stats import with_two_proportion_test
 from shiftscope.operators.facts import scoped_sessions, with_conversions
+from shiftscope.operators.ranking import ranked, top_k, with_group_total
 from shiftscope.periods import Periods
+from shiftscope.session import cut_lineage
 from shiftscope.tables import MarketingTables
 
 # Approved decomposition dimensions.
@@ -37,12 +39,12 @@ def segment_period_totals(t: MarketingTables, periods: Periods, dimensions: Sequ
     pieces = []
     plain = [d for d in dimensions if d != "product"]
     if plain:
-        g = with_conversions(facts, t)
+        g = with_conversions(facts, t, periods=periods)
         pairs = ", ".join(f"named_struct('dimension', '{d}', 'segment', CAST(`{d}` AS STRING))"
                           for d in plain)
         pieces.append(g.selectExpr("period", "n_conv", "conv_revenue", f"inline(array({pairs}))"))
     if "product" in dimensions:
-        g = with_conversions(facts, t, by_product=True)
+        g = with_conversions(facts, t, by_product=True, periods=periods)
         pieces.append(g.selectExpr("period", "n_conv", "conv_revenue", "'product' AS dimension",
                                    "product AS segment"))
     rows = pieces[0]
@@ -60,12 +62,15 @@ def segment_period_totals(t: MarketingTables, periods: Periods, dimensions: Sequ
 
 
 def decompose(t: MarketingTables, periods: Periods, dimensions: Sequence[str] = DIMENSIONS,
-              scope: Mapping[str, str] | None = None) -> DataFrame:
+              scope: Mapping[str, str] | None = None, top: int | None = None) -> DataFrame:
     """C2 for several dimensions at once: DimensionEvidence rows plus ``rank_in_dimension``
     (1 = first in the direction-aware order W1: ascending change when the dimension's
-    total fell, else descending; ties by segment)."""
-    g = segment_period_totals(t, periods, dimensions, scope)
-    by_dim = Window.partitionBy("dimension")
+    total fell, else descending; ties by segment).
+
+    The aggregated segments are stored once, so the facts are read once whatever is asked of the result.
+    A dimension may have any number of segments: its total is a grouped sum and its ranks come from range
+    partitions.  With ``top`` only so many segments of each dimension are kept, without ranking the others."""
+    g = cut_lineage(segment_period_totals(t, periods, dimensions, scope))
     g = g.withColumns({
         "revenue_change": F.expr("current_revenue - previous_revenue"),
         "current_conversion_rate": F.expr(
@@ -74,10 +79,9 @@ def decompose(t: MarketingTables, periods: Periods, dimensions: Sequence[str] =
             "CASE WHEN previous_sessions > 0 THEN previous_conversions / previous_sessions ELSE 0.0 END"),
         "_seg_key": F.expr("coalesce(segment, 'None')"),
     })
-    g = g.withColumn("_total", F.sum(F.col("revenue_change").cast(MONEY_TYPE)).over(by_dim).cast("double"))
-    ordered = Window.partitionBy("dimension").orderBy(
-        F.expr("CASE WHEN _total >= 0 THEN -revenue_change ELSE revenue_change END"),
-        F.col("segment").asc_nulls_first())
+    g = with_group_total(g, ["dimension"], F.sum(F.col("revenue_change").cast(MONEY_TYPE)).cast("double"), "_total")
+    order = [F.expr("CASE WHEN _total >= 0 THEN -revenue_change ELSE revenue_change END"), F.col("segment").asc_nulls_first()]
+    g = top_k(g, ["dimension"], order, top, "rank_in_dimension") if top else ranked(g, ["dimension"], order, "rank_in_dimension")
     g = with_two_proportion_test(g, "current_conversions", "current_sessions",
                                  "previous_conversions", "previous_sessions",
                                  p="conversion_rate_p_value", z="_z")
@@ -94,7 +98,7 @@ def decompose(t: MarketingTables, periods: Periods, dimensions: Sequence[str] =
         "current_conversion_rate", "previous_conversion_rate",
         F.expr("current_conversion_rate - previous_conversion_rate").alias("conversion_rate_change"),
         "conversion_rate_p_value", "statistically_significant",
-        F.row_number().over(ordered).alias("rank_in_dimension"),
+        "rank_in_dimension",
     )
 
 

@@ -68,15 +68,26 @@ def scoped_sessions(t: MarketingTables, periods: Periods, scope: Mapping[str, st
     return s.withColumn("period", F.explode(periods.all_labels("timestamp")))
 
 
-def conversions_per_session(t: MarketingTables, by_product: bool = False) -> DataFrame:
+def of_session_days(facts: DataFrame, periods: Periods | None) -> DataFrame:
+    """Facts of sessions in either period, where they are stored with their session's day (``session_day``):
+    the bounds prune partitions.  Other facts are returned whole; the join with the sessions decides."""
+    if periods is None or "session_day" not in facts.columns:
+        return facts
+    return facts.filter(periods.in_either("session_day", as_date=True))
+
+
+def conversions_per_session(t: MarketingTables, by_product: bool = False, periods: Periods | None = None) -> DataFrame:
     keys = ["session_id"] + (["product_id"] if by_product else [])
-    return (t.conversions.groupBy(*keys)
+    return (of_session_days(t.conversions, periods).groupBy(*keys)
             .agg(F.count("conversion_id").alias("n_conv"), money_sum("revenue").alias("conv_revenue")))
 
 
-def with_conversions(sessions: DataFrame, t: MarketingTables, by_product: bool = False) -> DataFrame:
-    """Attach per-session (or per session-and-product) conversion counts and revenue."""
-    joined = sessions.join(conversions_per_session(t, by_product), "session_id", "left")
+def with_conversions(sessions: DataFrame, t: MarketingTables, by_product: bool = False,
+                     periods: Periods | None = None) -> DataFrame:
+    """Attach per-session (or per session-and-product) conversion counts and revenue.
+
+    ``periods`` are those the sessions were chosen by."""
+    joined = sessions.join(conversions_per_session(t, by_product, periods), "session_id", "left")
     joined = (joined.withColumn("n_conv", F.coalesce("n_conv", F.lit(0)).cast("bigint"))
               .withColumn("conv_revenue", F.coalesce("conv_revenue", F.lit(0.0))))
     if by_product:

@@ -17,47 +17,52 @@ from pyspark.sql import functions as F
 from shiftscope.functions.expr import C, evidence_id
 from shiftscope.functions.scope import SESSION_SCOPE, scope_identity, scope_identity_col
 from shiftscope.functions.stats import with_two_proportion_test
-from shiftscope.operators.facts import scoped_sessions
+from shiftscope.operators.facts import of_session_days, scoped_sessions
 from shiftscope.periods import Periods
 from shiftscope.tables import MarketingTables
 
 # The default funnel step order.
 FUNNEL_STEPS = ("landing_page", "product_view", "add_to_cart", "checkout_started",
                 "payment_started", "purchase_completed")
+#: steps per mask
+WORD = 62
 
 
 def _check_steps(steps: Sequence[str]) -> tuple[str, ...]:
     steps = tuple(steps)
-    if len(steps) < 2 or len(steps) > 62 or len(set(steps)) != len(steps):
-        raise ValueError("a funnel needs 2 to 62 distinct steps")
+    if len(steps) < 2 or len(set(steps)) != len(steps):
+        raise ValueError("a funnel needs two or more distinct steps")
     return steps
 
 
 def funnel_counts(t: MarketingTables, periods: Periods, scope: Mapping[str, str] | None = None) -> DataFrame:
     """Distinct sessions per event name and period (every event name, known or not)."""
     s = scoped_sessions(t, periods, scope, label="all").select("session_id", "period")
-    ev = t.funnel_events.select("session_id", "event_name").distinct()
+    ev = of_session_days(t.funnel_events, periods).select("session_id", "event_name").distinct()
     return (ev.join(s, "session_id").groupBy("period", "event_name")
             .agg(F.count(F.lit(1)).alias("sessions")))
 
 
-def step_masks(t: MarketingTables, steps: Sequence[str]) -> DataFrame:
-    """One row per session: bit i set when the session has an event of step i."""
+def step_masks(t: MarketingTables, steps: Sequence[str], periods: Periods | None = None) -> DataFrame:
+    """One row per session: bit i of the masks set when the session has an event of step i.
+
+    A mask holds ``WORD`` steps; longer funnels have several."""
     pos = F.array_position(F.array(*[F.lit(s) for s in steps]), F.col("event_name"))
-    return (t.funnel_events.select("session_id", pos.alias("pos")).filter(F.col("pos") > 0)
-            .groupBy("session_id")
-            .agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), pos - 1)")).alias("mask")))
+    masks = [F.bit_or(F.expr(f"CASE WHEN (pos - 1) DIV {WORD} = {k} THEN shiftleft(CAST(1 AS BIGINT), CAST((pos - 1) % {WORD} AS INT)) ELSE CAST(0 AS BIGINT) END"))
+             .alias(f"mask_{k}") for k in range(-(-len(steps) // WORD))]
+    return (of_session_days(t.funnel_events, periods).select("session_id", pos.alias("pos")).filter(F.col("pos") > 0)
+            .groupBy("session_id").agg(*masks))
 
 
 def _bit(i: int) -> Column:
-    return F.shiftright(F.col("mask"), i).bitwiseAND(F.lit(1))
+    return F.shiftright(F.col(f"mask_{i // WORD}"), i % WORD).bitwiseAND(F.lit(1))
 
 
 def step_totals(t: MarketingTables, periods: Periods, scope: Mapping[str, str] | None,
                 steps: Sequence[str], by: str | None = None) -> DataFrame:
     """``cur_<i>`` / ``prev_<i>`` session counts per step, optionally per segment of ``by``."""
     s = scoped_sessions(t, periods, scope, label="all", need_campaign=(by == "campaign"))
-    j = s.join(step_masks(t, steps), "session_id")
+    j = s.join(step_masks(t, steps, periods), "session_id")
     aggs = []
     for i in range(len(steps)):
         for label, pre in (("current", "cur_"), ("previous", "prev_")):

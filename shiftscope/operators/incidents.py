@@ -71,12 +71,3 @@ def related_incidents(incidents: DataFrame, anomalies: DataFrame, periods: Perio
     if scope:
         return incidents_scoped(anomalies, periods, scope)
     return incidents_in_period(incidents, periods)
-
-
-def incidents_scoped_batch(anomalies: DataFrame, requests: DataFrame) -> DataFrame:
-    """J6 in batch form: ``requests(case_id, current_start, current_end, scope_pairs array)``
-    semi-joined to anomalies by an exploded pair list (one equi-join, no pair blow-up)."""
-    wanted = requests.select("case_id", "current_start", "current_end",
-                             F.explode("scope_pairs").alias("affected_dimension"))
-    return (anomalies.join(wanted, "affected_dimension")
-            .filter((F.col("start_date") < F.col("current_end")) & (F.col("end_date") >= F.col("current_start"))))

@@ -26,7 +26,7 @@ def kpis_per_period(t: MarketingTables, periods: Periods,
     A session in both (overlapping) periods counts in both, as two separate period
     queries would.  ``users`` is the only distinct count left (see ``facts``).
     """
-    g = with_conversions(scoped_sessions(t, periods, scope, label="all"), t)
+    g = with_conversions(scoped_sessions(t, periods, scope, label="all"), t, periods=periods)
     agg = g.groupBy("period").agg(
         F.count(F.lit(1)).alias("sessions"),
         F.coalesce(F.sum("n_conv"), F.lit(0)).cast("bigint").alias("conversions"),

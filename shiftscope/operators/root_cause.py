@@ -82,11 +82,8 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def _ranked(t: MarketingTables, periods: Periods, scope: dict, steps: Sequence[str],
-            dimensions: Sequence[str], materialize: bool = False):
-    decomposition = decompose(t, periods, list(dimensions), scope)
-    if materialize:
-        from shiftscope.session import cut_lineage
-        decomposition = cut_lineage(decomposition)
+            dimensions: Sequence[str], top: int | None = None):
+    decomposition = decompose(t, periods, list(dimensions), scope, top)
     lead = leading_segment(decomposition)
     lead_funnel = segment_funnels(t, periods, lead, LEAD_DIMENSION, scope, steps)
     candidates = rank_candidates(dimension_candidates(decomposition, scope, dimensions)
@@ -97,21 +94,17 @@ def _ranked(t: MarketingTables, periods: Periods, scope: dict, steps: Sequence[s
 def investigate_revenue_change(t: MarketingTables, periods: Periods,
                                scope: Mapping[str, str] | None = None,
                                steps: Sequence[str] = FUNNEL_STEPS,
-                               dimensions: Sequence[str] = DEFAULT_DIMENSIONS,
-                               materialize: bool = False) -> dict[str, DataFrame]:
+                               dimensions: Sequence[str] = DEFAULT_DIMENSIONS) -> dict[str, DataFrame]:
     """C4: KPIs, decompositions, overall and leading-device funnels, ranked candidates.
 
-    Every value is a lazy DataFrame; the decomposition frame is shared by the
-    candidates and the leading-segment choice, so Spark reuses its shuffle within one
-    query.  With ``materialize=True`` the (small, aggregated) decomposition is
-    checkpointed into the cluster's checkpoint folder first, so evidence sections
-    written by separate actions do not each re-scan the facts.
+    The decomposition, the candidates and the leading segment share the stored segment totals; the
+    other values are lazy DataFrames.
     """
     from shiftscope.operators.funnel import compare_funnels
     from shiftscope.operators.incidents import related_incidents
     from shiftscope.operators.kpi import compare_periods
     scope = dict(scope or {})
-    decomposition, lead_funnel, candidates = _ranked(t, periods, scope, steps, dimensions, materialize)
+    decomposition, lead_funnel, candidates = _ranked(t, periods, scope, steps, dimensions)
     return {
         "kpis": compare_periods(t, periods, scope),
         "decompositions": decomposition,
@@ -124,5 +117,5 @@ def investigate_revenue_change(t: MarketingTables, periods: Periods,
 
 def root_cause_candidates(t: MarketingTables, periods: Periods, scope: Mapping[str, str] | None = None,
                           steps: Sequence[str] = FUNNEL_STEPS) -> DataFrame:
-    """C4's ranked candidates alone (plans only the frames they need)."""
-    return _ranked(t, periods, dict(scope or {}), steps, DEFAULT_DIMENSIONS)[2]
+    """C4's ranked candidates alone: of each dimension only the first segments are looked for."""
+    return _ranked(t, periods, dict(scope or {}), steps, DEFAULT_DIMENSIONS, TOP_SEGMENTS)[2]

@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftscope.functions.expr import clamp, evidence_id, pct_change, text_or_none
 from shiftscope.functions.scope import scope_identity
 from shiftscope.operators.compare import compare_long, single_period, widen
 from shiftscope.operators.facts import scoped_sessions
+from shiftscope.operators.ranking import ranked
 from shiftscope.periods import Periods
 from shiftscope.tables import MarketingTables
 
@@ -70,9 +71,8 @@ def traffic_candidates(t: MarketingTables, periods: Periods,
             score = F.when((F.col("dimension") == dim) & (F.col("segment") == value),
                            F.lit(1.0)).otherwise(score)
     dim_order = F.array_position(F.array(*[F.lit(d) for d in TRAFFIC_DIMENSIONS]), F.col("dimension"))
-    order = Window.orderBy(F.col("score").desc(), dim_order, F.col("segment").asc_nulls_first())
-    return (rows.withColumn("score", score)
-            .withColumn("rank_within_dimension", F.row_number().over(order))
+    order = [F.col("score").desc(), dim_order, F.col("segment").asc_nulls_first()]
+    return (ranked(rows.withColumn("score", score), [], order, "rank_within_dimension")
             .select("evidence_id", F.lit("dimension_driver").alias("candidate_type"),
                     "dimension", "segment", "score", "rank_within_dimension",
                     F.lit("sessions").alias("metric"), "current", "previous",

@@ -573,26 +573,8 @@ def q_benchmark_aggregate(spark, sf_dir):
 
 
 # --- batch form ----------------------------------------------------------------------------
-@register("batch_kpi_compare")
-def q_batch_kpi_compare(spark, sf_dir):
-    """C1 for every valid request of the conversations table in one scan, each with the
-    scope tagged from its own question (orders mapping)."""
-    from shiftscope.operators.batch import batch_kpi_compare
-    from shiftscope.plans.questions import question_scope, request_errors
-    from shiftscope.functions.scope import SESSION_SCOPE
-    req, _ = _requests(spark, sf_dir)
-    valid = request_errors(req).filter("valid").select("request_id")
-    tags = question_scope(req)
-    entries = F.array_compact(F.array(*[F.when(F.col(d).isNotNull(), F.struct(F.lit(d).alias("key"),
-                                                                               F.col(d).alias("value")))
-                                        for d in SESSION_SCOPE]))
-    cases = (req.join(valid, "request_id").join(tags.select("request_id", entries.alias("_e")), "request_id")
-             .select(F.col("request_id").alias("case_id"), "current_start", "current_end", "previous_start",
-                     "previous_end", F.map_from_entries("_e").alias("scope")))
-    return finish_long(batch_kpi_compare(A.orders_tables(spark, sf_dir), cases), KPI_MONEY)
-
-
 def _batch_cases(spark, sf_dir):
+    """Every valid request of the conversations table, with the scope tagged from its own question."""
     from shiftscope.plans.questions import question_scope, request_errors
     from shiftscope.functions.scope import SESSION_SCOPE
     req, _ = _requests(spark, sf_dir)
@@ -606,12 +588,60 @@ def _batch_cases(spark, sf_dir):
                     "previous_end", F.map_from_entries("_e").alias("scope")))
 
 
+@register("batch_kpi_compare")
+def q_batch_kpi_compare(spark, sf_dir):
+    """C1 for every valid request in one job over the day cube (orders mapping)."""
+    from shiftscope.operators.batch import batch_kpi_compare
+    return finish_long(batch_kpi_compare(A.orders_tables(spark, sf_dir), _batch_cases(spark, sf_dir)), KPI_MONEY)
+
+
 @register("batch_decompose")
 def q_batch_decompose(spark, sf_dir):
-    """C2 by device and channel for every valid request in one job (orders mapping)."""
+    """C2 by all six dimensions for every valid request in one job over the day cube (orders mapping)."""
+    from shiftscope.operators.batch import batch_decompose
+    return finish(batch_decompose(A.orders_tables(spark, sf_dir), _batch_cases(spark, sf_dir)), DIM_MONEY)
+
+
+#: the scope of a request, by its conversation's number, where anomalies of the orders mapping are looked for
+INCIDENT_SCOPES = ({}, {"device": "F"}, {"channel": "1-URGENT", "device": "O"}, {"country": "GERMANY"}, {"channel": "ASIA"})
+
+
+@register("batch_incidents")
+def q_batch_incidents(spark, sf_dir):
+    """C13 for every valid request: scoped anomalies by an interval-overlap join (orders mapping)."""
+    from shiftscope.operators.batch import batch_incidents
+    scopes = F.array(*[F.create_map(*[F.lit(x) for kv in s.items() for x in kv]).cast("map<string,string>") for s in INCIDENT_SCOPES])
+    conv = F.split("case_id", "-")[0].cast("long")
+    cases = _batch_cases(spark, sf_dir).withColumn("scope", F.element_at(scopes, (conv % len(INCIDENT_SCOPES) + 1).cast("int")))
+    return batch_incidents(A.orders_tables(spark, sf_dir).anomaly_ground_truth, cases)
+
+
+#: the events mapping covers four weeks: requests keep their distances in days, from this day on
+EVENTS_EPOCH, EVENTS_DAYS = "2024-01-15", 12
+
+
+def _event_cases(spark, sf_dir):
+    """The valid requests with periods of twelve or eleven days in the time of the events."""
+    first = F.lit(EVENTS_EPOCH).cast("date")
+    moved = lambda c: F.date_add(first, F.datediff(c, F.lit(A.REQUEST_EPOCH).cast("date")))
+    length = F.datediff("current_end", "current_start") - A.PERIOD_DAYS + EVENTS_DAYS
+    return _batch_cases(spark, sf_dir).select(
+        "case_id", "scope", moved("current_start").alias("current_start"), F.date_add(moved("current_start"), length).alias("current_end"),
+        F.date_sub(moved("previous_end"), EVENTS_DAYS).alias("previous_start"), moved("previous_end").alias("previous_end"))
+
+
+@register("batch_kpi_compare_events")
+def q_batch_kpi_compare_events(spark, sf_dir):
+    """C1 for every valid request over the day cube of the events mapping."""
+    from shiftscope.operators.batch import batch_kpi_compare
+    return finish_long(batch_kpi_compare(A.events_tables(spark, sf_dir), _event_cases(spark, sf_dir)), KPI_MONEY)
+
+
+@register("batch_decompose_events")
+def q_batch_decompose_events(spark, sf_dir):
+    """C2 by six dimensions for every valid request over the day cube of the events mapping (rates below 1: p-values)."""
     from shiftscope.operators.batch import batch_decompose
-    return finish(batch_decompose(A.orders_tables(spark, sf_dir), _batch_cases(spark, sf_dir),
-                                  ["device", "channel"]), DIM_MONEY)
+    return finish(batch_decompose(A.events_tables(spark, sf_dir), _event_cases(spark, sf_dir)), DIM_MONEY)
 
 
 # --- claims of the other five report types ------------------------------------------------

@@ -109,29 +109,64 @@ def write_tables(frames: Mapping[str, DataFrame], path: str, fmt: str = "json",
         df.write.mode(mode).format(fmt).save(os.path.join(path, name))
 
 
-# Tables written with a partition column, and the column each is partitioned by.
-PARTITIONED = {"sessions": ("day", "timestamp"), "funnel_events": ("day", "timestamp"),
-               "daily_campaign_metrics": ("date", None)}
+#: the day that partitions a stored table; facts of sessions are stored with their session's day
+DAY_OF = {"sessions": "day", "conversions": "session_day", "funnel_events": "session_day", "daily_campaign_metrics": "date"}
+SESSION_TABLES = ("sessions", "conversions", "funnel_events")
+
+
+def _with_day(t: MarketingTables, name: str, df: DataFrame) -> DataFrame:
+    if name == "sessions":
+        return df.withColumn("day", F.to_date("timestamp"))
+    if name in SESSION_TABLES and t.has("sessions"):
+        df = df.drop("session_day")
+        days = t.sessions.select("session_id", F.to_date("timestamp").alias("session_day"))
+        return df.join(days, "session_id", "left").select(*df.columns, "session_day")
+    return df
 
 
 def write_logical_tables(t: MarketingTables, path: str, mode: str = "overwrite") -> None:
     """Materialise the logical tables once as parquet under ``path`` (shared storage).
 
-    Sessions and funnel events get a ``day`` partition column (the date of their
-    timestamp) and daily metrics are partitioned by ``date``; period filters on those
-    tables then prune whole partitions.
+    Sessions get a ``day`` partition column, conversions and funnel events the day of **their session**
+    (``session_day``), and daily metrics are partitioned by ``date``: a period's filter then prunes whole
+    partitions of all of them.
     """
     for name, df in t.present().items():
-        writer = df
-        part = PARTITIONED.get(name)
-        if part and part[1] is not None:
-            writer = df.withColumn(part[0], F.to_date(part[1]))
-        w = writer.write.mode(mode)
-        if part:
-            w = w.partitionBy(part[0])
+        df = _with_day(t, name, df)
+        day = DAY_OF.get(name)
+        w = df.write.mode(mode)
+        if day in df.columns:
+            w = w.partitionBy(day)
         w.parquet(os.path.join(path, name))
 
 
+def write_bucketed_tables(t: MarketingTables, prefix: str, buckets: int, mode: str = "overwrite") -> None:
+    """Store the logical tables as catalog tables ``<prefix>_<name>`` in the warehouse.
+
+    Sessions, conversions and funnel events are partitioned by the session's day and bucketed and sorted by
+    ``session_id`` alike, so joins and aggregates on the session read them without an exchange."""
+    for name, df in t.present().items():
+        df = _with_day(t, name, df)
+        day = DAY_OF.get(name)
+        bucketed = name in SESSION_TABLES
+        if day in df.columns:
+            df = df.repartition(*([day] if not bucketed else [day, F.pmod(F.hash("session_id"), F.lit(buckets))]))
+        w = df.write.mode(mode).format("parquet")
+        if day in df.columns:
+            w = w.partitionBy(day)
+        if bucketed:
+            w = w.bucketBy(buckets, "session_id").sortBy("session_id")
+        w.saveAsTable(f"{prefix}_{name}")
+
+
+def load_bucketed_tables(spark: SparkSession, prefix: str) -> MarketingTables:
+    """The tables written by ``write_bucketed_tables``."""
+    names = [n for n in TABLE_NAMES if spark.catalog.tableExists(f"{prefix}_{n}")]
+    if not names:
+        raise FileNotFoundError(f"no tables {prefix}_*")
+    return MarketingTables(**{n: (lambda n=n: spark.table(f"{prefix}_{n}")) for n in names})
+
+
 def load_parquet_tables(spark: SparkSession, path: str) -> MarketingTables:
     """The tables written by ``write_logical_tables`` (lazily, one reader each)."""
     _require(spark, path, "table directory")

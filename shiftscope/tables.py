@@ -37,5 +37,8 @@ class MarketingTables:
             built[name] = src if (src is None or isinstance(src, DataFrame)) else src()
         return built[name]
 
+    def has(self, name: str) -> bool:
+        return self._sources.get(name) is not None
+
     def present(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in TABLE_NAMES if self._sources.get(n) is not None}

@@ -45,7 +45,10 @@ def test_no_pairs_no_python(spark):
 
 
 def test_period_filter_pushed_to_scan(spark):
-    plan = _plan(E.queries()["decompose_device"](spark, SF))
+    from shiftscope.operators.decompose import segment_period_totals
+    from shiftscope.queries import ORDERS_PERIODS
+    from shiftscope.sources import tpch_adapter as A
+    plan = _plan(segment_period_totals(A.orders_tables(spark, SF), ORDERS_PERIODS, ["device"]))
     scan = [line for line in plan.split("\n") if "FileScan parquet" in line and "o_orderdate" in line]
     assert scan and "2000-07-01" in scan[0] and "DataFilters" in scan[0]
     # column pruning: the orders scan reads only what the query needs

@@ -56,7 +56,7 @@ def test_write_tables(spark, tmp_path):
 
 
 def test_materialised_tables_prune_partitions(spark, tmp_path):
-    from shiftscope.operators.decompose import decompose
+    from shiftscope.operators.decompose import decompose, segment_period_totals
     from shiftscope.queries import ORDERS_PERIODS
     from shiftscope.sources import tpch_adapter as A
     from shiftscope.sources.files import load_parquet_tables, write_logical_tables
@@ -66,9 +66,9 @@ def test_materialised_tables_prune_partitions(spark, tmp_path):
     assert "day" in m.sessions.columns
     direct = sorted(decompose(t, ORDERS_PERIODS, ["device"]).collect(), key=lambda r: r.segment)
     stored = decompose(m, ORDERS_PERIODS, ["device"])
-    plan = stored._jdf.queryExecution().executedPlan().toString()
+    plan = segment_period_totals(m, ORDERS_PERIODS, ["device"])._jdf.queryExecution().executedPlan().toString()
     scans = [x.split("PartitionFilters: [")[1].split("]")[0] for x in plan.splitlines() if "FileScan parquet" in x]
-    assert sum("day" in x for x in scans) == 1, scans  # sessions, the only table here that is partitioned by day
+    assert sum("day" in x for x in scans) == 2, scans  # sessions and conversions
     assert sorted(stored.collect(), key=lambda r: r.segment) == direct
 
 
