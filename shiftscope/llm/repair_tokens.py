@@ -2,8 +2,10 @@
 
 Documents are dealt into shards by range of doc_id and, inside a shard, in ascending order into blocks of
 about ``BLOCK`` tokens.  A block's ids are compressed by Re-Pair: again and again the most frequent
-pairs of neighbouring symbols are replaced by new nonterminals.  The pairs of one round are counted and replaced
-together; where two replacements would overlap, the left one is made first.  The block stores its rules, the
+pairs of neighbouring symbols are replaced by new nonterminals, until no pair occurs ``LEAST`` times.  Each round counts
+all pairs exactly and replaces those with a ``SPREAD``-th of the greatest count or more; where two replacements would
+overlap, the more frequent pair has the place, and a pair that loses too many places so, or shares a place of the round's
+lookup table with another, comes again in a later round.  The block stores its rules, the
 expansion length of every nonterminal, the document lengths and its first token in the shard, so any range of tokens can be decoded
 by expanding only the symbols that cover it.
 
@@ -24,68 +26,140 @@ from pyspark.sql import functions as F
 from .shared import gathered
 from .token_ids import END, encoder, vocabulary_path
 
-#: tokens a block is closed at; rounds of replacement; pairs replaced in a round; the least count of a pair worth a rule
-BLOCK, ROUNDS, PAIRS, LEAST = 1 << 20, 6, 2048, 16
-_BINS = 1 << 18
+#: tokens a block is closed at; the least count of a pair worth a rule; pairs of one round differ in count up to this factor
+BLOCK, LEAST, SPREAD = 1 << 20, 16, 16
+_BINS = 20
 
 FORMAT = ("shard int, block int, n_docs int, n_tokens long, first long, doc_ids binary, doc_lengths binary, n_symbols int, base int, "
           "rules binary, expansions binary, symbols binary")
 
 
-def _frequent_pairs(symbols: np.ndarray, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes ``left << 32 | right`` of frequent pairs, most frequent first, and for every position
-    the rank of its pair among them or -1.
-
-    Pairs are counted in hash bins; where several pairs share a bin, one of them stands for it and its
-    own occurrences are counted, the others wait for a later round."""
-    codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-    bins = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
-    pair_of = np.zeros(_BINS, np.uint64)
-    pair_of[bins] = codes
-    own = pair_of[bins] == codes
-    counts = np.bincount(bins[own], minlength=_BINS)
-    top = np.argpartition(counts, -pairs)[-pairs:]
-    top = top[counts[top] >= least]
-    # ties go to the smaller pair
-    top = top[np.lexsort((pair_of[top], -counts[top]))]
-    rank = np.full(_BINS, -1, np.int32)
-    rank[top] = np.arange(len(top), dtype=np.int32)
-    return pair_of[top], np.where(own, rank[bins], -1)
-
-
-def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
-    """``(symbols, rules (n x 2), base)``: nonterminal ``base + k`` stands for the two symbols of ``rules[k]``."""
+def _frequent_pairs(symbols: np.ndarray, codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs among ``codes`` with ``least`` occurrences that do not overlap each other, and their counts."""
+    ordered = np.sort(codes)
+    starts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+    counts = np.diff(np.append(starts, len(ordered)))
+    often = np.flatnonzero(counts >= least)
+    pairs, counts = ordered[starts[often]], counts[often]
+    twins = np.flatnonzero((pairs >> np.uint64(32)) == (pairs & np.uint64(0xFFFFFFFF)))
+    if len(twins):
+        # of a run of n equal symbols, n // 2 pairs can be replaced
+        heads = np.concatenate(([0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1))
+        half = np.diff(np.append(heads, len(symbols))) // 2
+        heads, half = heads[half > 0], half[half > 0]
+        free = np.bincount(symbols[heads], weights=half, minlength=int(symbols.max()) + 1).astype(np.int64)
+        counts[twins] = free[(pairs[twins] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        often = counts >= least
+        pairs, counts = pairs[often], counts[often]
+    return pairs, counts
+
+
+def compress(ids: np.ndarray, least: int = LEAST, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray, int]:
+    """``(symbols, rules (n x 2), base)``: nonterminal ``base + k`` stands for the two symbols of ``rules[k]``.
+
+    In the end no two neighbouring symbols occur together ``least`` times without overlap.  A round counts the pairs
+    that hold a symbol of the last round, and those that waited: no other pair can have become frequent."""
     symbols = np.array(ids, np.uint32)
     base = int(symbols.max()) + 1 if len(symbols) else 0
     rules: list[np.ndarray] = []
-    fresh = base
-    for _ in range(rounds):
-        if len(symbols) < 2:
+    fresh, new = base, 0
+    place = np.full(1 << _BINS, -1, np.int32)
+    waits = np.zeros(1 << _BINS, bool)
+    while len(symbols) > 1:
+        codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+        spots = _spot(codes)
+        if rules:
+            young = symbols >= new
+            near = np.flatnonzero(young[:-1] | young[1:] | waits[spots])
+            codes, spots = codes[near], spots[near]
+        else:
+            near = np.arange(len(codes))
+        if not len(codes):
             break
-        wanted, at = _frequent_pairs(symbols, pairs, least)
-        if not len(wanted):
+        pairs, counts = _frequent_pairs(symbols, codes, least)
+        if not len(pairs):
             break
-        # of a run of neighbouring hits take every other one, from the left: no two overlap
-        where = np.flatnonzero(at >= 0)
-        first = np.concatenate(([True], np.diff(where) > 1))
-        order = np.arange(len(where))
-        taken = where[(order - np.maximum.accumulate(np.where(first, order, 0))) % 2 == 0]
-        symbols[taken] = fresh + at[taken].astype(np.uint32)
-        keep = np.ones(len(symbols), bool)
-        keep[taken + 1] = False
-        symbols = symbols[keep]
+        order = np.argsort(-counts, kind="stable")
+        wanted = pairs[order[:int(np.count_nonzero(counts >= -(-int(counts.max()) // spread)))]]
+        # the most frequent pair of a place in the table has it
+        own = _spot(wanted)
+        place[own[::-1]] = np.arange(len(wanted), dtype=np.int32)[::-1]
+        at = place[spots]
+        place[own] = -1
+        hit = np.flatnonzero(at >= 0)
+        at = at[hit]
+        real = wanted[at] == codes[hit]
+        where, at = _without_overlaps(near[hit[real]], at[real])
+        # the most frequent pair has all its places; another must be worth a rule beside it
+        worth = np.bincount(at, minlength=len(wanted)) >= least
+        keep = worth[at]
+        where, at = where[keep], (np.cumsum(worth) - 1)[at[keep]]
+        symbols[where] = fresh + at.astype(np.uint32)
+        stay = np.ones(len(symbols), bool)
+        stay[where + 1] = False
+        symbols = symbols[stay]
+        wanted = wanted[worth]
         rules.append(np.stack([wanted >> np.uint64(32), wanted & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        fresh += len(wanted)
+        new, fresh = fresh, fresh + len(wanted)
+        waits[:] = False
+        waits[_spot(pairs)] = True
     return symbols, (np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)), base
 
 
+def _without_overlaps(where: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places of pairs those to replace: at overlaps the lower rank has the place, and in a run
+    of equal symbols every other one from the left; what is freed of its better neighbour is looked at again."""
+    chosen, ranks = [], []
+    while len(where):
+        beside = np.diff(where) == 1
+        after, before = np.append(beside, False), np.insert(beside, 0, False)
+        best = np.ones(len(where), bool)
+        best[:-1] &= ~beside | (rank[:-1] <= rank[1:])
+        best[1:] &= ~beside | (rank[1:] <= rank[:-1])
+        spot = np.flatnonzero(best)
+        first = np.concatenate(([True], np.diff(where[spot]) > 1))
+        order = np.arange(len(spot))
+        spot = spot[(order - np.maximum.accumulate(np.where(first, order, 0))) % 2 == 0]
+        chosen.append(where[spot])
+        ranks.append(rank[spot])
+        left = np.ones(len(where), bool)
+        left[spot] = False
+        left[spot[after[spot]] + 1] = False
+        left[spot[before[spot]] - 1] = False
+        where, rank = where[left], rank[left]
+    return np.concatenate(chosen), np.concatenate(ranks)
+
+
+def _spot(codes: np.ndarray) -> np.ndarray:
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
+
+
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expansion length of every nonterminal, and all expansions one after another."""
-    whole: list[np.ndarray] = []
-    for left, right in rules.tolist():
-        whole.append(np.concatenate([whole[x - base] if x >= base else np.array([x], np.uint32) for x in (left, right)]))
-    lengths = np.array([len(x) for x in whole], np.uint32)
-    return lengths, (np.concatenate(whole) if whole else np.empty(0, np.uint32))
+    """Expansion length of every nonterminal, and all expansions one after another.
+
+    Rules are worked off in stretches that name earlier nonterminals only, such as those of one round."""
+    lengths, starts = np.zeros(len(rules), np.int64), np.zeros(len(rules), np.int64)
+    flat = np.empty(0, np.uint32)
+    named = rules.max(axis=1).astype(np.int64) - base if len(rules) else np.empty(0, np.int64)
+    done = 0
+    while done < len(rules):
+        late = np.flatnonzero(named[done:] >= done)
+        upto = done + int(late[0]) if len(late) else len(rules)
+        part = rules[done:upto].reshape(-1).astype(np.int64)
+        inner = part >= base
+        n = np.ones(len(part), np.int64)
+        n[inner] = lengths[part[inner] - base]
+        ends = np.cumsum(n)
+        # each id of the stretch comes from the expansions so far, or is a plain id
+        source = np.repeat(np.where(inner, starts[np.where(inner, part - base, 0)], 0) - (ends - n), n) + np.arange(ends[-1])
+        plain = np.repeat(~inner, n)
+        new = np.repeat(part, n).astype(np.uint32)
+        new[~plain] = flat[source[~plain]]
+        lengths[done:upto] = n[::2] + n[1::2]
+        starts[done:upto] = len(flat) + np.concatenate(([0], np.cumsum(lengths[done:upto])[:-1]))
+        flat = np.concatenate((flat, new))
+        done = upto
+    return lengths.astype(np.uint32), flat
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:

@@ -76,14 +76,42 @@ def test_differencing_is_near_equal_and_never_over():
         packing.packed([5000], 4096)
 
 
+def most_pairs(symbols):
+    """The greatest number of places at which one pair of symbols can be replaced."""
+    last, counts = {}, {}
+    for k, pair in enumerate(zip(symbols.tolist(), symbols.tolist()[1:])):
+        if last.get(pair) != k - 1:
+            counts[pair], last[pair] = counts.get(pair, 0) + 1, k
+    return max(counts.values(), default=0)
+
+
+def test_rules_are_made_until_no_pair_is_frequent():
+    """Also where frequent pairs overlap (a phrase repeated in many places) and share places of the lookup table."""
+    rng = random.Random(5)
+    phrase = [rng.randrange(50) for _ in range(40)]
+    ids = []
+    for _ in range(60):
+        ids += phrase[rng.randrange(20):] + [rng.randrange(1000) for _ in range(rng.randrange(5))] + [7] * rng.randrange(40)
+    ids = np.array(ids * 3, np.uint32)
+    symbols, rules, base = repair_tokens.compress(ids, 5)
+    assert most_pairs(symbols) < 5 and (repair_tokens.expand(symbols, rules, base) == ids).all()
+    # every expansion length is that of its two symbols, whatever the order of the rules
+    sizes = [1] * base
+    for left, right in rules.tolist():
+        sizes.append(sizes[left] + sizes[right])
+    assert repair_tokens.expansions(rules, base)[0].tolist() == sizes[base:]
+
+
 def test_grammar_round_trips():
     rng = random.Random(3)
     for k in range(400):
         ids = np.array([rng.randrange(rng.choice([1, 2, 5])) for _ in range(rng.randrange(60))], np.uint32)
-        symbols, rules, base = repair_tokens.compress(ids, 6, 4, 2)
+        symbols, rules, base = repair_tokens.compress(ids, 2, rng.choice([1, 4, 100]))
         assert (repair_tokens.expand(symbols, rules, base) == ids).all()
+        assert most_pairs(symbols) < 2
     ids = np.array([rng.choice([1, 2, 3, 3, 3]) for _ in range(5000)], np.uint32)
-    symbols, rules, base = repair_tokens.compress(ids, 8, 64, 4)
+    symbols, rules, base = repair_tokens.compress(ids, 4)
+    assert most_pairs(symbols) < 4
     assert len(symbols) < len(ids) / 2
     block = {"symbols": symbols.astype("<u4").tobytes(), "rules": rules.astype("<u4").tobytes(), "base": base,
              "expansions": repair_tokens.expansions(rules, base)[0].astype("<u4").tobytes()}
