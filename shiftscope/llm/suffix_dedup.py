@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,10 @@ from .words import mix
 
 LENGTH, GRAM = 50, 24
 #: parts per shuffle partition; a task works on one part at a time
-_PARTS = 8
+#: bytes of text whose anchors make one part of the first shuffle; their contexts make four of the second
+_PART_BYTES = 4 << 20
+#: stands for the documents of a batch that know of a shared anchor already
+_KNOWN = np.iinfo(np.int64).min
 _BATCH = 2 << 20
 _WHOLE = (1 << 31) - 1
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -190,18 +194,21 @@ def _by_doc(docs: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(docs[edge], pa.int64()), *lists], ["doc_id", *(f"v{k}" for k in range(len(values)))])
 
 
-_SENT = "part int, known boolean, docs binary, owner binary, hashes binary, starts binary, sizes binary, bytes binary"
+def _low(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _sent(part: int, known: bool, docs: np.ndarray, hashes: np.ndarray | None, starts: np.ndarray, sizes: np.ndarray | None = None,
-          data: bytes | None = None) -> dict:
+_SENT = "part int, known boolean, docs binary, owner binary, starts binary, sizes binary, bytes binary"
+
+
+def _sent(part: int, known: bool, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray | None = None, data: bytes | None = None) -> dict:
     table, owner = np.unique(docs, return_inverse=True)
     return {"part": part, "known": known, "docs": table.astype("<i8").tobytes(), "owner": owner.astype("<u4" if len(table) > 65535 else "<u2").tobytes(),
-            "hashes": None if hashes is None else hashes.astype("<u8").tobytes(), "starts": starts.astype("<u4").tobytes(),
+            "starts": starts.astype("<u4").tobytes(),
             "sizes": None if sizes is None else sizes.astype("<u4" if known else "<u1").tobytes(), "bytes": data}
 
 
-_SCHEMA = pa.schema([("part", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("docs", "owner", "hashes", "starts", "sizes", "bytes"))])
+_SCHEMA = pa.schema([("part", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("docs", "owner", "starts", "sizes", "bytes"))])
 
 
 def _documents(row: dict) -> np.ndarray:
@@ -209,10 +216,12 @@ def _documents(row: dict) -> np.ndarray:
     return table[np.frombuffer(row["owner"], "<u4" if len(table) > 65535 else "<u2")]
 
 
-def _each(one):
-    """A task that sends the rows of one bounded batch after another; a batch's arrays go with its call."""
+def _each(one, need: str):
+    """A task that sends the rows of one bounded batch after another; a batch's arrays go with its call.
+
+    Rows without ``need`` (an id, or shared anchors) send nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, "text", _BATCH):
+        for batch in gathered((b.filter(pc.is_valid(b.column(need))) for b in batches), "text", _BATCH):
             rows = one(batch)
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
@@ -220,7 +229,10 @@ def _each(one):
 
 
 def _send_anchors(length: int, gram: int, parts: int):
-    """Texts -> rows for the shuffle on anchor hashes; anchors of two documents of a batch are known as shared."""
+    """Texts -> rows for the shuffle on anchor hashes; anchors of two documents of a batch are known as shared.
+
+    Of a hash 32 bits are sent beside its part.  Anchors that agree in them by chance only make contexts
+    that are compared in full later; a part's size is bounded, so they stay rare at every size."""
     def one(batch: pa.RecordBatch) -> list[dict]:
         ids = batch.column("doc_id").to_numpy()
         data, starts, ends = _buffer(batch.column("text").to_pylist())
@@ -229,28 +241,26 @@ def _send_anchors(length: int, gram: int, parts: int):
             return []
         order = np.argsort(hashes, kind="stable")
         hashes, position = hashes[order], position[order]
-        row = np.searchsorted(starts, position, "right") - 1
         # empty texts share their start with the next one, which is the one found
-        doc, position = ids[row], position - starts[row]
+        doc = ids[np.searchsorted(starts, position, "right") - 1]
         edge = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1))
         size = np.diff(np.concatenate((edge, [len(hashes)])))
         shared = np.repeat(np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge), size)
         out = []
         if shared.any():
-            out.append(_sent(int(doc[shared][0] % parts), True, doc[shared], None, position[shared]))
+            out.append(_sent(int(doc[shared][0] % parts), True, doc[shared], _low(hashes[shared])))
+        # each anchor is sent once a document, a shared one once for all the batch's documents
         first = np.zeros(len(hashes), bool)
         first[edge] = True
-        go = ~shared | first
-        # a shared anchor is sent once, marked by a start that no text reaches
-        position = np.where(shared, 0xFFFFFFFF, position)[go]
-        hashes, doc = hashes[go], doc[go]
+        go = np.where(shared, first, first | np.concatenate(([True], doc[1:] != doc[:-1])))
+        hashes, doc = hashes[go], np.where(shared, _KNOWN, doc)[go]
         part = _part(hashes, parts)
         cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            out.append(_sent(int(part[lo]), False, doc[lo:hi], hashes[lo:hi], position[lo:hi]))
+            out.append(_sent(int(part[lo]), False, doc[lo:hi], _low(hashes[lo:hi])))
         return out
 
-    return _each(one)
+    return _each(one, "doc_id")
 
 
 def _by_part(work):
@@ -264,7 +274,7 @@ def _by_part(work):
                         yield from work(held)
                         held = []
                     if row["known"]:
-                        lists = [np.frombuffer(row[c], "<u4") for c in ("starts", "sizes") if row[c] is not None]
+                        lists = [np.frombuffer(row[c], "<i4") for c in ("starts", "sizes") if row[c] is not None]
                         yield _by_doc(_documents(row), *lists)
                     else:
                         held.append(row)
@@ -274,19 +284,18 @@ def _by_part(work):
 
 
 def _shared_anchors(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Rows of a part -> ``(doc_id, v0 array<int>)``: positions of anchors that lie in two documents."""
+    """Rows of a part -> ``(doc_id, v0 array<int>)``: the sent bits of anchors that lie in two documents."""
     docs = [_documents(row) for row in rows]
     source = np.repeat(np.arange(len(rows), dtype=np.int32), [len(d) for d in docs])
     doc = np.concatenate(docs)
-    start = np.concatenate([np.frombuffer(row["starts"], "<u4") for row in rows])
-    hashes = np.concatenate([np.frombuffer(row["hashes"], "<u8") for row in rows])
-    order = np.argsort(hashes, kind="stable")
-    hashes, start, doc, source = hashes[order], start[order], doc[order], source[order]
-    edge = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1))
+    low = np.concatenate([np.frombuffer(row["starts"], "<u4") for row in rows])
+    order = np.argsort(low, kind="stable")
+    low, doc, source = low[order], doc[order], source[order]
+    edge = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
     shared = np.minimum.reduceat(source, edge) != np.maximum.reduceat(source, edge)
-    keep = np.repeat(shared, np.diff(np.concatenate((edge, [len(hashes)])))) & (start != 0xFFFFFFFF)
+    keep = np.repeat(shared, np.diff(np.concatenate((edge, [len(low)])))) & (doc != _KNOWN)
     if keep.any():
-        yield _by_doc(doc[keep], start[keep])
+        yield _by_doc(doc[keep], low[keep].view(np.int32))
 
 
 def _send_contexts(length: int, gram: int, parts: int):
@@ -297,15 +306,16 @@ def _send_contexts(length: int, gram: int, parts: int):
         ids = batch.column("doc_id").to_numpy()
         data, starts, ends = _buffer(batch.column("text").to_pylist())
         hashes, position, first, last = anchors(data, starts, ends, length, gram)
-        mark = np.zeros(len(data), bool)
-        at = batch.column("positions")
+        at = batch.column("shared")
         counts = at.value_lengths().to_numpy()
-        mark[np.minimum(np.repeat(starts, counts) + at.flatten().to_numpy(), len(data) - 1)] = True
-        go = mark[position]
+        row = np.searchsorted(starts, position, "right") - 1
+        known = np.unique((np.repeat(np.arange(len(ids)), counts).astype(np.uint64) << np.uint64(32)) | at.flatten().to_numpy().view(np.uint32))
+        own = (row.astype(np.uint64) << np.uint64(32)) | _low(hashes)
+        spot = np.searchsorted(known, own)
+        go = known[np.minimum(spot, len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
         if not go.any():
             return []
-        hashes, first, size = hashes[go], first[go], (last - first)[go] + length
-        row = np.searchsorted(starts, first, "right") - 1
+        hashes, first, size, row = hashes[go], first[go], (last - first)[go] + length, row[go]
         doc, start = ids[row], first - starts[row]
         x8 = eights(data)
         whole = string_hashes(x8, first, length) + size.astype(np.uint64) * _C[0] + string_hashes(x8, first + size - length, length) * _C[1]
@@ -316,7 +326,7 @@ def _send_contexts(length: int, gram: int, parts: int):
         settled = doc > low
         out = []
         if settled.any():
-            out.append(_sent(int(doc[settled][0] % parts), True, doc[settled], None, start[settled], size[settled]))
+            out.append(_sent(int(doc[settled][0] % parts), True, doc[settled], start[settled], size[settled]))
         hashes, first, size, doc, start = (x[~settled] for x in (hashes, first, size, doc, start))
         order = np.argsort(hashes, kind="stable")
         hashes, first, size, doc, start = (x[order] for x in (hashes, first, size, doc, start))
@@ -325,11 +335,11 @@ def _send_contexts(length: int, gram: int, parts: int):
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             n = size[lo:hi]
             flat = np.repeat(first[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(_sent(int(part[lo]), False, doc[lo:hi], None, start[lo:hi], n, data[flat].tobytes()))
+            out.append(_sent(int(part[lo]), False, doc[lo:hi], start[lo:hi], n, data[flat].tobytes()))
         return out
 
     assert widest < 256
-    return _each(one)
+    return _each(one, "shared")
 
 
 def _removed(length: int, gram: int):
@@ -346,21 +356,27 @@ def _removed(length: int, gram: int):
     return work
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """Ids and texts, all rows: wherever they meet something by id, Spark moves the texts by the same exchange."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, starts, sizes)``, arrays of byte spans to remove, possibly several rows an id
-    and overlapping; a span of size 2^31 - 1 is the whole text."""
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    keyed = source.select("doc_id", F.unhex(F.sha2("text", 256)).alias("key"))
+    and overlapping; a span of size 2^31 - 1 is the whole text.
+
+    The number of parts follows the bytes of text, so a part stays the same size for every corpus."""
+    source = _texts(docs)
+    keyed = source.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", F.unhex(F.sha2("text", 256)).alias("key"))
     classes = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last")
     copies = stash(keyed.join(classes, "key").filter("doc_id > rep").select("doc_id").distinct(), "copies")
     reps = source.join(copies, "doc_id", "left_anti")
-    parts = _PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _PART_BYTES))
     shared = reps.mapInArrow(_send_anchors(length, gram, parts), _SENT).repartition("part").sortWithinPartitions("part") \
         .mapInArrow(_by_part(_shared_anchors), "doc_id long, v0 array<int>")
-    shared = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("v0")).alias("positions"))
-    spans = reps.join(shared, "doc_id").mapInArrow(_send_contexts(length, gram, 4 * parts), _SENT).repartition("part").sortWithinPartitions("part") \
+    shared = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("v0")).alias("shared"))
+    # an outer join, as in the end, so that both read one exchange of the texts; documents without anchors drop out in the task
+    spans = source.join(shared, "doc_id", "left").mapInArrow(_send_contexts(length, gram, 4 * parts), _SENT).repartition("part").sortWithinPartitions("part") \
         .mapInArrow(_by_part(_removed(length, gram)), "doc_id long, v0 array<int>, v1 array<int>")
     whole = copies.select("doc_id", F.array(F.lit(0)).alias("v0"), F.array(F.lit(_WHOLE)).alias("v1"))
     return spans.unionAll(whole).toDF("doc_id", "starts", "sizes")
@@ -371,8 +387,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wit
     remaining bytes (``kept binary``; a span may cut a character).
 
     A NULL text counts as empty.  Texts shorter than ``length`` lose nothing.  A NULL id has no order: nothing is
-    removed from it or because of it.  Rows repeating an id must agree on the text and get the same result."""
-    spans = stash(removed_spans(docs, length, gram), "spans").groupBy("doc_id").agg(
+    removed from it or because of it.  Rows repeating an id must agree on the text and get the same result.
+    Contexts that are equal within a batch are told so by 64-bit hashes of their bytes; every other removal is
+    decided on bytes."""
+    spans = removed_spans(docs, length, gram).groupBy("doc_id").agg(
         F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("sizes")).alias("sizes"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,6 +419,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wit
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, digest, *blobs],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.join(spans, "doc_id", "left").mapInArrow(
+    return _texts(docs).join(spans, "doc_id", "left").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
