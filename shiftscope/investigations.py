@@ -87,6 +87,13 @@ def investigate_experiment(t: MarketingTables, start: dt.date, end: dt.date,
             "kpis": kpis, "ranked_candidates": lift}
 
 
+def stored(result: dict) -> dict:
+    """The result with its evidence frames stored, so that claims, audits and documents built on them do not
+    read the facts again (``spark.checkpoint.dir``)."""
+    from shiftscope.session import cut_lineage
+    return {k: cut_lineage(v) if isinstance(v, DataFrame) else v for k, v in result.items()}
+
+
 def report_claims(result: dict) -> DataFrame:
     """R8 dispatch by question type."""
     from shiftscope.plans import claims as C

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftscope.operators.ranking import top_k
 from shiftscope.schemas import FOREIGN_KEYS, PRIMARY_KEYS, not_null_columns
 from shiftscope.tables import MarketingTables
 
@@ -60,3 +61,57 @@ def constraint_audit(t: MarketingTables) -> DataFrame:
                                          F.lit(f"foreign_key:{parent}.{pcol}").alias("check_name"),
                                          F.lit(col).alias("column_name"), "violations"))
     return _union(frames)
+
+
+def _offending(t: MarketingTables) -> tuple[list[tuple[str, str, str]], DataFrame]:
+    """All checks, and ``(table_name, check_name, column_name, key, rows)``: what offends each of them, ``key``
+    being the row's primary key (NULL without one) or the foreign key's value."""
+    tables = t.present()
+    checks, frames = [], []
+
+    def of(df: DataFrame, table: str, check: str, column) -> DataFrame:
+        column = column if not isinstance(column, str) else F.lit(column)
+        return df.select(F.lit(table).alias("table_name"), F.lit(check).alias("check_name"), column.alias("column_name"), "key", "rows")
+
+    for name, df in tables.items():
+        pk = PRIMARY_KEYS.get(name, ())
+        key = F.concat_ws("|", *[F.col(c).cast("string") for c in pk]) if pk and set(pk) <= set(df.columns) else F.lit(None).cast("string")
+        if pk and set(pk) <= set(df.columns):
+            column = ",".join(pk)
+            checks.append((name, "primary_key", column))
+            twice = df.groupBy(*pk).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+            frames.append(of(twice.withColumn("key", key), name, "primary_key", column))
+        required = [c for c in not_null_columns(name) if c in df.columns]
+        if required:
+            checks += [(name, "not_null", c) for c in required]
+            # one scan for all columns: a row is written once per column it lacks
+            lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+            rows = df.select(key.alias("key"), F.explode(lacking).alias("column"), F.lit(1).cast("long").alias("rows"))
+            frames.append(of(rows, name, "not_null", F.col("column")))
+    for child, col, parent, pcol in FOREIGN_KEYS:
+        if child in tables and parent in tables and col in tables[child].columns and pcol in tables[parent].columns:
+            check = f"foreign_key:{parent}.{pcol}"
+            checks.append((child, check, col))
+            # child keys are counted before they meet the parent's: a hot key is one row
+            found = tables[child].select(F.col(col).cast("string").alias("key")).filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+            orphans = found.join(tables[parent].select(F.col(pcol).cast("string").alias("key")), "key", "left_anti")
+            frames.append(of(orphans, child, check, col))
+    return checks, _union(frames)
+
+
+def constraint_offenders(t: MarketingTables, examples: int = 3) -> DataFrame:
+    """S3 with evidence: ``(table_name, check_name, column_name, violations, offending_keys, examples)``, one row per check.
+
+    ``violations`` counts rows as ``constraint_audit`` does, ``offending_keys`` the distinct keys they have and
+    ``examples`` names the first of these (``, ``-joined).  Examples are found in two phases, a few a task and a
+    few of those, so a check that every row fails is summed before it is shuffled."""
+    checks, rows = _offending(t)
+    by = ["table_name", "check_name", "column_name"]
+    keys = rows.groupBy(*by, "key").agg(F.sum("rows").alias("rows"))
+    sums = keys.groupBy(*by).agg(F.sum("rows").alias("violations"), F.count("key").alias("offending_keys"))
+    first = top_k(keys.filter("key is not null"), by, [F.asc("key")], examples, "place").groupBy(*by).agg(
+        F.array_join(F.array_sort(F.collect_list("key")), ", ").alias("examples"))
+    every = rows.sparkSession.createDataFrame(checks, "table_name string, check_name string, column_name string")
+    return every.join(sums, by, "left").join(first, by, "left").select(
+        *by, F.coalesce("violations", F.lit(0)).cast("long").alias("violations"),
+        F.coalesce("offending_keys", F.lit(0)).cast("long").alias("offending_keys"), F.coalesce("examples", F.lit("")).alias("examples"))

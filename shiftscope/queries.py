@@ -399,8 +399,9 @@ def q_incidents_overlap(spark, sf_dir):
 
 # --- evidence, claims and the claim audit -----------------------------------------------
 def _revenue_report(spark, sf_dir):
+    from shiftscope.investigations import stored
     from shiftscope.operators.root_cause import investigate_revenue_change
-    return investigate_revenue_change(A.events_tables(spark, sf_dir), EVENTS_PERIODS, steps=EVENT_STEPS)
+    return stored(investigate_revenue_change(A.events_tables(spark, sf_dir), EVENTS_PERIODS, steps=EVENT_STEPS))
 
 
 def _report_evidence_ids(report):
@@ -537,6 +538,20 @@ def q_constraint_audit(spark, sf_dir):
     return constraint_audit(A.orders_tables(spark, sf_dir))
 
 
+@register("table_row_counts_all")
+def q_table_row_counts_all(spark, sf_dir):
+    """Row count of all eleven logical tables."""
+    from shiftscope.operators.audit import table_row_counts
+    return table_row_counts(A.all_tables(spark, sf_dir))
+
+
+@register("constraint_offenders")
+def q_constraint_offenders(spark, sf_dir):
+    """S3 over all eleven tables with violations planted: counts, distinct offending keys and the first of them."""
+    from shiftscope.operators.audit import constraint_offenders
+    return constraint_offenders(A.damaged_tables(spark, sf_dir))
+
+
 # --- benchmark scoring ---------------------------------------------------------------------
 def _case_scores(spark, sf_dir):
     from shiftscope.plans.claims import audit_claims, revenue_claims
@@ -689,3 +704,43 @@ def q_report_claims_experiment(spark, sf_dir):
     p = ORDERS_PERIODS
     lift = experiment_lift(A.orders_tables(spark, sf_dir).experiments, p.current_start, p.current_end)
     return _claims_text(experiment_claims(lift))
+
+
+# --- whole reports -----------------------------------------------------------------------
+TRAFFIC_SCOPE = {"channel": "1-URGENT"}
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    """The reports of all six families, nested."""
+    from shiftscope import investigations as I
+    from shiftscope.operators.experiment import experiment_lift
+    from shiftscope.plans.reports import report_documents
+    t, p = A.orders_tables(spark, sf_dir), ORDERS_PERIODS
+    experiments = {"question_type": "experiment_analysis", "metric": "conversion_rate",
+                   "ranked_candidates": experiment_lift(t.experiments, p.current_start, p.current_end)}
+    made = [report_documents(I.stored(result), periods, scope) for result, periods, scope in (
+        (I.investigate_revenue(A.events_tables(spark, sf_dir), EVENTS_PERIODS, steps=EVENT_STEPS), EVENTS_PERIODS, None),
+        (I.investigate_campaign_performance(t, p, CANDIDATE_METRIC), p, None),
+        (I.investigate_traffic_change(t, p, "sessions", TRAFFIC_SCOPE), p, TRAFFIC_SCOPE),
+        (I.investigate_attribution_quality(t, p), p, None),
+        (I.investigate_review_sentiment(t, REVIEW_PERIODS, terms=REVIEW_TERMS), REVIEW_PERIODS, None),
+        (experiments, p, None))]
+    out = made[0]
+    for df in made[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+@register("report_documents")
+def q_report_documents(spark, sf_dir):
+    """S9 + R8 + F11: whole reports of all six families; nested parts are spelled out as text."""
+    line = lambda c: F.concat_ws(" ", c["claim_id"], c["text"], F.array_join(c["evidence_ids"], ","))
+    claims = F.concat("summary", F.array_compact(F.array("primary_driver")), "contributing_factors", "recommendations")
+    scope = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return _documents(spark, sf_dir).select(
+        "report", "question_type", "metric", "title", F.array_join("limitations", " | ").alias("limitations"), scope(F.col("applied_scope")).alias("applied_scope"),
+        "current_start", "current_end", "previous_start", "previous_end", F.array_join(F.array_sort(F.transform(claims, line)), "\n").alias("claims"),
+        F.array_join(F.transform("kpis", lambda k: F.concat_ws(" ", k["metric"], k["evidence_id"])), ",").alias("kpis"),
+        F.array_join(F.transform("ranked_candidates", lambda c: F.concat_ws(" ", c["position"], c["evidence_id"], scope(c["evidence"]["applied_scope"]))), ",")
+        .alias("candidates"),
+        F.array_join(F.transform("related_incidents", lambda i: i["evidence_id"]), ",").alias("incidents"), "n_candidates", "n_incidents")

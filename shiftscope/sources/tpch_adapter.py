@@ -248,6 +248,43 @@ def events_tables(spark: SparkSession, sf_dir: str) -> MarketingTables:
         anomaly_ground_truth=lambda: anomaly_ground_truth(raw))
 
 
+def metric_definitions(raw: Raw) -> DataFrame:
+    """Stand-in registry: the benchmark's items as metrics, their texts as definitions."""
+    b = raw.benchmark
+    return b.select(F.concat(F.lit("metric_"), _s("item_id")).alias("metric_name"), F.col("text").alias("definition"),
+                    F.lit("count").alias("formula"), F.lit("session_id").alias("required_columns"), F.lit("device").alias("allowed_dimensions"),
+                    F.lit("stand-in").alias("business_context"), F.concat(F.lit("team "), _s(F.col("item_id") % 3)).alias("owner"))
+
+
+def all_tables(spark: SparkSession, sf_dir: str) -> MarketingTables:
+    """All eleven logical tables: sessions and their facts of the events mapping, the others of the orders mapping."""
+    raw = Raw(spark, sf_dir)
+    return MarketingTables(
+        customers=lambda: customers(raw), campaigns=lambda: campaigns(raw),
+        sessions=lambda: events_sessions(raw), conversions=lambda: events_conversions(raw),
+        funnel_events=lambda: events_funnel(raw), daily_campaign_metrics=lambda: daily_campaign_metrics(raw),
+        app_reviews=lambda: app_reviews(raw), experiments=lambda: experiments(raw),
+        marketing_incidents=lambda: marketing_incidents(raw), metric_definitions=lambda: metric_definitions(raw),
+        anomaly_ground_truth=lambda: anomaly_ground_truth(raw))
+
+
+def damaged_tables(spark: SparkSession, sf_dir: str) -> MarketingTables:
+    """The eleven tables with violations of every kind: customers and campaigns that are missing, conversions and
+    metrics that come twice, values that are NULL."""
+    t = all_tables(spark, sf_dir)
+    number = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("long")
+    lost = lambda c, when: F.when(when, F.lit(None)).otherwise(F.col(c))
+    repeated = lambda df, when: df.withColumn("_n", F.explode(F.when(when, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_n")
+    changed = {
+        "customers": lambda: t.customers.filter(number("customer_id") % 50 != 7).withColumn("customer_segment", lost("customer_segment", number("customer_id") % 30 == 0)),
+        "campaigns": lambda: t.campaigns.filter(number("campaign_id") % 25 != 3),
+        "conversions": lambda: repeated(t.conversions, number("conversion_id") % 40 == 1),
+        "app_reviews": lambda: t.app_reviews.withColumn("rating", lost("rating", number("review_id") % 20 == 0)),
+        "metric_definitions": lambda: repeated(t.metric_definitions, number("metric_name") % 9 == 0).withColumn("owner", lost("owner", number("metric_name") % 10 == 0)),
+    }
+    return MarketingTables(**{n: changed.get(n, lambda n=n: getattr(t, n)) for n in t.present()})
+
+
 # --- requests and planner replies (table jobs) -------------------------------------
 REQUEST_EPOCH = "2000-07-01"     # current_start = epoch + conv_id % 5
 PERIOD_DAYS = 181
