@@ -555,15 +555,45 @@ def q_constraint_offenders(spark, sf_dir):
 # --- benchmark scoring ---------------------------------------------------------------------
 def _case_scores(spark, sf_dir):
     from shiftscope.plans.claims import audit_claims, revenue_claims
-    from shiftscope.plans.evaluation import investigation_summary, score_cases
+    from shiftscope.plans.evaluation import investigation_causes, investigation_summary, score_cases
     r = _revenue_report(spark, sf_dir)
     audit = audit_claims(revenue_claims(r["kpis"], r["ranked_candidates"], r["related_incidents"]),
                          _report_evidence_ids(r))
-    summary = investigation_summary("revenue", "root_cause_analysis", r["ranked_candidates"],
-                                    r["related_incidents"], audit)
+    summary = investigation_summary("revenue", "root_cause_analysis", r["ranked_candidates"], audit)
     cases = A.benchmark_cases(A.orders_tables(spark, sf_dir).anomaly_ground_truth,
                               {"root_cause_analysis": "revenue"})
-    return score_cases(cases, summary)
+    return score_cases(cases, summary, investigation_causes("revenue", r["related_incidents"]))
+
+
+#: the investigation that answers each question type
+FAMILIES = {"root_cause_analysis": "revenue", "campaign_performance_analysis": "campaign", "traffic_analysis": "traffic",
+            "data_quality_analysis": "attribution", "sentiment_analysis": "sentiment"}
+
+
+def _family_scores(spark, sf_dir):
+    """Every anomaly's case against the investigation of its own family (orders mapping), each run once."""
+    from shiftscope import investigations as I
+    from shiftscope.plans.evaluation import evaluate
+    t, p = A.evaluation_tables(spark, sf_dir), ORDERS_PERIODS
+    results = {"revenue": I.investigate_revenue(t, p, steps=EVENT_STEPS),
+               "campaign": I.investigate_campaign_performance(t, p, CANDIDATE_METRIC, CAMPAIGN_SCOPE),
+               "traffic": I.investigate_traffic_change(t, p, "sessions", {"channel": "1-URGENT"}),
+               "attribution": I.investigate_attribution_quality(t, p),
+               "sentiment": I.investigate_review_sentiment(t, REVIEW_PERIODS, terms=REVIEW_TERMS)}
+    return evaluate(A.family_cases(t.anomaly_ground_truth, FAMILIES), results)
+
+
+@register("benchmark_cases_all")
+def q_benchmark_cases_all(spark, sf_dir):
+    """R10 over all families that anomalies ask for: no case is without a result."""
+    return finish(_family_scores(spark, sf_dir))
+
+
+@register("benchmark_aggregate_all")
+def q_benchmark_aggregate_all(spark, sf_dir):
+    """G14 over all families."""
+    from shiftscope.plans.evaluation import benchmark_aggregate
+    return finish(benchmark_aggregate(_family_scores(spark, sf_dir)))
 
 
 @register("benchmark_cases")

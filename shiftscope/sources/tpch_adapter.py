@@ -364,3 +364,23 @@ def benchmark_cases(anomalies: DataFrame, investigations: dict[str, str]) -> Dat
         F.array(F.struct(dim.alias("dimension"), seg.alias("segment"))).alias("expected_top_drivers"),
         F.lit(None).cast("string").alias("expected_funnel_transition"),
         F.col("root_cause").alias("expected_root_cause_contains"))
+
+
+def evaluation_tables(spark: SparkSession, sf_dir: str) -> MarketingTables:
+    """The orders mapping with the events mapping's funnel events (whose sessions it does not have)."""
+    t, raw = orders_tables(spark, sf_dir), Raw(spark, sf_dir)
+    return MarketingTables(**{n: (lambda n=n: getattr(t, n)) for n in t.present()}, funnel_events=lambda: events_funnel(raw))
+
+
+def family_cases(anomalies: DataFrame, investigations: dict[str, str]) -> DataFrame:
+    """Cases that expect two drivers, the anomaly's own and another one, and a part of the root cause: its first words,
+    two of its letters, or for every seventh a text that no cause has."""
+    number = F.regexp_extract("scenario_id", "([0-9]+)$", 1).cast("long")
+    other = _pick(REGISTRY_DIMENSIONS, F.floor(number / len(REGISTRY_DIMENSIONS)).cast("long") % len(REGISTRY_DIMENSIONS))
+    driver = lambda c: F.struct(F.split(c, "=", 2)[0].alias("dimension"), F.split(c, "=", 2)[1].alias("segment"))
+    part = (F.when(number % 7 == 3, F.lit("no such cause")).when(number % 5 == 1, F.substring("root_cause", 4, 2))
+            .otherwise(F.upper(F.regexp_replace("root_cause", " anomaly$", ""))))
+    cases = benchmark_cases(anomalies, investigations).drop("expected_top_drivers", "expected_root_cause_contains")
+    more = anomalies.select(F.col("scenario_id").alias("case_id"), F.array_distinct(F.array(driver(F.col("affected_dimension")), driver(other))).alias("expected_top_drivers"),
+                            part.alias("expected_root_cause_contains"))
+    return cases.join(more, "case_id")
