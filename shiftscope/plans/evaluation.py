@@ -63,20 +63,23 @@ def texts_found(wanted: DataFrame, causes: DataFrame, gram: int = GRAM) -> DataF
     A text of n characters has grams of ``min(n, gram)``; all of them must be grams of a cause that holds the text.
     It is looked for under its rarest gram alone, and verified there.  An empty text lies in every cause."""
     wanted = wanted.select("investigation_id", F.lower("expected").alias("expected")).filter("expected IS NOT NULL AND investigation_id IS NOT NULL").distinct()
-    empty = wanted.filter("expected = ''").join(causes.select("investigation_id").distinct(), "investigation_id", "left_semi")
-    sized = wanted.filter("expected <> ''").withColumn("g", F.least(F.length("expected"), F.lit(gram)))
+    sized = wanted.withColumn("g", F.least(F.length("expected"), F.lit(gram)))
     grams_of = lambda c: F.array_distinct(F.transform(
         F.when(F.length(c) >= F.col("g"), F.sequence(F.lit(1), F.length(c) - F.col("g") + 1)).otherwise(F.array().cast("array<int>")),
         lambda i: F.substring(F.col(c), i, F.col("g"))))
-    index = causes.join(sized.select("investigation_id", "g").distinct(), "investigation_id").withColumn("gram", F.explode(grams_of("cause"))) \
-        .select("investigation_id", "g", "gram", "cause")
+    lengths = causes.select("investigation_id", "cause", F.explode(F.sequence(F.lit(1), F.lit(gram))).alias("g"))
+    index = lengths.join(sized.select("investigation_id", "g").distinct(), ["investigation_id", "g"], "left_semi") \
+        .withColumn("gram", F.explode(grams_of("cause"))).select("investigation_id", "g", "gram", "cause")
+    # one cause stands for all where the empty text is looked for
+    index = index.unionByName(causes.groupBy("investigation_id").agg(F.min("cause").alias("cause")).select(
+        "investigation_id", F.lit(0).alias("g"), F.lit("").alias("gram"), "cause"))
     counts = index.groupBy("investigation_id", "g", "gram").agg(F.count(F.lit(1)).alias("n"))
     parts = sized.withColumn("gram", F.explode(grams_of("expected"))).join(counts, ["investigation_id", "g", "gram"], "left")
     # a gram that no cause has rules the text out
     rarest = parts.groupBy("investigation_id", "g", "expected").agg(
         F.count_if(F.col("n").isNull()).alias("missing"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).filter("missing = 0")
     found = rarest.join(index, ["investigation_id", "g", "gram"]).filter(F.contains("cause", F.col("expected")))
-    return found.select("investigation_id", "expected").distinct().unionAll(empty)
+    return found.select("investigation_id", "expected").distinct()
 
 
 def score_cases(cases: DataFrame, summaries: DataFrame, causes: DataFrame) -> DataFrame:

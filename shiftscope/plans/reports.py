@@ -141,37 +141,37 @@ def report_documents(result: dict, periods: Periods, scope: Mapping[str, str] |
         kpis = result["kpis"].withColumn("report", label)
         candidates = _candidates(result, scope).withColumn("report", label)
         incidents = result["related_incidents"].withColumn("report", label)
+    header = F.struct(*[c for c in headers.columns if c != "report"])
+    kinds = {"claim": _CLAIM, "kpi": _KPI, "candidate": _CANDIDATE, "incident": _INCIDENT, "header": headers.select(header.alias("h")).schema["h"].dataType.simpleString(),
+             "n_candidates": "long", "n_incidents": "long"}
     parts = []
 
     def add(df: DataFrame, kind: str, payload: Column) -> None:
-        columns = {"claim": _CLAIM, "kpi": _KPI, "candidate": _CANDIDATE, "incident": _INCIDENT}
         section = F.col("section") if kind == "claim" else F.lit(None).cast("string")
-        parts.append(df.select("report", section.alias("section"), *[(payload if k == kind else F.lit(None)).cast(t).alias(k) for k, t in columns.items()]))
+        parts.append(df.select("report", section.alias("section"), *[(payload if k == kind else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]))
 
+    add(headers, "header", header)
     add(claims, "claim", F.struct("claim_id", "text", "evidence_ids"))
     add(kpis, "kpi", F.struct("metric", "evidence_id", *[F.col(x).cast("double").alias(x) for x in ("current", "previous", "absolute_change", "percent_change")]))
-    first = top_k(candidates, ["report"], [F.asc("position")], rows, "_place")
-    add(first, "candidate", F.col("payload"))
-    counts = candidates.groupBy("report").agg(F.count(F.lit(1)).alias("n_candidates"))
+    add(top_k(candidates, ["report"], [F.asc("position")], rows, "_place"), "candidate", F.col("payload"))
+    add(candidates.groupBy("report").agg(F.count(F.lit(1)).alias("n")), "n_candidates", F.col("n"))
     if incidents is not None:
         earliest = top_k(incidents, ["report"], [F.asc("incident_date"), F.asc("incident_id")], rows, "_place")
         add(earliest, "incident", F.struct("incident_date", "incident_id", "evidence_id", "title", "root_cause", "resolution", "impact"))
-        counts = counts.join(incidents.groupBy("report").agg(F.count(F.lit(1)).alias("n_incidents")), "report", "full")
-    else:
-        counts = counts.withColumn("n_incidents", F.lit(0).cast("long"))
+        add(incidents.groupBy("report").agg(F.count(F.lit(1)).alias("n")), "n_incidents", F.col("n"))
     every = reduce(lambda a, b: a.unionByName(b), parts)
     listed = lambda kind, when: F.array_sort(F.collect_list(F.when(when, F.col(kind))))
     in_place = lambda arr: F.array_sort(arr, lambda a, b: a["position"] - b["position"])
     sections = [listed("claim", (F.col("section") == s) & F.col("claim").isNotNull()).alias(s) for s in SECTIONS]
-    gathered = every.groupBy("report").agg(
-        *sections, listed("kpi", F.col("kpi").isNotNull()).alias("kpis"), listed("incident", F.col("incident").isNotNull()).alias("related_incidents"),
-        in_place(F.collect_list("candidate")).alias("ranked_candidates"))
-    whole = headers.join(gathered, "report", "left").join(counts, "report", "left")
+    whole = every.groupBy("report").agg(
+        F.first("header", ignorenulls=True).alias("header"), *sections, listed("kpi", F.col("kpi").isNotNull()).alias("kpis"),
+        listed("incident", F.col("incident").isNotNull()).alias("related_incidents"), in_place(F.collect_list("candidate")).alias("ranked_candidates"),
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_candidates", "n_incidents")])
     told = lambda s: F.transform(F.col(s), lambda c: F.struct(c["claim_id"].alias("claim_id"), c["text"].alias("text"), c["evidence_ids"].alias("evidence_ids")))
     return whole.select(
-        *headers.columns, told("summary").alias("summary"), F.get(told("primary_driver"), 0).alias("primary_driver"),
+        "report", "header.*", told("summary").alias("summary"), F.get(told("primary_driver"), 0).alias("primary_driver"),
         told("contributing_factors").alias("contributing_factors"), told("recommendations").alias("recommendations"), "kpis", "ranked_candidates",
-        "related_incidents", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("n_incidents", F.lit(0)).alias("n_incidents"))
+        "related_incidents", "n_candidates", "n_incidents")
 
 
 def write_reports(documents: DataFrame, path: str, mode: str = "overwrite") -> None:

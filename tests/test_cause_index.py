@@ -20,8 +20,8 @@ def test_texts_are_found_as_by_every_pair(spark):
 
 
 def test_index_makes_no_pairs(spark):
-    causes = spark.range(1000).select(F.lit("x").alias("investigation_id"), F.concat(F.lit("common words about source "), "id").alias("cause"))
-    wanted = spark.range(2000).select(F.lit("x").alias("investigation_id"), F.concat(F.lit("source "), "id").alias("expected"))
+    causes = spark.range(1000).select((F.col("id") % 2).cast("string").alias("investigation_id"), F.concat(F.lit("common words about source "), "id").alias("cause"))
+    wanted = spark.range(2000).select((F.col("id") % 2).cast("string").alias("investigation_id"), F.concat(F.lit("source "), "id").alias("expected"))
     df = texts_found(wanted, causes)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
