@@ -2,8 +2,10 @@
 
 Both derived records name their source in WARC-Refers-To (with its URI and date), carry over the
 source's WARC headers that describe the capture, and are linked with each other.  The metadata block
-holds the HTTP status and headers, the digests the source states and whether they hold.  Record ids
-are derived from the source's id, so a task that runs again makes the same records."""
+holds every WARC header of the source as it stands, the HTTP status and headers, the digests the source states and
+whether they hold.  Transfer and content encodings of the body (chunked; gzip, deflate, zstd) are undone before the
+text is taken; an encoding that is unknown or does not hold is named, and the body is read as it stands.
+Record ids are derived from the source's id, so a task that runs again makes the same records."""
 
 from __future__ import annotations
 
@@ -12,9 +14,11 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +64,70 @@ def digest_holds(stated: str | None, data: bytes) -> str:
     return "ok" if value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=") else "differs"
 
 
+def unchunked(body: bytes) -> bytes | None:
+    """The data of a chunked body; None if it is not whole and well formed."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,16}", size):
+            return None
+        n, at = int(size, 16), end + 2
+        if n == 0:
+            return b"".join(out)
+        if body[at + n:at + n + 2] != b"\r\n":
+            return None
+        out.append(body[at:at + n])
+        at += n + 2
+
+
+def _inflated(data: bytes, bits: int) -> bytes:
+    out = []
+    while data:
+        step = zlib.decompressobj(bits)
+        out.append(step.decompress(data) + step.flush())
+        if not step.eof:
+            raise ValueError("cut off")
+        data = step.unused_data if bits == 31 and step.unused_data.startswith(b"\x1f\x8b") else b""
+    return b"".join(out)
+
+
+def decoded(body: bytes, fields: list[tuple[str, str]]) -> tuple[bytes, bytes, list[str]]:
+    """The body without its transfer encoding, that without its content encodings too, and the encodings that
+    could not be undone (the last one applied is undone first; from one that cannot be undone on, all stay)."""
+    failed: list[str] = []
+
+    def undo(data: bytes, name: str) -> bytes:
+        codings = [x.strip().lower() for k, v in fields if k.lower() == name for x in v.split(",") if x.strip()]
+        while codings:
+            coding, plain = codings[-1], None
+            try:
+                if coding == "identity":
+                    plain = data
+                elif coding == "chunked":
+                    plain = unchunked(data)
+                elif coding in ("gzip", "x-gzip"):
+                    plain = _inflated(data, 31)
+                elif coding == "deflate":
+                    try:
+                        plain = _inflated(data, 15)
+                    except (zlib.error, ValueError):
+                        plain = _inflated(data, -15)
+                elif coding == "zstd":
+                    plain = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+            except (zlib.error, ValueError, zstandard.ZstdError):
+                plain = None
+            if plain is None:
+                failed.extend(reversed(codings))
+                break
+            data = plain
+            codings.pop()
+        return data
+
+    entity = undo(body, "transfer-encoding")
+    return entity, undo(entity, "content-encoding") if not failed else entity, failed
+
+
 def plain_text(source: str) -> str:
     """Visible text, one line per block, white space inside a line as one space."""
     source = _HIDDEN.sub(" ", source)
@@ -90,11 +158,12 @@ def derive(raw: bytes | None) -> list[tuple[str, str, str, str | None, str, int,
     http, _, body = block.partition(b"\r\n\r\n")
     status, http_fields = headers(http)
     kind = field(http_fields, "Content-Type") or ""
+    entity, content, failed = decoded(body, http_fields)
     charset = (m[1] if (m := _CHARSET.search(kind)) else "utf-8")
     try:
-        page = body.decode(charset, "replace")
+        page = content.decode(charset, "replace")
     except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = content.decode("utf-8", "replace")
     ids = {t: f"<urn:uuid:{uuid.uuid5(_SPACE, f'{source} {t}')}>" for t in ("metadata", "conversion")}
     carried = [(k, v) for k in CARRIED if (v := field(fields, k)) is not None]
     carried += [("WARC-Refers-To", source)]
@@ -103,10 +172,14 @@ def derive(raw: bytes | None) -> list[tuple[str, str, str, str | None, str, int,
     text = (plain_text(page) if markup else page).encode("utf-8", "replace")
     about = [("http-status", status)]
     about += [("http-header", f"{k}: {v}") for k, v in http_fields]
-    for name, data in (("WARC-Block-Digest", block), ("WARC-Payload-Digest", body)):
+    about += [("source-header", f"{k}: {v}") for k, v in fields]
+    about += [("encoding-not-undone", x) for x in failed]
+    for name, datas in (("WARC-Block-Digest", (block,)), ("WARC-Payload-Digest", (body, entity))):
         stated = field(fields, name)
         about += [(f"source-{name[5:].lower()}", stated)] if stated else []
-        about += [(f"source-{name[5:].lower()}-check", digest_holds(stated, data))]
+        # a payload digest may have been taken with or without the transfer encoding
+        checks = [digest_holds(stated, data) for data in datas]
+        about += [(f"source-{name[5:].lower()}-check", "ok" if "ok" in checks else checks[0])]
     if markup and (m := _TITLE.search(page)):
         about += [("title", " ".join(html.unescape(m[1]).split()))]
     about += [("conversion-record", ids["conversion"]), ("text-length", str(len(text)))]
@@ -126,7 +199,8 @@ OUT = "record_type string, record_id string, refers_to string, target_uri string
 def derived_records(records: DataFrame, key: str = "page_id", column: str = "record") -> DataFrame:
     """``(<key>, record binary)`` -> ``(<key>, record_type, record_id, refers_to, target_uri, block_digest,
     block_length, record)``: two rows per response record, in whole.  Repeated rows give repeated results;
-    NULL and malformed records give none; other columns are not read."""
+    NULL and malformed records give none; other columns, also clashing ones, are not read.  Very long records
+    are read whole, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, "record", 4 << 20):

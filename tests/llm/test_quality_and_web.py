@@ -191,3 +191,31 @@ def test_plain_text_equals_a_parser():
         p.feed(body)
         p.close()
         assert re.sub(r"\s", "", warc.plain_text(body)) == re.sub(r"\s", "", "".join(p.out))
+
+
+def test_source_headers_and_encoded_bodies():
+    import gzip
+    import hashlib
+    import zlib
+
+    import zstandard
+    page = "<html><head><title>T</title></head><body><p>Grüße one</p><p>two</p></body></html>".encode()
+    chunked = lambda data: b"".join(b"%x;a=b\r\n%s\r\n" % (len(data[i:i + 7]), data[i:i + 7]) for i in range(0, len(data), 7)) + b"0\r\nTrailer: x\r\n\r\n"
+    raw_deflate = zlib.compressobj(wbits=-15)
+    cases = [("", page, []), ("Transfer-Encoding: chunked\r\n", chunked(page), []), ("Content-Encoding: gzip\r\n", gzip.compress(page[:9]) + gzip.compress(page[9:]), []),
+             ("Content-Encoding: GZIP\r\nTransfer-Encoding: chunked\r\n", chunked(gzip.compress(page)), []), ("Content-Encoding: deflate\r\n", zlib.compress(page), []),
+             ("Content-Encoding: deflate\r\n", raw_deflate.compress(page) + raw_deflate.flush(), []), ("Content-Encoding: zstd\r\n", zstandard.compress(page), []),
+             ("Content-Encoding: gzip, identity\r\n", gzip.compress(page), []),
+             ("Content-Encoding: br\r\n", page, ["br"]), ("Transfer-Encoding: chunked\r\n", page, ["chunked"]), ("Content-Encoding: gzip\r\n", gzip.compress(page)[:-9], ["gzip"])]
+    for extra, body, failed in cases:
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{extra}\r\n".encode() + body
+        entity = body if failed or "chunked" not in extra else warc.unchunked(body)
+        raw = (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Profile: own\r\nX-Own: some value\r\nWARC-Concurrent-To: <urn:uuid:2>\r\n"
+               f"WARC-Payload-Digest: sha256:{hashlib.sha256(entity).hexdigest()}\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+        meta, text = (x[-1].split(b"\r\n\r\n", 1)[1].decode() for x in warc.derive(raw))
+        lines = meta.split("\r\n")
+        for line in ("source-header: WARC-Profile: own", "source-header: X-Own: some value", "source-header: WARC-Concurrent-To: <urn:uuid:2>", "source-payload-digest-check: ok"):
+            assert line in lines
+        assert [x.split(": ")[1] for x in lines if x.startswith("encoding-not-undone")] == failed
+        if not failed:
+            assert text.strip() == "T\nGrüße one\ntwo" and "title: T" in lines
