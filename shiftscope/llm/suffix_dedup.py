@@ -40,6 +40,8 @@ _PART_BYTES = 4 << 20
 _KNOWN = np.iinfo(np.int64).min
 _BATCH = 2 << 20
 _WHOLE = (1 << 31) - 1
+#: entries a task gathers before it writes rows by document
+_GATHERED = 1 << 20
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                   0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -264,27 +266,39 @@ def _send_anchors(length: int, gram: int, parts: int):
 
 
 def _by_part(work):
-    """A task over rows sorted by part: rows known before pass through, the others go to ``work`` a part at a time."""
+    """A task over rows sorted by part: rows known before pass through, the others go to ``work`` a part at a time.
+
+    Both give parallel arrays ``(documents, value, ...)``, which are gathered over the task's parts up to
+    ``_GATHERED`` entries, so a document has a row per task and not one per part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def gathered_rows(least: int) -> Iterator[pa.RecordBatch]:
+            if found and sum(len(x[0]) for x in found) >= least:
+                yield _by_doc(*(np.concatenate(x) for x in zip(*found)))
+                found.clear()
+
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 for row in batch.slice(k, 128).to_pylist():
                     if held and held[0]["part"] != row["part"]:
-                        yield from work(held)
+                        found.extend(work(held))
                         held = []
+                        yield from gathered_rows(_GATHERED)
                     if row["known"]:
-                        lists = [np.frombuffer(row[c], "<i4") for c in ("starts", "sizes") if row[c] is not None]
-                        yield _by_doc(_documents(row), *lists)
+                        found.append((_documents(row), *(np.frombuffer(row[c], "<i4") for c in ("starts", "sizes") if row[c] is not None)))
+                        yield from gathered_rows(_GATHERED)
                     else:
                         held.append(row)
         if held:
-            yield from work(held)
+            found.extend(work(held))
+        yield from gathered_rows(1)
     return run
 
 
-def _shared_anchors(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Rows of a part -> ``(doc_id, v0 array<int>)``: the sent bits of anchors that lie in two documents."""
+def _shared_anchors(rows: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows of a part -> documents and the sent bits of their anchors that lie in two documents."""
     docs = [_documents(row) for row in rows]
     source = np.repeat(np.arange(len(rows), dtype=np.int32), [len(d) for d in docs])
     doc = np.concatenate(docs)
@@ -295,7 +309,7 @@ def _shared_anchors(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     shared = np.minimum.reduceat(source, edge) != np.maximum.reduceat(source, edge)
     keep = np.repeat(shared, np.diff(np.concatenate((edge, [len(low)])))) & (doc != _KNOWN)
     if keep.any():
-        yield _by_doc(doc[keep], low[keep].view(np.int32))
+        yield doc[keep], low[keep].view(np.int32)
 
 
 def _send_contexts(length: int, gram: int, parts: int):
@@ -343,8 +357,8 @@ def _send_contexts(length: int, gram: int, parts: int):
 
 
 def _removed(length: int, gram: int):
-    """Rows of a part -> ``(doc_id, v0 array<int> starts, v1 array<int> sizes)``: spans to remove."""
-    def work(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Rows of a part -> documents, starts and sizes of the spans to remove."""
+    def work(rows: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
         doc = np.concatenate([_documents(row) for row in rows])
         start = np.concatenate([np.frombuffer(row["starts"], "<u4") for row in rows]).astype(np.int64)
         size = np.concatenate([np.frombuffer(row["sizes"], "<u1") for row in rows]).astype(np.int64)
@@ -352,7 +366,7 @@ def _removed(length: int, gram: int):
         ends = np.cumsum(size)
         context, offset, n = _covered(data, ends - size, ends, doc, length, 2 * length - gram)
         if len(context):
-            yield _by_doc(doc[context], start[context] + offset, n)
+            yield doc[context], (start[context] + offset).astype(np.int32), n.astype(np.int32)
     return work
 
 
