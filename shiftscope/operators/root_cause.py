@@ -11,6 +11,7 @@ from shiftscope.functions.expr import clamp
 from shiftscope.operators.decompose import decompose
 from shiftscope.operators.funnel import FUNNEL_STEPS, segment_funnels
 from shiftscope.periods import Periods
+from shiftscope.session import cut_lineage
 from shiftscope.tables import MarketingTables
 
 # Dimensions scored as drivers and how much each is trusted.
@@ -94,18 +95,20 @@ def _ranked(t: MarketingTables, periods: Periods, scope: dict, steps: Sequence[s
 def investigate_revenue_change(t: MarketingTables, periods: Periods,
                                scope: Mapping[str, str] | None = None,
                                steps: Sequence[str] = FUNNEL_STEPS,
-                               dimensions: Sequence[str] = DEFAULT_DIMENSIONS) -> dict[str, DataFrame]:
+                               dimensions: Sequence[str] = DEFAULT_DIMENSIONS,
+                               materialize: bool = False) -> dict[str, DataFrame]:
     """C4: KPIs, decompositions, overall and leading-device funnels, ranked candidates.
 
     The decomposition, the candidates and the leading segment share the stored segment totals; the
-    other values are lazy DataFrames.
+    other values are lazy DataFrames.  With ``materialize=True`` every section is stored in the
+    cluster's checkpoint folder, so evidence written by separate actions does not read the facts again.
     """
     from shiftscope.operators.funnel import compare_funnels
     from shiftscope.operators.incidents import related_incidents
     from shiftscope.operators.kpi import compare_periods
     scope = dict(scope or {})
     decomposition, lead_funnel, candidates = _ranked(t, periods, scope, steps, dimensions)
-    return {
+    found = {
         "kpis": compare_periods(t, periods, scope),
         "decompositions": decomposition,
         "overall_funnel": compare_funnels(t, periods, scope=scope, steps=steps),
@@ -113,6 +116,7 @@ def investigate_revenue_change(t: MarketingTables, periods: Periods,
         "ranked_candidates": candidates,
         "related_incidents": related_incidents(t.marketing_incidents, t.anomaly_ground_truth, periods, scope),
     }
+    return {k: cut_lineage(v) for k, v in found.items()} if materialize else found
 
 
 def root_cause_candidates(t: MarketingTables, periods: Periods, scope: Mapping[str, str] | None = None,
