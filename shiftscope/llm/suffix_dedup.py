@@ -34,14 +34,12 @@ from .words import mix
 
 LENGTH, GRAM = 50, 24
 #: parts per shuffle partition; a task works on one part at a time
-#: bytes of text whose anchors make one part of the first shuffle; their contexts make four of the second
-_PART_BYTES = 4 << 20
+#: parts of the first shuffle per shuffle partition, and the bytes of text beyond which there are more; the second has four times as many
+_PARTS, _PART_BYTES = 8, 4 << 20
 #: stands for the documents of a batch that know of a shared anchor already
 _KNOWN = np.iinfo(np.int64).min
 _BATCH = 2 << 20
 _WHOLE = (1 << 31) - 1
-#: entries a task gathers before it writes rows by document
-_GATHERED = 1 << 20
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                   0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -268,32 +266,21 @@ def _send_anchors(length: int, gram: int, parts: int):
 def _by_part(work):
     """A task over rows sorted by part: rows known before pass through, the others go to ``work`` a part at a time.
 
-    Both give parallel arrays ``(documents, value, ...)``, which are gathered over the task's parts up to
-    ``_GATHERED`` entries, so a document has a row per task and not one per part."""
+    Both give parallel arrays ``(documents, value, ...)``, written as rows by document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        found: list[tuple[np.ndarray, ...]] = []
-
-        def gathered_rows(least: int) -> Iterator[pa.RecordBatch]:
-            if found and sum(len(x[0]) for x in found) >= least:
-                yield _by_doc(*(np.concatenate(x) for x in zip(*found)))
-                found.clear()
-
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 for row in batch.slice(k, 128).to_pylist():
                     if held and held[0]["part"] != row["part"]:
-                        found.extend(work(held))
+                        yield from (_by_doc(*found) for found in work(held))
                         held = []
-                        yield from gathered_rows(_GATHERED)
                     if row["known"]:
-                        found.append((_documents(row), *(np.frombuffer(row[c], "<i4") for c in ("starts", "sizes") if row[c] is not None)))
-                        yield from gathered_rows(_GATHERED)
+                        yield _by_doc(_documents(row), *(np.frombuffer(row[c], "<i4") for c in ("starts", "sizes") if row[c] is not None))
                     else:
                         held.append(row)
         if held:
-            found.extend(work(held))
-        yield from gathered_rows(1)
+            yield from (_by_doc(*found) for found in work(held))
     return run
 
 
@@ -379,13 +366,14 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     """``docs(doc_id, text)`` -> ``(doc_id, starts, sizes)``, arrays of byte spans to remove, possibly several rows an id
     and overlapping; a span of size 2^31 - 1 is the whole text.
 
-    The number of parts follows the bytes of text, so a part stays the same size for every corpus."""
+    The number of parts follows the bytes of text, so a part does not grow with the corpus."""
     source = _texts(docs)
     keyed = source.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", F.unhex(F.sha2("text", 256)).alias("key"))
     classes = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last")
     copies = stash(keyed.join(classes, "key").filter("doc_id > rep").select("doc_id").distinct(), "copies")
     reps = source.join(copies, "doc_id", "left_anti")
-    parts = max(1, -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _PART_BYTES))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // _PART_BYTES))
     shared = reps.mapInArrow(_send_anchors(length, gram, parts), _SENT).repartition("part").sortWithinPartitions("part") \
         .mapInArrow(_by_part(_shared_anchors), "doc_id long, v0 array<int>")
     shared = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("v0")).alias("shared"))
