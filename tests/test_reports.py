@@ -93,3 +93,27 @@ def test_offenders_cover_all_eleven_tables(spark):
 def test_offenders_of_empty_tables(spark):
     t = MarketingTables(customers=spark.createDataFrame([], "customer_id string, country string, customer_segment string"))
     assert [r["violations"] for r in constraint_offenders(t).collect()] == [0] * 4
+
+
+def test_investigations_share_the_facts_of_their_periods(spark, small_tables, small_periods):
+    from pyspark.sql import functions as F
+
+    from shiftscope.investigations import investigate_attribution_quality, investigate_traffic_change, with_stored_facts
+    from shiftscope.tables import MarketingTables
+    read = spark.sparkContext.accumulator(0)
+
+    def noted(v):
+        read.add(1)
+        return v
+    rows = small_tables.sessions.withColumn("device", F.udf(noted, "string")("device"))
+    none = spark.createDataFrame([], "scenario_id string, start_date date, end_date date, affected_dimension string, affected_metric string, root_cause string, severity string")
+    t = MarketingTables(customers=small_tables.customers, campaigns=small_tables.campaigns, sessions=rows, anomaly_ground_truth=none)
+    plain = MarketingTables(customers=small_tables.customers, campaigns=small_tables.campaigns, sessions=small_tables.sessions, anomaly_ground_truth=none)
+    shared = with_stored_facts(t, small_periods)
+    assert read.value == 0 and set(shared.present()) == set(t.present())
+    for scope in (None, {"device": "Android"}):
+        for run in (lambda t: investigate_traffic_change(t, small_periods, "sessions", scope), lambda t: investigate_attribution_quality(t, small_periods, scope)):
+            got, want = run(shared), run(plain)
+            for part in ("kpis", "ranked_candidates"):
+                assert sorted(map(repr, got[part].collect())) == sorted(map(repr, want[part].collect()))
+    assert 0 < read.value <= small_tables.sessions.count()
