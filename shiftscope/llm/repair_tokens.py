@@ -37,17 +37,20 @@ FORMAT = ("shard int, block int, n_docs int, n_tokens long, first long, doc_ids
 def _frequent_pairs(symbols: np.ndarray, codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs among ``codes`` with ``least`` occurrences that do not overlap each other, and their counts."""
     ordered = np.sort(codes)
-    starts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
-    counts = np.diff(np.append(starts, len(ordered)))
-    often = np.flatnonzero(counts >= least)
-    pairs, counts = ordered[starts[often]], counts[often]
+    # a code that stands again ``least - 1`` places on: only these are looked at one by one
+    starts = np.flatnonzero(ordered[least - 1:] == ordered[:max(len(ordered) - least + 1, 0)])
+    pairs = ordered[starts]
+    first = np.ones(len(pairs), bool)
+    np.not_equal(pairs[1:], pairs[:-1], out=first[1:])
+    starts, pairs = starts[first], pairs[first]
+    counts = np.searchsorted(ordered, pairs, "right") - starts
     twins = np.flatnonzero((pairs >> np.uint64(32)) == (pairs & np.uint64(0xFFFFFFFF)))
     if len(twins):
         # of a run of n equal symbols, n // 2 pairs can be replaced
-        heads = np.concatenate(([0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1))
-        half = np.diff(np.append(heads, len(symbols))) // 2
-        heads, half = heads[half > 0], half[half > 0]
-        free = np.bincount(symbols[heads], weights=half, minlength=int(symbols.max()) + 1).astype(np.int64)
+        same = np.flatnonzero(symbols[1:] == symbols[:-1])
+        heads = np.flatnonzero(np.concatenate(([True], np.diff(same) > 1)))
+        half = (np.diff(np.append(heads, len(same))) + 1) // 2
+        free = np.bincount(symbols[same[heads]], weights=half, minlength=int(symbols.max()) + 1).astype(np.int64)
         counts[twins] = free[(pairs[twins] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         often = counts >= least
         pairs, counts = pairs[often], counts[often]
@@ -66,12 +69,17 @@ def compress(ids: np.ndarray, least: int = LEAST, spread: int = SPREAD) -> tuple
     place = np.full(1 << _BINS, -1, np.int32)
     waits = np.zeros(1 << _BINS, bool)
     while len(symbols) > 1:
-        codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+        codes = symbols[:-1].astype(np.uint64)
+        codes <<= np.uint64(32)
+        codes |= symbols[1:]
         spots = _spot(codes)
         if rules:
             young = symbols >= new
-            near = np.flatnonzero(young[:-1] | young[1:] | waits[spots])
-            codes, spots = codes[near], spots[near]
+            again = waits.take(spots)
+            again |= young[:-1]
+            again |= young[1:]
+            near = np.flatnonzero(again)
+            codes, spots = codes.take(near), spots.take(near)
         else:
             near = np.arange(len(codes))
         if not len(codes):
@@ -84,7 +92,7 @@ def compress(ids: np.ndarray, least: int = LEAST, spread: int = SPREAD) -> tuple
         # the most frequent pair of a place in the table has it
         own = _spot(wanted)
         place[own[::-1]] = np.arange(len(wanted), dtype=np.int32)[::-1]
-        at = place[spots]
+        at = place.take(spots)
         place[own] = -1
         hit = np.flatnonzero(at >= 0)
         at = at[hit]
@@ -131,7 +139,9 @@ def _without_overlaps(where: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray,
 
 
 def _spot(codes: np.ndarray) -> np.ndarray:
-    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
+    spots = codes * np.uint64(0x9E3779B97F4A7C15)
+    spots >>= np.uint64(64 - _BINS)
+    return spots.view(np.int64)
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,8 @@ from functools import lru_cache
 import numpy as np
 
 END = 2
-MAX_CHUNKS, MAX_WORDS = 400_000, 600_000
+#: chunks and words a worker keeps in one table, and words it keeps once that is full
+MAX_CHUNKS, MAX_WORDS = 900_000, 100_000
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _TAIL = ".,;:!?"
 #: white space to Python but not to the tokenizer
@@ -55,12 +56,14 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        """A run of lower-case Latin letters."""
-        ids = self.words.get(word)
+        """A run of lower-case Latin letters, which is also the chunk of this spelling."""
+        ids = self.chunks.get(word) or self.words.get(word)
         if ids is None:
             spelt = word if word.isascii() else word.translate(_SPELLING)
             ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
-            if len(self.words) < MAX_WORDS:
+            if len(self.chunks) < MAX_CHUNKS:
+                self.chunks[word] = ids
+            elif len(self.words) < MAX_WORDS:
                 self.words[word] = ids
         return ids
 

@@ -135,3 +135,30 @@ def test_files_read_back(spark, docs, rows, enc, odd, empty, tmp_path):
     assert len(back) == 5 and sorted(r.start for r in back)[0] == 0 and sum(r.doc_id is None for r in back) == 2
     repair_tokens.write_token_files(empty, f"file://{tmp_path}/c")
     assert repair_tokens.read_token_files(spark, f"file://{tmp_path}/c").count() == 0
+
+
+@pytest.mark.parametrize("least", [2, 3, 16])
+def test_frequent_pairs_are_counted_without_overlaps(least):
+    from collections import Counter
+    from itertools import groupby
+
+    from shiftscope.llm.repair_tokens import _frequent_pairs
+    rng = random.Random(least)
+    for n in (2, 5, 40, 3000):
+        ids = [x for _ in range(n) for x in [rng.randrange(6)] * rng.choice([1, 1, 1, 2, 3, 5, 40])][:n]
+        want = Counter(p for p in zip(ids, ids[1:]) if p[0] != p[1])
+        for value, run in groupby(ids):
+            want[value, value] += len(list(run)) // 2
+        symbols = np.array(ids, np.uint32)
+        codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+        pairs, counts = _frequent_pairs(symbols, codes, least)
+        got = {(int(p) >> 32, int(p) & 0xFFFFFFFF): int(c) for p, c in zip(pairs, counts)}
+        assert got == {p: c for p, c in want.items() if c >= least} and list(pairs) == sorted(pairs)
+
+
+def test_a_word_is_kept_once_for_all_its_chunks():
+    enc = Encoder(vocabulary_path())
+    text = "verywell Verywell, verywell. VERYWELL"
+    ids = enc.encode(text)
+    assert ids == enc.library(text)
+    assert enc.chunks["verywell"] and not enc.words
