@@ -185,3 +185,18 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
     assert sorted((r["g"], r["place"], r["v"]) for r in out.collect()) == [
         (g, p, v) for g in range(3) for p, v in enumerate(sorted((x for x in range(10_000) if x % 3 == g), reverse=True)[:3], 1)]
+
+
+def test_a_cube_reads_its_sources_once(spark, market, tmp_path):
+    names = ("customers", "campaigns", "sessions", "conversions")
+    for n in names:
+        getattr(market, n).write.parquet(str(tmp_path / n))
+    cube = build_day_cube(MarketingTables(**{n: spark.read.parquet(str(tmp_path / n)) for n in names}), with_users=False)
+    s = {r["session_id"]: r for r in market.sessions.collect()}
+    known = {r["customer_id"] for r in market.customers.collect()}
+    sold = [r for r in market.conversions.collect() if s[r["session_id"]]["customer_id"] in known]
+    at = cube.products.filter("product <> 'No purchase'").agg(F.sum("conversions"), F.sum("sessions")).first()
+    assert tuple(at) == (len(sold) - sum(r["product_id"] is None for r in sold), len({(r["session_id"], r["product_id"]) for r in sold if r["product_id"]}))
+    assert cube.cells.agg(F.sum("sessions"), F.sum("conversions")).first() == (sum(r["customer_id"] in known for r in s.values()), len(sold))
+    # every part of the cube comes from the stored sessions and conversions
+    assert not [f for part in (cube.cells, cube.products) for f in part.inputFiles() if str(tmp_path) in f]
